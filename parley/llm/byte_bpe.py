@@ -149,6 +149,15 @@ class Bpe:
         for token, rank in self.ranks.items():
             self.vocab[rank] = token
         self.cache = Memo(self._packed)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = rank
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
@@ -200,13 +209,62 @@ class Bpe:
             a = end[a]
         return out
 
+    def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], SENTINEL)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pieces: each round merges every piece's first pair of lowest rank, all pieces at once."""
+        out: list[bytes] = [b""] * len(pieces)
+        todo = []
+        for i, piece in enumerate(pieces):
+            if piece in self.ranks or len(piece) > 64:
+                out[i] = self._packed(piece)
+            else:
+                todo.append(i)
+        if not todo:
+            return out
+        sizes = np.array([len(pieces[i]) for i in todo])
+        who = np.repeat(np.arange(len(todo)), sizes)
+        tok = self.byte_ids[np.frombuffer(b"".join([pieces[i] for i in todo]), np.uint8)]
+        rank = np.full(len(tok), SENTINEL, np.int64)
+        rank[:-1] = np.where(who[:-1] == who[1:], self._pair_rank(tok[:-1], tok[1:]), SENTINEL)
+        while len(tok):
+            starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            low = np.minimum.reduceat(rank, starts)
+            spans = np.diff(np.concatenate([starts, [len(tok)]]))
+            done = low == SENTINEL
+            if done.any():
+                packed, ends = tok.astype("<u4").tobytes(), starts + spans
+                for w, a, b in zip(who[starts[done]].tolist(), (4 * starts[done]).tolist(), (4 * ends[done]).tolist()):
+                    out[todo[w]] = packed[a:b]
+                live = np.repeat(~done, spans)
+                tok, who, rank = tok[live], who[live], rank[live]
+                low, spans = low[~done], spans[~done]
+                if not len(tok):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(low, spans))
+            at = hits[np.concatenate([[True], who[hits[1:]] != who[hits[:-1]]])]
+            tok[at] = low
+            keep = np.ones(len(tok), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # places after the merged halves are gone
+            tok, who, rank = tok[keep], who[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                after = np.minimum(i + 1, len(tok) - 1)
+                rank[i] = np.where((after > i) & (who[after] == who[i]), self._pair_rank(tok[i], tok[after]), SENTINEL)
+        return out
+
     def _packed(self, piece: bytes) -> bytes:
         return np.array(self.merge(piece), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw, at, first = pretokenise(texts)
         cuts = at.tolist()
-        packed = list(map(self.cache.__getitem__, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.cache.fill(set(pieces), self.merge_all)
+        packed = list(map(self.cache.__getitem__, pieces))
         return [np.frombuffer(b"".join(packed[a:b]), "<u4") for a, b in zip(first.tolist(), first[1:].tolist())]
 
     def decode(self, ids: list[int]) -> bytes:

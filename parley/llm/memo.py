@@ -24,3 +24,13 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+    def fill(self, keys, compute_all: Callable) -> None:
+        """Make ``keys`` known, computing the missing ones together: ``compute_all(list)`` gives their values in order."""
+        missing = [k for k in keys if k not in self and k not in self.old]
+        if not missing:
+            return
+        if len(self) + len(missing) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(missing, compute_all(missing)))
