@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from parley.plans import analysis, dialogue
+
+QUERIES = {**dialogue.QUERIES, **analysis.QUERIES}
+ORACLE_SQL = {**dialogue.SQL, **analysis.SQL}
