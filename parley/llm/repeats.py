@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table, written
+from parley.llm.common import small_batches, table, unused, written
 
 #: A sentence shorter than this joins the next one of its line.
 SHORT_WORDS = 4
@@ -145,8 +145,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     small_batches(docs.sparkSession)
     runs = repeated_runs(docs, min_words)
     spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_spans_of"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_spans_of"]), "left").drop("_spans_of")
+    owner, held = unused(docs, "_spans_of"), unused(docs, "_spans")
+    spans = spans.select(F.col("doc_id").alias(owner), F.col("spans").alias(held))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[owner]), "left").drop(owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table, written
+from parley.llm.common import small_batches, table, unused, written
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -188,9 +188,9 @@ def _arrow(doc_type: pa.DataType, item_type: pa.DataType) -> pa.Schema:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """All rows and columns of documents that hold no benchmark item; a null doc_id is compared like a value."""
-    bad = contaminated(docs, items, **how).select(F.col("doc_id").alias("_bad_id")).distinct()
-    bad, _ = written(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    name = unused(docs, "_bad_id")
+    bad, _ = written(contaminated(docs, items, **how).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
 
 
 def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
