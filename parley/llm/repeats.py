@@ -1,8 +1,7 @@
 """Substring dedup by hashing lines and their sentences.
 
-A text is cut into units: lines, and inside lines sentences; very short sentences join the next one, and very
-long ones are cut at words chosen by their own hash, so equal passages are cut alike wherever they stand. Units
-are normalised (case, white space, outer punctuation) and digested to 128 bits. Digests are counted over all
+A text is cut into units: lines, inside lines sentences, and inside sentences at words chosen by their own hash;
+very short pieces join the next one. Equal passages are so cut alike wherever they stand. Units are normalised (case, white space, outer punctuation) and digested to 128 bits. Digests are counted over all
 documents; of every repeated one the earliest occurrence by (doc_id, place) stays. Neighbouring repeats form
 runs; runs of ``MIN_WORDS`` words or more are removed, with code point offsets in the original text.
 """
@@ -19,59 +18,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import small_batches, table, unused, written
+from parley.llm.memo import Memo
 
-#: A sentence shorter than this joins the next one of its line.
+#: A piece of fewer words joins the next one of its line.
 SHORT_WORDS = 4
-#: A sentence longer than this is cut behind words whose hash says so.
-LONG_WORDS = 32
-CUT_EVERY = 12
+#: One word in so many, picked by its hash, ends a piece like the end of a sentence does.
+CUT_EVERY = 8
 #: Words in a run of repeated units that is removed.
-MIN_WORDS = 10
+MIN_WORDS = 15
 
-_SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?…]+(?=\s|$)|[^\n]*)", re.M)
 _WORD = re.compile(r"\S+")
+_LINE = re.compile(r"\n")
+_STOPS = frozenset(".!?…")
 _OUTER = " \t.,;:!?…\"'()[]«»|-"
 
 
-def _pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, lower-case words) of sentences, long ones cut behind words that their hash picks."""
-    for m in _SENTENCE.finditer(text):
-        words = m.group().lower().split()
-        if len(words) <= LONG_WORDS:
-            yield m.start(), m.end(), words
-            continue
-        start, held = m.start(), []
-        for w in _WORD.finditer(text, m.start(), m.end()):
-            held.append(w.group().lower())
-            if len(held) == 1:
-                start = w.start()
-            if xxhash.xxh32_intdigest(held[-1]) % CUT_EVERY == 0:
-                yield start, w.end(), held
-                held = []
-        if held:
-            yield start, m.end(), held
+_ends_piece = Memo(lambda word: word[-1] in _STOPS or xxhash.xxh32_intdigest(word) % CUT_EVERY == 0)
 
 
 def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of every unit, in order; offsets in code points."""
-    out: list[tuple[int, int, int, bytes]] = []
-    start, end, held = 0, 0, []
-
-    def put() -> None:
-        out.append((start, end, len(held), xxhash.xxh3_128_digest(" ".join(held).strip(_OUTER))))
-
-    for a, b, words in _pieces(text):
-        if held and text.find("\n", end, a) >= 0:  # a short end of a line is a unit of its own
-            put()
-            held = []
-        if not held:
-            start = a
-        held, end = held + words, b
-        if len(held) >= SHORT_WORDS:
-            put()
-            held = []
-    if held:
-        put()
+    """(start, end, words, digest) of every unit, in order; offsets in code points.
+
+    Where a unit ends depends on its own words and lines alone, so a passage is cut alike in any surroundings, but for
+    its first and last unit.
+    """
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return []
+    sizes = np.fromiter(map(len, text.split()), np.int64, n)
+    if sizes.sum() + n - 1 == len(text):  # one white space between words, none around
+        starts = np.cumsum(sizes + 1) - sizes - 1
+    else:
+        starts = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, n)
+    line = np.searchsorted(np.array([m.start() for m in _LINE.finditer(text)], np.int64), starts)
+    hard = np.ones(n, bool)
+    hard[:-1] = line[1:] != line[:-1]
+    soft = np.fromiter(map(_ends_piece.__getitem__, words), bool, n)
+    begins, ends = starts.tolist(), (starts + sizes).tolist()
+    out, begin = [], 0
+    for at in np.flatnonzero(hard | soft).tolist():
+        if at + 1 - begin < SHORT_WORDS and not hard[at]:
+            continue
+        digest = xxhash.xxh3_128_digest(" ".join(words[begin : at + 1]).strip(_OUTER))
+        out.append((begins[begin], ends[at], at + 1 - begin, digest))
+        begin = at + 1
     return out
 
 
