@@ -15,15 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, small_batches, table
+from parley.llm.common import held_out, remove, small_batches, table, written
 from parley.llm.memo import Memo
 
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 12_000
+#: Lengths of stems, and the share of toxic groups that a stem needs.
+STEM_CHARS = (4, 5, 6, 7)
+STEM_SHARE = 0.6
 MAX_TERMS = 2_000
-MIN_LLR = 15.0
+MIN_LLR = 20.0
+#: Words of the windows whose least hash names a text's group of copies.
+GROUP_WORDS = 5
 FUZZY_CHARS = 5
 THRESHOLD = 0.3
 WINDOW = 8
@@ -35,39 +41,47 @@ REPORTING = frozenset("said says quote quoted called wrote dit écrit cité sagt
 
 
 class Trie:
-    """Terms as nested dicts; the key '' holds a term's number."""
+    """Terms as nested dicts; the key '' holds a term's number, '*' that of a stem ("stem*"), which any ending may follow."""
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
+        self.heads, self.tails = {}, {}  # beginnings and ends of terms, with the terms' lengths as bits
         for n, term in enumerate(terms):
             node = self.root
-            for c in term:
+            for c in term.rstrip("*"):
                 node = node.setdefault(c, {})
-            node[""] = n
-            self.heads.update(term[:i] for i in range(len(term) + 1))
-            self.tails.update(term[i:] for i in range(len(term) + 1))
+            node["*" if term[-1:] == "*" else ""] = n
+            if term[-1:] == "*":
+                continue
+            for i in range(len(term) + 1):
+                self.heads[term[:i]] = self.heads.get(term[:i], 0) | 1 << len(term)
+                self.tails[term[i:]] = self.tails.get(term[i:], 0) | 1 << len(term)
 
     def exact(self, token: str) -> int | None:
-        node = self.root
+        """The term that the token is, else the longest stem that it starts with."""
+        node, stem = self.root, None
         for c in token:
+            stem = node.get("*", stem)
             if (node := node.get(c)) is None:
-                return None
-        return node.get("")
+                return stem
+        return node.get("", node.get("*", stem))
 
     def near(self, token: str) -> int | None:
         """The first term, in order of number, one edit away: the automaton's states are (place, edits) sets.
 
-        One edit leaves one half of the token as it is, so a token whose halves start or end no term is skipped.
+        One edit leaves one half of the token as it is and changes its length by one at most, so a token whose
+        halves start or end no term of such a length is skipped.
         """
         half = len(token) // 2
-        if token[:half] not in self.heads and token[half:] not in self.tails:
+        if not (self.heads.get(token[:half], 0) | self.tails.get(token[half:], 0)) >> max(0, len(token) - 1) & 7:
             return None
         found, n = [], len(token)
         stack = [(self.root, frozenset([(0, 0), (1, 1)]))]
         while stack:
             node, states = stack.pop()
             for c, child in node.items():
+                if c == "*":
+                    continue
                 if c == "":
                     if any(n - place <= 1 - edits for place, edits in states):
                         found.append(child)
@@ -151,22 +165,76 @@ class Matcher:
         ]
 
 
+def copy_group(text: str, k: int = GROUP_WORDS) -> int:
+    """The least hash of the text's word windows: equal for most near copies, different for texts of their own."""
+    words = text.lower().split()
+    windows = (" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
+    return min(map(xxhash.xxh64_intdigest, windows)) - (1 << 63)
+
+
+def grouped_terms(sample: DataFrame) -> DataFrame:
+    """(toxic, group, term, low, high): words of three letters or more of each group of copies, and stems ("stem*")
+    with the first and last of the group's words that start so."""
+    small_batches(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, terms, of = [], [], []
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for i, text in enumerate(texts):
+                words = {w for w in _TOKEN.findall(text.lower()) if len(w) > 2}
+                stems = {w[:n] + "*": w for w in sorted(words) for n in STEM_CHARS if len(w) > n}
+                terms += [*words, *stems]
+                of += [*words, *stems.values()]
+                which += [i] * (len(words) + len(stems))
+            at = pa.array(which, pa.int64())
+            groups = pa.array(map(copy_group, texts), pa.int64())
+            columns = [batch.column(0).take(at), groups.take(at), pa.array(terms, pa.string()), pa.array(of, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "group", "term", "of"])
+
+    kind = sample.schema["toxic"].dataType.simpleString()
+    rows = sample.select("toxic", "text").mapInArrow(run, f"toxic {kind}, group long, term string, of string")
+    return rows.groupBy("toxic", "group", "term").agg(F.min("of").alias("low"), F.max("of").alias("high"))
+
+
 def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, min_llr: float = MIN_LLR) -> tuple[list[str], list[float]]:
-    """Terms over-represented among toxic documents of the sample (text, toxic), with their log odds ratios."""
-    n = sample.agg(F.count("*"), F.sum("toxic")).first()
+    """Terms over-represented among toxic documents of the sample (text, toxic), with their log odds ratios.
+
+    Groups of copies count once, so the rare words of a copied document are no evidence. Stems are terms if they
+    stand in several words, mostly in toxic groups; of stems that contain each other the best stays.
+    """
+    seen, path = written(grouped_terms(sample), "lexicon-terms")
+    groups = sample.select("toxic", "text").mapInArrow(_groups_of, "toxic int, group long").distinct()
+    n = groups.agg(F.count("*"), F.sum("toxic")).first()
     total, bad = n[0] or 0, n[1] or 0
     if not bad or bad == total:
         return [], []
-    words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("word"))
-    counted = words.filter(F.length("word") >= 3).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counted = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     a, k = F.col("a"), F.col("n")
     p, share = a / k, F.lit(bad / total)
     half = lambda x, r, e: F.when(x > 0, x * F.log(r / e)).otherwise(0.0)
     llr = 2 * (half(a, p, share) + half(k - a, 1 - p, 1 - share))
     odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((k - a + 0.5) / (total - bad - k + a + 0.5))
-    top = counted.filter((a >= 3) & (p > share)).select("word", llr.alias("llr"), odds.alias("odds")).filter(F.col("llr") >= min_llr)
-    rows = top.orderBy(F.desc("llr"), "word").limit(max_terms).collect()
-    return [r["word"] for r in rows], [float(r["odds"]) for r in rows]
+    fit = ~F.col("term").endswith("*") | ((F.col("low") < F.col("high")) & (p >= STEM_SHARE))
+    top = counted.filter((a >= 3) & (p > share) & fit).select("term", llr.alias("llr"), odds.alias("odds")).filter(F.col("llr") >= min_llr)
+    rows = top.orderBy(F.desc("llr"), F.length("term"), "term").limit(max_terms).collect()
+    remove(sample.sparkSession, path)
+    stems: list[str] = []
+    out = []
+    for r in rows:
+        if r["term"].endswith("*"):
+            stem = r["term"][:-1]
+            if any(stem.startswith(x) or x.startswith(stem) for x in stems):
+                continue
+            stems.append(stem)
+        out.append((r["term"], float(r["odds"])))
+    return [t for t, _ in out], [w for _, w in out]
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        groups = pa.array(map(copy_group, [x or "" for x in batch.column(1).to_pylist()]), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), groups], names=["toxic", "group"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
