@@ -8,6 +8,8 @@ from parley.functions import labels as L
 from parley.functions.text import model_slug, normal_speaker, strip
 from parley.operators import context, prepare, prompts, splits
 from parley.plans import fixtures as fx
+from parley.sources.readers import normal_form as as_normal_form
+from parley.sources.readers import read_rows
 from parley.vocab import ALIASES, CLIENT_T1, CLIENT_T2, COUNSELLOR_T1, COUNSELLOR_T2, SPEAKERS, T1_GROUPS, THIRD_PARTY_T1, THIRD_PARTY_T2
 
 QUERIES, SQL = {}, {}
@@ -418,3 +420,15 @@ def scalar_helpers(spark, sf):
         F.upper(strip(F.concat(F.lit("  "), "role", F.lit(" ")))).alias("cleaned"),
         F.coalesce(F.nullif(F.get(F.split(text, " "), F.lit(0)), F.lit("")), F.lit("UNKNOWN")).alias("head"),
     )
+
+
+@query(fx.sql("SELECT conv_id, conv_vol_idx, i FROM (SELECT *, row_number() OVER (ORDER BY conv_id, conv_vol_idx) - 1 AS i FROM volleys) WHERE i >= 10 AND i < 35", "volleys"))
+def row_range(spark, sf):
+    rows = prepare.running_index(fx.volleys(spark, sf), ["conv_id", "conv_vol_idx"], "i")
+    return read_rows(rows, "i", 10, 25).select("conv_id", "conv_vol_idx", "i")
+
+
+@query(fx.sql("SELECT 'd' AS dataset, CAST(conv_id AS VARCHAR) AS conv_id, speaker, md5(utt_text) AS utt_md5, t1_gold AS t1_label, CAST(NULL AS VARCHAR) AS t2_label FROM coded", "coded"))
+def normal_form(spark, sf):
+    rows = as_normal_form(fx.coded(spark, sf), "d", "t1_gold", "no_such_column")
+    return rows.select("dataset", "conv_id", "speaker", F.md5("utt_text").alias("utt_md5"), "t1_label", "t2_label")

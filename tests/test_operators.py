@@ -223,3 +223,14 @@ def test_experiments(spark, tmp_path):
     assert got[ids[0]]["success"] and not got[ids[1]]["success"]
     experiments.save_checkpoint(str(tmp_path / "c.json"), c, ids[:1])
     assert experiments.load_checkpoint(str(tmp_path / "c.json")) == set(ids[:1]) and experiments.load_checkpoint(str(tmp_path / "none")) == set()
+
+
+def test_recorded_scores_are_reproduced(spark):
+    """A recorded evaluation of 300 rows over 36 codes: two codes predicted, all others missed."""
+    rows = [("N", "N")] * 126 + [("FI", "FI")] * 35 + [("OQ", "N")] * 16 + [("CR", "FI")] * 123
+    s = metrics.summary(frame(spark, rows, "gold string, said string"), "gold", "said", vocabulary("t2")).first()
+    assert (round(s["accuracy"], 4), round(s["f1_macro"], 6), round(s["f1_weighted"], 6)) == (0.5367, 0.036194, 0.43724)
+    families = {"neutral": ["N"], "utility": ["FI"], "questions": ["OQ", "CQ"]}
+    got = {r["family"]: r for r in metrics.family_recall(frame(spark, rows, "gold string, said string"), "gold", "said", families).collect()}
+    assert got["neutral"]["recall"] == got["utility"]["recall"] == 1 and got["questions"]["recall"] == 0
+    assert round(got["neutral"]["precision"], 2) == 0.89 and round(got["utility"]["precision"], 2) == 0.22
