@@ -68,3 +68,23 @@ def test_annotating_a_stream_twice_changes_nothing(spark, tmp_path):
 def test_momentum_steps():
     m = incremental.Momentum(0.1)
     assert m.step(0.2, "R+") == pytest.approx(0.3) and m.step(0.2, None) == 0.2 and m.step(1.0, "N") == pytest.approx(0.9) and m.step(0, "TS-") == pytest.approx(-0.2)
+
+
+def test_momentum_stream_goes_on_across_batches(spark, tmp_path):
+    from parley.operators.trajectory import momentum
+
+    rows = [(1, 0, "N"), (1, 1, "C+"), (2, 0, "R-"), (1, 2, "R+"), (1, 3, None), (2, 1, "TS-"), (1, 4, "O+")]
+    shape = "conv_id long, conv_utt_idx long, code string"
+    for n, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, shape).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        q = incremental.stream_momentum(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out"))
+        q.trigger(availableNow=True).start().awaitTermination(180)
+    finally:
+        spark.conf.unset(store)
+    got = {(r[0], r[1]): round(r[2], 9) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = momentum(spark.createDataFrame(rows, shape), "code", tier="t2")
+    assert got == {(r[0], r[1]): round(r[2], 9) for r in want.collect()}
