@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import time
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -101,7 +100,7 @@ def make_rules(
     max_upper_share: float = 0.7,
     min_distinct_share: float = 0.1,
     max_top_word_share: float = 0.3,
-    min_packed_share: float = 0.15,
+    min_distinct_pairs: float = 0.12,
 ) -> dict[str, Rule]:
     def symbols(m: Measured) -> bool:
         return m.n_symbols > max_symbol_share * m.word_chars
@@ -117,7 +116,7 @@ def make_rules(
         return sum(map(str.isalpha, m.text)) < min_letter_share * m.word_chars
 
     def upper(m: Measured) -> bool:
-        return sum(map(str.isupper, m.text)) > max_upper_share * m.word_chars
+        return sum(c.isupper() and c.isalpha() for c in m.text) > max_upper_share * m.word_chars
 
     def distinct(m: Measured) -> bool:
         n = min(len(m.words), 1000)  # the share of distinct words falls with length; compare per thousand words
@@ -126,11 +125,10 @@ def make_rules(
     def top_word(m: Measured) -> bool:
         return Counter(m.words).most_common(1)[0][1] > max_top_word_share * len(m.words)
 
-    def packed(m: Measured) -> bool:
-        raw = m.text.encode()
-        return len(raw) >= 500 and len(zlib.compress(raw, 1)) < min_packed_share * len(raw)
+    def pairs(m: Measured) -> bool:
+        return len(set(zip(m.words, m.words[1:]))) < min_distinct_pairs * min(len(m.words) - 1, 1000)
 
-    return {f.__name__: f for f in (symbols, dup_lines, word_length, letters, upper, distinct, top_word, packed)}
+    return {f.__name__: f for f in (symbols, dup_lines, word_length, letters, upper, distinct, top_word, pairs)}
 
 
 def estimate(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
@@ -200,3 +198,25 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] | None = None, order: list[s
 def op1_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rejected_by`` stays out: it may name another rule when measured costs differ."""
     return cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+#: The same rows in SQL, with the thresholds of make_rules().
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS g, lead(w, 4) OVER o IS NOT NULL AS whole FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE whole),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY doc_id),
+u AS (SELECT doc_id, count(*) AS n_distinct, max(n) AS top FROM (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL) GROUP BY doc_id),
+p AS (SELECT doc_id, count(DISTINCT [w, v]) AS n_pairs FROM (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w) WHERE v IS NOT NULL GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \t-\r]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS uppers,
+  len(string_split(t, chr(10))) AS n_lines, coalesce(n_distinct, 0) AS n_distinct, coalesce(top, 0) AS top, coalesce(n_pairs, 0) AS n_pairs
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > 0.1::DOUBLE * word_chars OR (n_lines > 3 AND n_dup_lines > 0.3::DOUBLE * n_lines) OR word_chars / n_words < 1.5::DOUBLE OR word_chars / n_words > 20::DOUBLE
+    OR letters < 0.5::DOUBLE * word_chars OR uppers > 0.7::DOUBLE * word_chars OR n_distinct < 0.1::DOUBLE * least(n_words, 1000) OR top > 0.3::DOUBLE * n_words OR n_pairs < 0.12::DOUBLE * least(n_words - 1, 1000)) AS kept
+FROM b
+"""

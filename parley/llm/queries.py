@@ -5,7 +5,7 @@ from __future__ import annotations
 from parley.llm.byte_bpe import op9_scan_bpe
 from parley.llm.language import op10_crf_language
 from parley.llm.planes import op7_bit_planes
-from parley.llm.quality import op1_rule_cascade
+from parley.llm.quality import OP1_SQL, op1_rule_cascade
 from parley.llm.repeats import op6_line_hashing
 from parley.llm.simhash import op5_bit_sliced_simhash
 from parley.llm.slots import op8_fixed_virtual_slots
@@ -28,4 +28,4 @@ QUERIES = {
         op10_crf_language,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {op1_rule_cascade.__name__: OP1_SQL}

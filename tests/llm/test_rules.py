@@ -35,6 +35,12 @@ def test_quality_query(spark, sf, documents):
         assert got[d]["kept"] == (not m.base_failed and not any(f(m) for f in rules.values()))
 
 
+def test_quality_query_equals_its_sql(spark, sf):
+    from compare import difference, run_sql
+
+    assert difference(quality.op1_rule_cascade(spark, sf).toPandas(), run_sql(quality.OP1_SQL, sf)) is None
+
+
 def test_quality_edges(spark, edge, empty):
     got = quality.cascade(edge).collect()
     assert len(got) == edge.count() and quality.cascade(empty).count() == 0
@@ -51,8 +57,8 @@ def test_order_never_changes_the_verdict(spark, sf):
 
 def test_order_puts_cheap_rejection_first():
     rules = quality.make_rules()
-    found = [("packed", 1e-3, 0.5), ("symbols", 1e-6, 0.2), ("upper", 1e-6, 0.0), ("letters", 1e-5, 0.0)]
-    assert quality.best_order(found, rules)[:4] == ["symbols", "packed", "upper", "letters"]
+    found = [("pairs", 1e-3, 0.5), ("symbols", 1e-6, 0.2), ("upper", 1e-6, 0.0), ("letters", 1e-5, 0.0)]
+    assert quality.best_order(found, rules)[:4] == ["symbols", "pairs", "upper", "letters"]
 
 
 def test_estimates_cover_all_rules(spark, sf):
