@@ -9,7 +9,6 @@ are spliced from two languages, so that switches are seen. Every word of every t
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +26,8 @@ SAMPLE_DOCS = 400
 SAMPLE_WORDS = 160
 MAX_LANGUAGES = 64
 LEXICON_WORDS = 400
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 CHAIN = 64
 TRAIN_CHAIN = 32
 STEPS = 60
@@ -44,26 +44,61 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_NOT_WORD).split()
 
 
+def _bucket(codes: np.ndarray, tag: int) -> np.ndarray:
+    """Buckets of up to four bytes under a tag, by multiplicative hashing."""
+    return ((codes.astype(np.uint64) + np.uint64(tag << 32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 class Field:
-    """Weights of hashed features and of transitions, with the lexicon."""
+    """Weights of hashed features and of transitions, with the lexicon (word -> its number and languages)."""
 
-    def __init__(self, labels: list[str], lexicon: dict[str, tuple[int, ...]]):
+    def __init__(self, labels: list[str], lexicon: dict[bytes, tuple[int, ...]]):
         k = len(labels)
-        self.labels, self.lexicon = labels, lexicon
+        self.labels = labels
+        self.lexicon = {w: (i, ys) for i, (w, ys) in enumerate(sorted(lexicon.items()))}
         self.weights, self.moves = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k))
 
-    def features(self, word: str) -> list[int]:
-        """Hashed features: affixes of 1 to 4 letters, padded 2- and 3-grams, lexicon entries."""
-        names = [f"p{word[:i]}" for i in (1, 2, 3, 4)] + [f"s{word[-i:]}" for i in (1, 2, 3, 4)]
-        padded = f"^{word}$"
-        names += {padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)}
-        if word in self.lexicon:
-            names += [f"w={word}", *(f"l={i}" for i in self.lexicon[word])] * 3
-        return [zlib.crc32(x.encode()) % BUCKETS for x in names]
-
-    def emission(self, word: bytes) -> bytes:
-        found = self.features(word.decode())
-        return (self.weights[found].sum(0) / np.sqrt(len(found))).astype(np.float32).tobytes()
+    def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of all words one after another, their number by word).
+
+        Affixes of 1 to 4 bytes, 2- and 3-grams of the padded word and, three times, lexicon entries. All words are
+        taken at once; each n-gram is one number made from shifted copies of the joined bytes.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        joined = np.frombuffer(b"".join([b"^%b$\0\0\0" % w for w in words]), np.uint8).astype(np.uint64)
+        ends = np.cumsum(sizes + 5)
+        begins = ends - sizes - 5
+        who = np.repeat(np.arange(len(words)), sizes + 5)
+        place = np.arange(len(joined)) - begins[who]
+        grown = [joined]
+        for _ in range(3):
+            grown.append(grown[-1][:-1] << np.uint64(8) | joined[len(joined) - len(grown[-1]) + 1 :])
+        parts, owners = [], []
+        for n in (2, 3):
+            at = np.flatnonzero(place <= sizes[who] + 2 - n)  # up to the closing mark
+            parts.append(_bucket(grown[n - 1][at], n))
+            owners.append(who[at])
+        every = np.arange(len(words))
+        for n in (1, 2, 3, 4):
+            head, tail = np.minimum(n, sizes), np.maximum(sizes - n, 0)
+            parts.append(_bucket(grown[n - 1][begins + 1] >> (8 * (n - head)).astype(np.uint64), 10 + n))
+            parts.append(_bucket(grown[n - 1][begins + 1 + tail] >> (8 * (n - head)).astype(np.uint64), 20 + n))
+            owners += [every, every]
+        known = [(i, found) for i, w in enumerate(words) if (found := self.lexicon.get(w))]
+        for i, (number, ys) in known:
+            parts.append(np.concatenate([_bucket(np.array([number]), 30), _bucket(np.array(ys), 31)]).repeat(3))
+            owners.append(np.full(len(parts[-1]), i))
+        flat, owner = np.concatenate(parts), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], np.bincount(owner, minlength=len(words))
+
+    def emissions(self, words: list[bytes]) -> list[bytes]:
+        """Label scores of words: the sum of their features' weights over the root of their number."""
+        flat, sizes = self.features(words)
+        sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+        packed = (sums / np.sqrt(sizes)[:, None]).astype(np.float32).tobytes()
+        step = 4 * len(self.labels)
+        return [packed[i : i + step] for i in range(0, len(packed), step)]
 
 
 def marginals(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +129,7 @@ def marginals(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[
     return post, expected, norm
 
 
-def _training_chains(sample: list[tuple[str, list[str]]], labels: list[str], rng: np.random.Generator):
+def _training_chains(sample: list[tuple[str, list[bytes]]], labels: list[str], rng: np.random.Generator):
     """Chains of TRAIN_CHAIN words with a label each; every second chain switches language inside."""
     by_label = defaultdict(list)
     for lang, words in sample:
@@ -120,14 +155,14 @@ def fit(sample: list[tuple[str, str]], steps: int = STEPS, seed: int = 1) -> Fie
     rng = np.random.default_rng(seed)
     rows, counts = [], defaultdict(Counter)
     for lang, text in sorted(sample):
-        words = [w.decode() for w in words_of(text)]
+        words = words_of(text)
         if len(words) > SAMPLE_WORDS:
             at = int(rng.integers(0, len(words) - SAMPLE_WORDS + 1))
             words = words[at : at + SAMPLE_WORDS]
         if words:
             rows.append((lang, words))
             counts[lang].update(words)
-    lexicon: dict[str, list[int]] = defaultdict(list)
+    lexicon: dict[bytes, list[int]] = defaultdict(list)
     for y, lang in enumerate(labels):
         for word, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]:
             if n > 1:
@@ -137,9 +172,8 @@ def fit(sample: list[tuple[str, str]], steps: int = STEPS, seed: int = 1) -> Fie
     if k < 2 or not chains:
         return field
     vocabulary = {w: i for i, w in enumerate(sorted({w for words, _ in chains for w in words}))}
-    found = [field.features(w) for w in vocabulary]
-    sizes = np.array([len(x) for x in found])
-    flat, begin = np.concatenate(found).astype(np.int64), np.cumsum(sizes) - sizes
+    flat, sizes = field.features(list(vocabulary))
+    begin = np.cumsum(sizes) - sizes
     root = np.sqrt(sizes)[:, None]
     ids, gold = np.zeros((len(chains), TRAIN_CHAIN), np.int64), np.zeros((len(chains), TRAIN_CHAIN), np.int64)
     mask = np.zeros((len(chains), TRAIN_CHAIN), bool)
@@ -188,10 +222,14 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tu
     return [x for lang in sorted(out) for x in out[lang]]
 
 
+def scores_memo(field: Field) -> Memo:
+    return Memo(lambda word: field.emissions([word])[0], 200_000)
+
+
 @lru_cache(maxsize=1)
 def _labeller(held: object):
     field = held.value
-    return field, Memo(field.emission, 200_000)
+    return field, scores_memo(field)
 
 
 def label_texts(field: Field, memo: Memo, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
@@ -202,6 +240,7 @@ def label_texts(field: Field, memo: Memo, texts: list[str | None]) -> tuple[list
     flat = [w for ws in words for w in ws]
     if not flat or not k:
         return [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts)
+    memo.fill(set(flat), field.emissions)
     scores = np.frombuffer(b"".join(map(memo.__getitem__, flat)), np.float32).reshape(-1, k)
     length = np.fromiter(map(len, flat), np.float64, len(flat))
     chains = -(-counts // CHAIN)
