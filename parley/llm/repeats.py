@@ -96,7 +96,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are. Rows with a null id rank first. A digest that many documents share is counted by partial sums, and
     its rows are split by adaptive joins; no task holds a digest's rows together.
     """
-    every = unit_table(docs)
+    every, _ = written(unit_table(docs), "units")  # read twice below; cutting costs more than reading again
     first = F.min(F.struct("doc_id", "idx")).alias("first")
     known = every.groupBy("digest").agg(F.count("*").alias("n"), first).filter("n > 1")
     known, _ = written(known.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.idx").alias("kept_idx")), "repeated-units")
