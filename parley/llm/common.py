@@ -60,6 +60,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT_FOLD, F.lit(False))
 
 
+def text_key():
+    """A digest of ``text``: with doc_id it tells apart the rows that share an id, a null one included."""
+    return F.xxhash64(F.lit("text"), F.col("text"))
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -2,7 +2,7 @@
 
 A text is cut into units: lines, inside lines sentences, and inside sentences at words chosen by their own hash;
 very short pieces join the next one. Equal passages are so cut alike wherever they stand. Units are normalised (case, white space, outer punctuation) and digested to 128 bits. Digests are counted over all
-documents; of every repeated one the earliest occurrence by (doc_id, place) stays. Neighbouring repeats form
+documents; of every repeated one the earliest occurrence by (doc_id, text_key, place) stays. Neighbouring repeats form
 runs; runs of ``MIN_WORDS`` words or more are removed, with code point offsets in the original text.
 """
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table, unused, written
+from parley.llm.common import small_batches, table, text_key, unused, written
 from parley.llm.memo import Memo
 
 #: A piece of fewer words joins the next one of its line.
@@ -70,41 +70,45 @@ UNIT_FIELDS = "idx int, start int, end int, n_words int, digest binary"
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    """One row a unit: doc_id, idx, start, end, n_words, digest. Null and empty texts have none."""
+    """One row a unit: doc_id, text_key, idx, start, end, n_words, digest. Null and empty texts have none."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [units(x) if x else [] for x in batch.column(1).to_pylist()]
+            found = [units(x) if x else [] for x in batch.column(2).to_pylist()]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             rows = [u for us in found for u in us]
             starts, ends, words, digests = zip(*rows) if rows else ((), (), (), ())
             idx = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            of = pa.array(np.repeat(np.arange(len(found)), counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), counts))), *(pa.array(x, pa.int32()) for x in (idx, starts, ends, words)), pa.array(digests, pa.binary())],
-                names=["doc_id", "idx", "start", "end", "n_words", "digest"],
+                [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(x, pa.int32()) for x in (idx, starts, ends, words)), pa.array(digests, pa.binary())],
+                names=["doc_id", "text_key", "idx", "start", "end", "n_words", "digest"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {UNIT_FIELDS}")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, {UNIT_FIELDS}")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs to remove: doc_id, start, end, n_words, n_units, kept_doc_id (the document of an earliest occurrence).
+    """Runs to remove: doc_id, text_key, start, end, n_words, n_units, kept_doc_id (the document of an earliest occurrence).
 
-    Rows that share a doc_id count as one document: repeats among them are not seen, repeats of them elsewhere
-    are. Rows with a null id rank first. A digest that many documents share is counted by partial sums, and
+    Rows that share both doc_id and text count as one document: repeats among them are not seen, repeats of them
+    elsewhere are. Rows that share an id, a null one too, but not the text are documents of their own, told apart by
+    text_key. Rows with a null id rank first. A digest that many documents share is counted by partial sums, and
     its rows are split by adaptive joins; no task holds a digest's rows together.
     """
     every, _ = written(unit_table(docs), "units")  # read twice below; cutting costs more than reading again
-    first = F.min(F.struct("doc_id", "idx")).alias("first")
+    first = F.min(F.struct("doc_id", "text_key", "idx")).alias("first")
     known = every.groupBy("digest").agg(F.count("*").alias("n"), first).filter("n > 1")
-    known, _ = written(known.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.idx").alias("kept_idx")), "repeated-units")
-    hits = every.join(known, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("idx") == F.col("kept_idx"))))
-    by_doc = Window.partitionBy("doc_id").orderBy("idx", "start")
-    runs = hits.select("doc_id", "idx", "start", "end", "n_words", "kept_doc_id").withColumn("run", F.col("idx") - F.dense_rank().over(by_doc))
+    known, _ = written(known.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.text_key").alias("kept_key"), F.col("first.idx").alias("kept_idx")), "repeated-units")
+    kept = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("text_key") == F.col("kept_key")) & (F.col("idx") == F.col("kept_idx"))
+    # Copies of a row give the same hits; each counts once.
+    hits = every.join(known, "digest").filter(~kept).select("doc_id", "text_key", "idx", "start", "end", "n_words", "kept_doc_id").distinct()
+    by_doc = Window.partitionBy("doc_id", "text_key").orderBy("idx")
+    runs = hits.withColumn("run", F.col("idx") - F.dense_rank().over(by_doc))
     return (
-        runs.groupBy("doc_id", "run")
+        runs.groupBy("doc_id", "text_key", "run")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -135,10 +139,11 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     runs = repeated_runs(docs, min_words)
-    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    owner, held = unused(docs, "_spans_of"), unused(docs, "_spans")
-    spans = spans.select(F.col("doc_id").alias(owner), F.col("spans").alias(held))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[owner]), "left").drop(owner)
+    spans = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    owner, key, own, held = (unused(docs, x) for x in ("_spans_of", "_spans_key", "_own_key", "_spans"))
+    spans = spans.select(F.col("doc_id").alias(owner), F.col("text_key").alias(key), F.col("spans").alias(held))
+    keyed = docs.withColumn(own, text_key())
+    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans[owner]) & (keyed[own] == spans[key]), "left").drop(owner, key, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,4 +162,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op6_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_runs(table(spark, sf_dir, "documents"))
+    return repeated_runs(table(spark, sf_dir, "documents")).drop("text_key")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table, written
+from parley.llm.common import small_batches, table, text_key, written
 from parley.llm.components import connected_components
 
 SHINGLE = 3
@@ -49,16 +49,16 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null and empty texts have 0."""
+    """doc_id, text_key, fp (the 64 bits as a signed long) of every row; null and empty texts have 0."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -196,17 +196,25 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return found.union(shared.select(F.col("fp").alias("src"), least.alias("dst")).filter("src <> dst").distinct())
 
 
+def _rooted(docs: DataFrame, hot_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; (fp, root, least) of distinct ones, least being the first row with that
+    fingerprint by doc_id (null last) and text_key."""
+    prints, _ = written(fingerprints(docs), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
+    distinct, _ = written(prints.groupBy("fp").agg(least), "distinct-fps")
+    roots = connected_components(links(distinct.select("fp"), hot_bucket))
+    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, written(linked, "fp-roots")[0]
+
+
 def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links, the row's own included) of every row.
 
     Null and empty texts share fingerprint zero, so they link. Repeated rows stay. A null id never is the smallest;
     a component of null ids alone has a null id. An empty table gives no rows; other columns are ignored.
     """
-    prints, _ = written(fingerprints(docs), "fingerprints")
-    distinct, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fps")
-    roots = connected_components(links(distinct.select("fp"), hot_bucket))
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    linked, _ = written(linked, "fp-roots")
+    prints, linked = _rooted(docs, hot_bucket)
+    linked = linked.select("fp", "root", F.col("least.doc_id").alias("least_id"))
     classes = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_fps"))
     # Only components of several fingerprints need a second look; the others keep their own smallest id.
     several, _ = written(classes.filter("n_fps > 1").select("root", "component_id"), "fp-classes")
@@ -215,6 +223,12 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(doc_id, text_key) of one row a component: the smallest id, of rows with that id (or of null ids alone) the least text_key."""
+    _, linked = _rooted(docs, hot_bucket)
+    return linked.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_key")
+
+
 def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
