@@ -131,7 +131,8 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, coverage
     n_item, n_tiles, coverage, contaminated (true).
 
     Items of fewer than ``k`` words have no seed and contaminate nothing; null texts have no words. Repeated rows
-    of documents or items give repeated rows. Other columns are ignored.
+    of documents or items give repeated rows, rows that share an id or have none count each by its own text. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     items = items.select("item_id", "text")
@@ -156,10 +157,13 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, coverage
         item_type = _arrow_type(items)
         found = docs.mapInArrow(scan, shape)
     else:
-        seeds, _ = written(seed_table(items, k), "bench-seeds")
-        doc_seeds = seed_table(docs.select(F.col("doc_id").alias("item_id"), "text"), k).withColumnRenamed("item_id", "doc_id")
-        pairs, _ = written(doc_seeds.join(seeds, "seed").select("doc_id", "item_id").distinct(), "bench-pairs")
-        both = pairs.join(docs.dropDuplicates(["doc_id"]), "doc_id").join(items.dropDuplicates(["item_id"]).withColumnRenamed("text", "item_text"), "item_id")
+        # Texts meet by their digests; ids may be null or shared and only come back with the rows.
+        digest = F.md5("text")
+        seeds, _ = written(seed_table(items.select(digest.alias("item_id"), "text"), k).withColumnRenamed("item_id", "item_key"), "bench-seeds")
+        doc_seeds = seed_table(docs.select(digest.alias("item_id"), "text"), k).withColumnRenamed("item_id", "doc_key")
+        pairs, _ = written(doc_seeds.join(seeds, "seed").select("doc_key", "item_key").distinct(), "bench-pairs")
+        own_items = items.select("item_id", F.col("text").alias("item_text"), digest.alias("item_key"))
+        both = pairs.join(docs.withColumn("doc_key", digest), "doc_key").join(own_items, "item_key")
         item_type = _arrow_type(items)
 
         def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +191,12 @@ def _arrow(doc_type: pa.DataType, item_type: pa.DataType) -> pa.Schema:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """All rows and columns of documents that hold no benchmark item; a null doc_id is compared like a value."""
-    name = unused(docs, "_bad_id")
-    bad, _ = written(contaminated(docs, items, **how).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
+    """All rows and columns of documents that hold no benchmark item. Each row goes or stays by its own text, whatever
+    rows share its id: the text's digest stands for it."""
+    name = unused(docs, "_bad_key")
+    keyed = docs.select(F.md5("text").alias("doc_id"), "text")
+    bad, _ = written(contaminated(keyed, items, **how).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, F.md5(docs["text"]) == bad[name], "left_anti")
 
 
 def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
