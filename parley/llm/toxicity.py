@@ -19,15 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, remove, small_batches, table, written
+from parley.llm.common import held_out, small_batches, table
 from parley.llm.memo import Memo
 
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 20_000
 #: Lengths of stems, and the share of toxic groups that a stem needs.
 STEM_CHARS = (4, 5, 6, 7)
 STEM_SHARE = 0.6
 MAX_TERMS = 2_000
-MIN_LLR = 20.0
+MIN_LLR = 15.0
 #: Words of the windows whose least hash names a text's group of copies.
 GROUP_WORDS = 5
 FUZZY_CHARS = 5
@@ -46,12 +46,17 @@ class Trie:
     def __init__(self, terms: list[str]):
         self.root: dict = {}
         self.heads, self.tails = {}, {}  # beginnings and ends of terms, with the terms' lengths as bits
+        self.stem_halves: dict[int, tuple[set, set]] = {}  # length of stems: their first and second halves
         for n, term in enumerate(terms):
             node = self.root
             for c in term.rstrip("*"):
                 node = node.setdefault(c, {})
             node["*" if term[-1:] == "*" else ""] = n
             if term[-1:] == "*":
+                size = len(term) - 1
+                first, second = self.stem_halves.setdefault(size, (set(), set()))
+                first.add(term[: size // 2])
+                second.add(term[size // 2 : size])
                 continue
             for i in range(len(term) + 1):
                 self.heads[term[:i]] = self.heads.get(term[:i], 0) | 1 << len(term)
@@ -66,14 +71,24 @@ class Trie:
                 return stem
         return node.get("", node.get("*", stem))
 
+    def _stem_may_be_near(self, token: str) -> bool:
+        """One edit leaves one half of a stem as it is: the first at the token's start, the second moved by one at most."""
+        for size, (first, second) in self.stem_halves.items():
+            half = size // 2
+            if token[:half] in first or any(token[at : at + size - half] in second for at in (max(0, half - 1), half, half + 1)):
+                return True
+        return False
+
     def near(self, token: str) -> int | None:
-        """The first term, in order of number, one edit away: the automaton's states are (place, edits) sets.
+        """The first term, in order of number, one edit away: the automaton's states are (place, edits) sets. A stem is
+        one edit away if a beginning of the token is.
 
         One edit leaves one half of the token as it is and changes its length by one at most, so a token whose
         halves start or end no term of such a length is skipped.
         """
         half = len(token) // 2
-        if not (self.heads.get(token[:half], 0) | self.tails.get(token[half:], 0)) >> max(0, len(token) - 1) & 7:
+        word = (self.heads.get(token[:half], 0) | self.tails.get(token[half:], 0)) >> max(0, len(token) - 1) & 7
+        if not word and not self._stem_may_be_near(token):
             return None
         found, n = [], len(token)
         stack = [(self.root, frozenset([(0, 0), (1, 1)]))]
@@ -81,6 +96,7 @@ class Trie:
             node, states = stack.pop()
             for c, child in node.items():
                 if c == "*":
+                    found.append(child)  # a node is reached with states left only: what follows is the ending
                     continue
                 if c == "":
                     if any(n - place <= 1 - edits for place, edits in states):
@@ -174,7 +190,7 @@ def copy_group(text: str, k: int = GROUP_WORDS) -> int:
 
 def grouped_terms(sample: DataFrame) -> DataFrame:
     """(toxic, group, term, low, high): words of three letters or more of each group of copies, and stems ("stem*")
-    with the first and last of the group's words that start so."""
+    with the first and last ending of the group's words that start so."""
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +199,9 @@ def grouped_terms(sample: DataFrame) -> DataFrame:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, text in enumerate(texts):
                 words = {w for w in _TOKEN.findall(text.lower()) if len(w) > 2}
-                stems = {w[:n] + "*": w for w in sorted(words) for n in STEM_CHARS if len(w) > n}
+                stems = {w[:n] + "*": w[n:] for w in sorted(words) for n in STEM_CHARS if len(w) > n}
                 terms += [*words, *stems]
-                of += [*words, *stems.values()]
+                of += [*[None] * len(words), *stems.values()]
                 which += [i] * (len(words) + len(stems))
             at = pa.array(which, pa.int64())
             groups = pa.array(map(copy_group, texts), pa.int64())
@@ -203,7 +219,7 @@ def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, min_llr: float = MIN_
     Groups of copies count once, so the rare words of a copied document are no evidence. Stems are terms if they
     stand in several words, mostly in toxic groups; of stems that contain each other the best stays.
     """
-    seen, path = written(grouped_terms(sample), "lexicon-terms")
+    seen = grouped_terms(sample)
     groups = sample.select("toxic", "text").mapInArrow(_groups_of, "toxic int, group long").distinct()
     n = groups.agg(F.count("*"), F.sum("toxic")).first()
     total, bad = n[0] or 0, n[1] or 0
@@ -218,7 +234,6 @@ def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, min_llr: float = MIN_
     fit = ~F.col("term").endswith("*") | ((F.col("low") < F.col("high")) & (p >= STEM_SHARE))
     top = counted.filter((a >= 3) & (p > share) & fit).select("term", llr.alias("llr"), odds.alias("odds")).filter(F.col("llr") >= min_llr)
     rows = top.orderBy(F.desc("llr"), F.length("term"), "term").limit(max_terms).collect()
-    remove(sample.sparkSession, path)
     stems: list[str] = []
     out = []
     for r in rows:
