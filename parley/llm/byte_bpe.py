@@ -10,6 +10,7 @@ inside all blocks follow at once. A match starts where (state before, class) say
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,10 +20,9 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table
-from parley.llm.memo import Memo
+from parley.llm.common import portions, small_batches, table
+from parley.llm.memo import Memo, of_worker
 
 # Classes of code points in context.
 LETTER, NUMBER, OTHER, SPACE_RUN, SPACE_JOINS, SPACE_ALONE, APOS_1, APOS_2, BREAK = range(9)
@@ -34,6 +34,10 @@ WHITE_SPACE = ((9, 14), (32, 33), (0x85, 0x86), (0xA0, 0xA1), (0x1680, 0x1681),
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SENTINEL = 0x110000
 BLOCK = 64
+#: Code points scanned at once; the state goes on from part to part, so a text of any length needs little beside itself.
+PART = 1 << 20
+#: Matches encoded at once.
+GROUP = 1 << 16
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +97,7 @@ def classes_of(points: np.ndarray) -> np.ndarray:
     return cls
 
 
-def state_before(cls: np.ndarray) -> np.ndarray:
+def state_before(cls: np.ndarray, initial: int = OPEN_NOTHING) -> np.ndarray:
     """The automaton's state before each code point, by an associative scan of transition functions."""
     n = len(cls)
     blocks = -(-n // BLOCK)
@@ -109,8 +113,8 @@ def state_before(cls: np.ndarray) -> np.ndarray:
         joined = whole.copy()
         joined[step:] = np.take_along_axis(whole[step:], whole[:-step], axis=1)
         whole, step = joined, 2 * step
-    state = np.zeros(blocks, np.uint8)
-    state[1:] = whole[:-1, OPEN_NOTHING]
+    state = np.full(blocks, initial, np.uint8)
+    state[1:] = whole[:-1, initial]
     out = np.empty((BLOCK, blocks), np.uint8)
     for i, row in enumerate(grid):
         out[i] = state
@@ -118,21 +122,30 @@ def state_before(cls: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
+def match_starts(points: np.ndarray) -> np.ndarray:
+    """Which code points start a match; ``points`` ends with a sentinel, and one stands between texts."""
+    out, state = np.empty(len(points), bool), OPEN_NOTHING
+    for a in range(0, len(points), PART):
+        cls = classes_of(points[a : a + PART + 2])[: min(PART, len(points) - a)]  # two more decide what follows
+        key = cls.astype(np.uint16) * 8 + state_before(cls, state)
+        out[a : a + len(cls)] = STARTS.ravel()[key]
+        state = int(NEXT.ravel()[key[-1]])
+    return out
+
+
 def pretokenise(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """UTF-8 of all texts, byte offsets of the matches (with the end) and each text's first match (with the end)."""
     joined = "".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths)
-    spread = np.insert(points, ends, SENTINEL)
-    cls = classes_of(spread)
-    starts = STARTS.ravel()[cls.astype(np.uint16) * 8 + state_before(cls)]
-    starts = np.delete(starts, ends + np.arange(len(texts)))
-    bytes_each = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    byte_at = np.concatenate([[0], np.cumsum(bytes_each)])
-    at = np.flatnonzero(starts)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    starts = match_starts(np.insert(points, ends, SENTINEL))
+    at = np.flatnonzero(np.delete(starts, ends + np.arange(len(texts))))
     first = np.concatenate([[0], np.searchsorted(at, ends)])
-    return joined.encode(), np.concatenate([byte_at[at], byte_at[-1:]]), first
+    raw = joined.encode()
+    if len(raw) == len(points):
+        return raw, np.append(at, len(raw)), first
+    heads = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80  # bytes that begin a code point
+    return raw, np.append(np.flatnonzero(heads)[at], len(raw)), first
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -261,19 +274,21 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw, at, first = pretokenise(texts)
-        cuts = at.tolist()
-        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        self.cache.fill(set(pieces), self.merge_all)
-        packed = list(map(self.cache.__getitem__, pieces))
+        parts = []
+        for i in range(0, len(at) - 1, GROUP):  # a long text in groups of matches
+            cuts = at[i : i + GROUP + 1].tolist()
+            pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            self.cache.fill(set(pieces), self.merge_all)
+            parts.append(list(map(self.cache.__getitem__, pieces)))
+        packed = parts[0] if len(parts) == 1 else [x for p in parts for x in p]
         return [np.frombuffer(b"".join(packed[a:b]), "<u4") for a, b in zip(first.tolist(), first[1:].tolist())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
-    return Bpe(path)
+    return of_worker(("bpe", path), lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, ranks: str, with_offsets: bool = False) -> DataFrame:
@@ -287,7 +302,7 @@ def encode(docs: DataFrame, ranks: str, with_offsets: bool = False) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(ranks)
         sizes = np.fromiter(map(len, model.vocab), np.int64, len(model.vocab))
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = model.encode([x or "" for x in batch.column(1).to_pylist()])
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
             flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
@@ -315,13 +330,30 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, by encoding and decoding its whole text."""
-    return decode(encode(docs, ranks), ranks).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: its whole text is encoded, and the ids decoded.
+
+    One pass, so ids stay inside the task. Null and empty texts have no ids; repeated rows stay; other columns are
+    ignored.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bpe(ranks)
+        decimal = [b"%d" % i for i in range(len(model.vocab))]
+        for batch in portions(batches, 1):
+            counts, spelt, bytes_of = [], [], []
+            for ids in model.encode([x or "" for x in batch.column(1).to_pylist()]):
+                ids = ids.tolist()
+                counts.append(len(ids))
+                spelt.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
+                bytes_of.append(hashlib.sha256(model.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spelt, pa.string()), pa.array(bytes_of, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_scan_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

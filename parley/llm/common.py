@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records in one Arrow batch handed to Python; with long texts Spark's default of 10,000 would not be bounded.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch handed to Python, and of the texts that a function takes from it at a time.
+BATCH_BYTES = 8 << 20
+PORTION_BYTES = 1 << 20
 #: Words are what stands between these bytes (\x20, \x09-\x0D).
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 HELD_OUT_FOLD = 2
@@ -20,19 +25,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of Python stages planned from here on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of Python stages to ``BATCH_BYTES``; the session's setting is only ever lowered, so
+    that one batch of long texts fits beside others in a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower()
+    digits = now.rstrip("bkmg")
+    if not digits.isdigit() or not 0 < int(digits) * _UNITS.get(now[len(digits) :], 1) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices whose texts in ``column`` have about ``limit`` bytes, or one row if it is longer."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - 1) // limit
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session in one process takes a
+    temporary folder; on a cluster no local folder would do, so that is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")

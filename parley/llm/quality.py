@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table
+from parley.llm.common import portions, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -139,7 +139,7 @@ def estimate(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, hit, seen = Counter(), Counter(), 0
-        for batch in batches:
+        for batch in portions(batches, 0):
             for text in batch.column(0).to_pylist():
                 m = measure(text)
                 if m.base_failed:
@@ -178,7 +178,7 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] | None = None, order: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = [(name, rules[name]) for name in order]
-        for batch in batches:
+        for batch in portions(batches, 1):
             out = {x: [] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "rejected_by")}
             for text in batch.column(1).to_pylist():
                 m = measure(text)

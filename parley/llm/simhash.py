@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table, text_key, written
+from parley.llm.common import portions, small_batches, table, text_key, written
 from parley.llm.components import connected_components
 
 SHINGLE = 3
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
@@ -158,7 +158,7 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     hot, _ = written(keyed.groupBy("tag", "key").count().filter(F.col("count") > hot_bucket).select("tag", "key"), "hot-buckets")
     any_hot = not hot.isEmpty()
     cold = keyed.join(hot, ["tag", "key"], "left_anti") if any_hot else keyed
-    small_batches(spark, 512)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = (np.zeros(0, np.int64), np.zeros(0, np.uint64))

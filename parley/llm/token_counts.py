@@ -10,15 +10,14 @@ none, it is widened. Shorter documents use the same boundary for single words, w
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import ASCII_SPACE, small_batches, table
-from parley.llm.memo import Memo
+from parley.llm.common import ASCII_SPACE, portions, small_batches, table
+from parley.llm.memo import Memo, of_worker
 
 HUGE_CHARS = 32_768
 CHUNK_CHARS = 8_192
@@ -26,9 +25,8 @@ OVERLAP_CHARS = 256
 TOKEN_LIMIT = 2048
 
 
-@lru_cache(maxsize=4)
 def library_tokenizer(path: str):
-    """The library's tokenizer of a .json file, loaded once a worker."""
+    """The library's tokenizer of a .json file."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -40,9 +38,7 @@ def library_tokenizer(path: str):
 Encoded = list[tuple[int, int, int]]  # id, start, end in code points
 
 
-def library_encode(path: str) -> Callable[[str], Encoded]:
-    tok = library_tokenizer(path)
-
+def library_encode(tok) -> Callable[[str], Encoded]:
     def encode(text: str) -> Encoded:
         got = tok.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(got.ids, got.offsets)]
@@ -90,18 +86,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, huge
     """
     small_batches(docs.sparkSession)
 
+    def counter():
+        tok = library_tokenizer(tokenizer)
+
+        def count_all(words: list[bytes]) -> list[int]:
+            return [len(x.ids) for x in tok.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+        return library_encode(tok), count_all, Memo(lambda word: count_all([word])[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, encode = library_tokenizer(tokenizer), library_encode(tokenizer)
-        memo = Memo(lambda word: len(tok.encode(word.decode(), add_special_tokens=False).ids))
-        for batch in batches:
-            sizes, counts = [], []
-            for text in batch.column(1).to_pylist():
-                raw = (text or "").encode()
-                sizes.append(len(raw))
-                if len(raw) > huge and len(text) > huge:
-                    counts.append(len(splice(text, encode)))
-                else:
-                    counts.append(sum(map(memo.__getitem__, raw.split())))
+        encode, count_all, memo = of_worker(("counts", tokenizer), counter)
+        for batch in portions(batches, 1):
+            texts = batch.column(1).to_pylist()
+            raws = [(x or "").encode() for x in texts]
+            long = [len(raw) > huge and len(text) > huge for raw, text in zip(raws, texts)]
+            words = [[] if far else raw.split() for raw, far in zip(raws, long)]
+            memo.fill({w for ws in words for w in ws}, count_all)
+            counts = [len(splice(text, encode)) if far else sum(map(memo.__getitem__, ws)) for text, far, ws in zip(texts, long, words)]
+            sizes = list(map(len, raws))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, small_batches, table
-from parley.llm.memo import Memo
+from parley.llm.common import held_out, portions, small_batches, table
+from parley.llm.memo import Memo, of_worker
 
 SAMPLE_DOCS = 20_000
 #: Lengths of stems, and the share of toxic groups that a stem needs.
@@ -133,7 +133,7 @@ class Model:
 class Matcher:
     def __init__(self, terms: list[str], weights: list[float]):
         self.trie, self.weights = Trie(terms), weights
-        self.memo = Memo(self._code, 300_000)
+        self.memo = Memo(self._code)
 
     def _code(self, token: str) -> int:
         """0: no hit; n+1: term n exactly; -n-1: term n with an edit."""
@@ -194,7 +194,7 @@ def grouped_terms(sample: DataFrame) -> DataFrame:
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             which, terms, of = [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, text in enumerate(texts):
@@ -247,7 +247,7 @@ def lexicon(sample: DataFrame, max_terms: int = MAX_TERMS, min_llr: float = MIN_
 
 
 def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, 1):
         groups = pa.array(map(copy_group, [x or "" for x in batch.column(1).to_pylist()]), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), groups], names=["toxic", "group"])
 
@@ -284,8 +284,8 @@ def feature_rows(docs: DataFrame, keep: list[str], terms: list[str], weights: li
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*held.value)
-        for batch in batches:
+        matcher = of_worker(("matcher", held), lambda: Matcher(*held.value))
+        for batch in portions(batches, len(keep)):
             x = [matcher.features(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 

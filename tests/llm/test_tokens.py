@@ -69,7 +69,7 @@ def test_counts_equal_the_library(spark, sf, documents, name):
 
 
 def test_splicing_is_exact(odd_texts):
-    encode = token_counts.library_encode(P.path("word_bpe_49k.json"))
+    encode = token_counts.library_encode(token_counts.library_tokenizer(P.path("word_bpe_49k.json")))
     for chunk, overlap in ((12, 3), (40, 5), (7, 1)):
         for t in odd_texts:
             assert [i for i, _, _ in token_counts.splice(t, encode, chunk, overlap)] == [i for i, _, _ in encode(t)]
@@ -114,11 +114,41 @@ def test_planes_query(spark, sf, documents):
         start += len(ids)
 
 
-@pytest.mark.parametrize("rows_per_file", [2, 100])
-def test_planes_edges(spark, edge, empty, rows_per_file):
-    files = planes.write_planes(edge, P.path("byte_bpe_50k.json"), 2, rows_per_file=rows_per_file)
+@pytest.mark.parametrize("range_bytes, file_ids", [(4000, 300), (1 << 20, 1 << 20)])
+def test_planes_edges(spark, edge, empty, range_bytes, file_ids):
+    files = planes.write_planes(edge, P.path("byte_bpe_50k.json"), 2, range_bytes=range_bytes, file_ids=file_ids)
     got = sorted(planes.read_planes(files).collect(), key=lambda r: r["start"])
-    assert len(got) == edge.count()
+    assert len(got) == edge.count() and files.count() > (1 if file_ids == 300 else 0)
     assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in edge.collect()), key=lambda x: (x is not None, x))
     assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
     assert planes.read_planes(planes.write_planes(empty, P.path("byte_bpe_50k.json"), 2)).count() == 0
+
+
+def test_planes_take_ids_of_other_types(spark, documents):
+    rows = [(f"doc-{i:05d}", t) for i, t in zip(documents["doc_id"], documents["text"])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    files = planes.write_planes(docs, P.path("byte_bpe_50k.json"), 2, range_bytes=40_000)
+    got = sorted(planes.read_planes(files, "string").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(i for i, _ in rows) and files.count() > 3
+
+
+def test_rows_of_one_id_spread_over_files(spark):
+    docs = spark.createDataFrame([(None, f"text number {i} " * 20) for i in range(400)], "doc_id long, text string")
+    files = planes.write_planes(docs, P.path("byte_bpe_50k.json"), 2, range_bytes=20_000).collect()
+    assert len(files) >= 4 and max(r["n_docs"] for r in files) < 200
+
+
+def test_a_file_of_a_lost_task_does_not_count(spark, edge, tmp_path):
+    files = planes.write_planes(edge, P.path("byte_bpe_50k.json"), 2, path=str(tmp_path / "out"))
+    one = files.first()["file"].removeprefix("file://")
+    import shutil
+
+    shutil.copy(one, one.replace("part-", "part-9"))
+    assert planes.read_planes(files).count() == edge.count()
+
+
+def test_long_text_is_cut_into_parts(library, monkeypatch, odd_texts):
+    monkeypatch.setattr(byte_bpe, "PART", 37)
+    monkeypatch.setattr(byte_bpe, "GROUP", 5)
+    text = "".join(odd_texts)
+    assert byte_bpe.Bpe(RANKS).encode([text, "", text[:50]])[0].tolist() == library.encode_ordinary(text)
