@@ -5,8 +5,8 @@ unsigned 32-bit ids, each a zstandard frame); the document index (an Arrow strea
 a JSON footer with the chunk index (offset and plane lengths of every chunk) and the totals; its length; magic.
 Any range of ids can be read by the chunk index alone.
 
-Files are built under a temporary name and moved into place, so a task that is run again after a lost
-executor leaves the same file.
+Texts are dealt into ranges of (doc_id, text), encoded and written inside one task each, so ids are never shuffled. A
+task that is run again writes files of other names; the index, which Spark commits once a task, names those that count.
 """
 
 from __future__ import annotations
@@ -15,24 +15,26 @@ import io
 import json
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.byte_bpe import pretokenise
-from parley.llm.common import new_path, small_batches, table, written
-from parley.llm.memo import Memo
+from parley.llm.common import BATCH_BYTES, new_path, portions, small_batches, table, written
+from parley.llm.memo import Memo, of_worker
 from parley.llm.token_counts import library_tokenizer
 
 MAGIC = b"PLANES01"
 BLOCK_IDS = 65_536
-ROWS_PER_FILE = 16_384
+#: UTF-8 bytes of texts in a task's range, and ids in a file, beyond which the next one begins.
+RANGE_BYTES = 32 << 20
+FILE_IDS = 16 << 20
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -57,7 +59,7 @@ class PlaneWriter:
         self.out, self.block, self.id_type = out, block, id_type
         self.pos, self.waiting, self.n_waiting = len(MAGIC), [], 0
         self.chunks: list[list[int]] = []
-        self.doc_ids, self.lengths = [], []
+        self.doc_ids, self.lengths, self.n_ids = [], [], 0
         out.write(MAGIC)
 
     def _put(self, raw: bytes) -> int:
@@ -72,6 +74,7 @@ class PlaneWriter:
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.doc_ids.append(doc_id)
         self.lengths.append(len(ids))
+        self.n_ids += len(ids)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting >= self.block:
@@ -90,15 +93,14 @@ class PlaneWriter:
             stream.write_table(index)
         at = self.pos
         size = self._put(zstandard.ZstdCompressor().compress(held.getvalue()))
-        total = int(sum(self.lengths))
-        footer = json.dumps({"chunks": self.chunks, "index": [at, size], "n_docs": len(self.lengths), "n_ids": total}).encode()
+        footer = json.dumps({"chunks": self.chunks, "index": [at, size], "n_docs": len(self.lengths), "n_ids": self.n_ids}).encode()
         self._put(footer)
         self._put(len(footer).to_bytes(8, "little") + MAGIC)
-        return len(self.lengths), total
+        return len(self.lengths), self.n_ids
 
 
-def read_documents(source) -> Iterator[tuple[object, int, np.ndarray]]:
-    """(doc_id, start in the file, ids) of every document, chunk by chunk."""
+def read_documents(source) -> Iterator[tuple[object, int, np.ndarray, pa.DataType]]:
+    """(doc_id, start in the file, ids, the id's type) of every document, chunk by chunk."""
     size = source.size()
     tail = source.read_at(8 + len(MAGIC), size - 8 - len(MAGIC))
     if tail[8:] != MAGIC:
@@ -118,7 +120,7 @@ def read_documents(source) -> Iterator[tuple[object, int, np.ndarray]]:
             parts.append(from_planes([raw[a:b] for a, b in zip(cuts, cuts[1:])], n_ids))
             have += n_ids
         joined = np.concatenate(parts) if len(parts) > 1 else held
-        yield doc_id, start, joined[:length]
+        yield doc_id, start, joined[:length], index.schema.field(0).type
         held, start = joined[length:], start + length
 
 
@@ -129,7 +131,6 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
     """Texts to arrays of ids as the tokenizers library gives them without added tokens.
 
@@ -137,15 +138,18 @@ def encoder(path: str):
     surroundings, so the library's model encodes each distinct match once and a bounded cache serves the rest. Texts
     that hold the string of a special token go to the library whole.
     """
+    return of_worker(("planes", path), lambda: _encoder(path))
+
+
+def _encoder(path: str):
     tok = library_tokenizer(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-
     model, letters = tok.model, byte_letters()
 
     def of(piece: bytes) -> bytes:
         return np.array([t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))], "<u4").tobytes()
 
-    memo = Memo(of, 300_000)
+    memo = Memo(of)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         raw, at, first = pretokenise(texts)
@@ -160,66 +164,73 @@ def encoder(path: str):
     return encode
 
 
-def write_planes(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark resolves it, with its scheme: one without is on the default file system, not on a local disk."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file:///") else whole
+
+
+def ordered_ranges(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id and text in ``n`` ranges in order of the id, null ids first. The text's digest and the row's place break
+    ties, so that rows of one id spread over ranges too."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_row"))
+    order = ["doc_id", "_tie", "_row"]
+    return keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
+def write_planes(
+    docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, range_bytes: int = RANGE_BYTES, file_ids: int = FILE_IDS
+) -> DataFrame:
     """Encode every row, append ``end_id``, write files in ascending doc_id order (null ids first).
 
-    Returns the files: file_no, file, n_docs, n_ids, in id order by file_no. A null or empty text is the end id
-    alone; repeated rows are written each; an empty table writes no file; other columns are ignored. ``tokenizer``
-    is a .json file of a byte-level tokenizer. ``path`` must be a folder that all executors share.
+    Returns the files: range_no, file_no, file, n_docs, n_ids, in id order by (range_no, file_no). A null or empty text
+    is the end id alone; repeated rows are written each; ids of any type that sorts will do; an empty table writes no
+    file; other columns are ignored. ``tokenizer`` is a .json file of a byte-level tokenizer. ``path`` must be a folder
+    that all executors share; files of lost tasks stay there under names that the index lacks.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    path = path or new_path(spark, "planes")
-    n_files = max(1, -(-docs.count() // rows_per_file))
-    fractions = [i / n_files for i in range(1, n_files)]
-    cuts = docs.agg(F.percentile_approx("doc_id", fractions, 10_000)).first()[0] if fractions else []
-    cuts = np.array(sorted(set(cuts or [])), dtype=np.int64)
-    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    root = full_uri(spark, path or new_path(spark, "planes"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // range_bytes))
     small_batches(spark)
 
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [x.tobytes() + end for x in encode([x or "" for x in batch.column(1).to_pylist()])]
-            where = np.searchsorted(cuts, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "file_no", "ids"])
-
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-        writer, now, name, temp, done = None, None, "", "", []
+        encode, no = encoder(tokenizer), TaskContext.get().partitionId()
+        fs, folder = pafs.FileSystem.from_uri(root)
+        end, writer, done = np.array([end_id], "<u4"), None, []
 
         def finish() -> None:
             n_docs, n_ids = writer.close()
             writer.out.close()
-            fs.move(temp, name)
-            done.append((now, name, n_docs, n_ids))
-
-        for batch in batches:
-            for doc_id, no, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if no != now:
-                    if writer:
-                        finish()
-                    now, name = no, f"{root}/part-{no:07d}.planes"
-                    temp = f"{root}/.{uuid.uuid4().hex}"
-                    writer = PlaneWriter(fs.open_output_stream(temp, compression=None), batch.schema.field(0).type)
-                writer.add(doc_id, np.frombuffer(raw, "<u4"))
+            done.append((no, len(done), name, n_docs, n_ids))
+
+        name = ""
+        for batch in portions(batches, 1):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+                if writer is None:
+                    name = f"part-{no:07d}-{len(done):05d}-{uuid.uuid4().hex}.planes"
+                    writer = PlaneWriter(fs.open_output_stream(f"{folder}/{name}", compression=None), batch.schema.field(0).type)
+                writer.add(doc_id, np.concatenate([ids, end]))
+                if writer.n_ids >= file_ids:
+                    finish()
+                    writer = None
         if writer:
             finish()
-        yield pa.RecordBatch.from_pylist(
-            [{"file_no": a, "file": b, "n_docs": c, "n_ids": d} for a, b, c, d in done],
-            pa.schema([("file_no", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
-        )
+        names, kinds = ("range_no", "file_no", "file", "n_docs", "n_ids"), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in done], pa.schema(list(zip(names, kinds))))
 
-    rows = docs.mapInArrow(ids_of, "doc_id long, file_no int, ids binary")
-    dealt = rows.repartitionById(n_files, F.col("file_no")).sortWithinPartitions("file_no", "doc_id")
-    files, _ = written(dealt.mapInArrow(put, "file_no int, file string, n_docs long, n_ids long"), "plane-index")
-    return files
+    files, _ = written(ordered_ranges(docs, n).mapInArrow(put, "range_no int, file_no int, file string, n_docs long, n_ids long"), "plane-index")
+    return files.withColumn("file", F.concat(F.lit(root + "/"), "file"))
 
 
-def read_planes(files: DataFrame, path_of_root: str | None = None) -> DataFrame:
+def read_planes(files: DataFrame, id_type: str = "long") -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian 32-bit), from the files."""
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("range_no", "file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     based = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     n = max(1, files.count())
     small_batches(files.sparkSession)
@@ -227,25 +238,27 @@ def read_planes(files: DataFrame, path_of_root: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, where = pafs.FileSystem.from_uri(name) if "://" in name else (pafs.LocalFileSystem(), name)
+                fs, where = pafs.FileSystem.from_uri(name)
                 with fs.open_input_file(where) as source:
-                    held = []
-                    for doc_id, start, ids in read_documents(source):
+                    held, size = [], 0
+                    kind = None
+                    for doc_id, start, ids, kind in read_documents(source):
                         held.append((doc_id, base + start, len(ids), ids.tobytes()))
-                        if len(held) >= 256:
-                            yield _rows(held)
-                            held = []
+                        size += ids.nbytes
+                        if len(held) >= 1024 or size >= BATCH_BYTES:
+                            yield _rows(held, kind)
+                            held, size = [], 0
                     if held:
-                        yield _rows(held)
+                        yield _rows(held, kind)
 
-    spread = based.select("file", "base", "file_no").repartitionById(n, F.col("file_no")).select("file", "base")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    spread = based.select("file", "base", "range_no", "file_no").repartition(n, "range_no", "file_no").select("file", "base")
+    return spread.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids binary")
 
 
-def _rows(held: list[tuple]) -> pa.RecordBatch:
+def _rows(held: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     doc_id, start, n, ids = zip(*held)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+        [pa.array(doc_id, id_type), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
         names=["doc_id", "start", "n_tokens", "ids"],
     )
 
