@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from parley.llm.common import new_path, table, written
 
 N_SLOTS = 8192
+#: Rows of a slot are numbered in so many parts, so that equal rows (which share a slot) are not one task's load.
+PARTS = 8
 MAP_SCHEMA = "version int, slot int, shard int, n_rows long, n_bytes long"
 
 
 def slotted(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 1; null text: 1), text_crc32 (null text: 0), vslot.
+    """doc_id, size (UTF-8 bytes of the text plus 1; null text: 1), text_crc32 (null text: 0), vslot, part (by the row's
+    place; write the rows before it is used twice).
 
     A record's slot depends on its id and text alone, so repeated rows share a slot; a null id is hashed
     like any other value. Texts that many ids share spread over all slots.
@@ -31,6 +34,7 @@ def slotted(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).cast("int").alias("part"),
     )
 
 
@@ -107,8 +111,46 @@ def _best_swap(full: set[int], empty: set[int], n_bytes: dict[int, int], gap: in
     return best
 
 
-def map_rows(version: int, slot_shard: dict[int, int], totals: dict[int, tuple[int, int]]) -> list[tuple]:
-    return [(version, s, shard, *totals.get(s, (0, 0))) for s, shard in sorted(slot_shard.items())]
+def store_map(spark: SparkSession, path: str, version: int, slot_shard: dict[int, int], totals: dict[int, tuple[int, int]]) -> None:
+    """Write one version of a map (``n_slots`` rows) beside the others; a version once written is not changed."""
+    rows = [(version, s, shard, *totals.get(s, (0, 0))) for s, shard in sorted(slot_shard.items())]
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{path}/v{version:06d}")
+
+
+def stored_maps(spark: SparkSession, path: str) -> DataFrame:
+    """All versions under ``path``."""
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v*")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
+    """A stored version (the last one unless named) and its slot-to-shard map."""
+    maps = stored_maps(spark, path)
+    if version is None:
+        version = maps.agg(F.max("version")).first()[0]
+    return version, {r["slot"]: r["shard"] for r in maps.filter(F.col("version") == version).collect()}  # n_slots rows
+
+
+def edit_map(spark: SparkSession, path: str, rows: DataFrame, n_shards: int) -> int:
+    """Load the last stored version, move what slots the bytes of ``rows`` (from ``slotted``) and ``n_shards`` ask for,
+    store the next version and return its number. Slots that need not move stay where they are."""
+    version, held = load_map(spark, path)
+    totals = {r["vslot"]: (r["n_rows"], r["n_bytes"]) for r in slot_totals(rows).collect()}  # n_slots rows
+    store_map(spark, path, version + 1, rebalance(held, {s: b for s, (_, b) in totals.items()}, n_shards), totals)
+    return version + 1
+
+
+def placed(rows: DataFrame, path: str, version: int) -> DataFrame:
+    """doc_id, size, text_crc32, vslot, shard, pos by a stored version whose totals are those of ``rows``: pos counts on
+    from slot to slot of a shard, from part to part of a slot, and in a part by id, digest and size."""
+    maps = stored_maps(rows.sparkSession, path).filter(F.col("version") == version)
+    before = lambda by, order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    layout = maps.select(F.col("slot").alias("vslot"), "shard", F.coalesce(F.sum("n_rows").over(before("shard", "slot")), F.lit(0)).alias("base"))
+    parts = rows.groupBy("vslot", "part").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(before("vslot", "part")), F.lit(0)))
+    layout = parts.join(layout, "vslot").select("vslot", "part", "shard", (F.col("base") + F.col("ahead")).alias("base"))
+    within = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")
+    numbered = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(layout), ["vslot", "part"])  # n_slots * PARTS rows at most
+    return numbered.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("nth") - 1).alias("pos"))
 
 
 def shard_by_slots(
@@ -117,30 +159,21 @@ def shard_by_slots(
     """Assign every row to a shard; return (rows, map versions).
 
     rows: doc_id, size, text_crc32, vslot, shard, pos (its place in the shard, gapless from 0). Law: bytes of
-    shards near equal, as far as single slots allow. The map holds version 0 (dealt in turn), version 1
-    (rebalanced by bytes) and, with ``grow_to``, version 2 for more shards; it is written under ``path``.
-    An empty table gives no rows and a map of empty slots.
+    shards near equal, as far as single slots allow. Under ``path`` version 0 of the map is stored (slots dealt in
+    turn), then edited by bytes (version 1) and, with ``grow_to``, for more shards (version 2); rows follow version 1
+    as it is read back. A ``path`` that holds a map already goes on from its last version. An empty table gives no rows
+    and a map of empty slots.
     """
     spark = docs.sparkSession
     rows, _ = written(slotted(docs, n_slots), "slots")
-    got = {r["vslot"]: (r["n_rows"], r["n_bytes"]) for r in slot_totals(rows).collect()}
-    n_bytes = {s: b for s, (_, b) in got.items()}
-    first = initial_map(n_slots, n_shards)
-    second = rebalance(first, n_bytes, n_shards)
-    versions = map_rows(0, first, got) + map_rows(1, second, got)
-    if grow_to:
-        versions += map_rows(2, rebalance(second, n_bytes, grow_to), got)
     path = path or new_path(spark, "slot-map")
-    spark.createDataFrame(versions, MAP_SCHEMA).coalesce(1).write.mode("overwrite").partitionBy("version").parquet(path)
-    maps = spark.read.parquet(path)
-    offset, base = {}, [0] * n_shards
-    for s in range(n_slots):
-        offset[s] = base[second[s]]
-        base[second[s]] += got.get(s, (0, 0))[0]
-    layout = spark.createDataFrame([(s, second[s], offset[s]) for s in range(n_slots)], "vslot int, shard int, base long")
-    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(layout), "vslot")
-    return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("nth") - 1).alias("pos")), maps
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        store_map(spark, path, 0, initial_map(n_slots, n_shards), {})
+    version = edit_map(spark, path, rows, n_shards)
+    if grow_to:
+        edit_map(spark, path, rows, grow_to)
+    return placed(rows, path, version), stored_maps(spark, path)
 
 
 def op8_fixed_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,30 @@ def test_slot_edges(spark, edge, empty):
     assert {r["size"] for r in rows.filter("doc_id in (1, 2)").collect()} == {1}
 
 
+def test_stored_map_is_read_and_edited(spark, sf, tmp_path):
+    path = "file://" + str(tmp_path / "map")
+    rows = slots.slotted(spark.read.parquet(f"{sf}/documents.parquet"), 256).cache()
+    slots.shard_by_slots(spark.read.parquet(f"{sf}/documents.parquet"), 4, 256, path=path)
+    assert slots.load_map(spark, path)[0] == 1
+    before = slots.load_map(spark, path)[1]
+    assert slots.edit_map(spark, path, rows, 4) == 2 and slots.load_map(spark, path)[1] == before  # balanced: nothing moves
+    assert slots.edit_map(spark, path, rows, 5) == 3
+    after = slots.load_map(spark, path, 3)[1]
+    moved = [s for s in before if after[s] != before[s]]
+    assert moved and len(moved) < 128 and {after[s] for s in moved} >= {4} and slots.load_map(spark, path, 1)[1] == before
+    got = slots.placed(rows, path, 3).collect()
+    assert all(after[r["vslot"]] == r["shard"] for r in got)
+
+
+def test_equal_rows_are_numbered_in_parts(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 500 + [(i, str(i)) for i in range(50)], "doc_id long, text string")
+    got = slots.shard_by_slots(docs, 4, 64)[0].collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["pos"])
+    assert len(got) == 550 and all(sorted(p) == list(range(len(p))) for p in by.values())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_rebalancing_moves_whole_slots_until_even(seed):
     import random
