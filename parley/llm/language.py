@@ -3,39 +3,42 @@
 Words carry affix, character n-gram and lexicon features; transitions are learned; forward-backward gives every
 word's label distribution, so code-switched text gets a share of each language. The field, its lexicon included,
 is fitted on a bounded sample of labelled rows (``SAMPLE_DOCS``, ``SAMPLE_WORDS``); half of the training chains
-are spliced from two languages, so that switches are seen. Every word of every text is then labelled.
+are spliced from two languages, so that switches are seen. Every word of every text is then labelled by
+forward-backward over its whole chain: blocks of words are summed up as transfer matrices, whose products carry the
+messages from block to block, and all blocks of many texts are worked on at once.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, small_batches, table
-from parley.llm.memo import Memo
+from parley.llm.common import held_out, portions, small_batches, table
+from parley.llm.memo import Memo, of_worker
 
-#: Bounds of the sample that the field is fitted on: documents of one language, words of one document, languages.
+#: Bounds of the sample that the field is fitted on: documents of one language, words of one document, and documents
+#: in all. Every language of the labelled rows is learned; many languages share the last bound evenly.
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 160
-MAX_LANGUAGES = 64
+SAMPLE_TOTAL = 40_000
 LEXICON_WORDS = 400
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-CHAIN = 64
+#: Words of a block of the scan; messages pass from block to block.
+BLOCK = 64
 TRAIN_CHAIN = 32
 STEPS = 60
 UNDETERMINED = "und"
 #: The pipeline's stage keeps documents whose leading language has this share of the words' weight.
 MIN_SHARE = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _NOT_WORD = bytes(b if b >= 0x80 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -101,22 +104,26 @@ class Field:
         return [packed[i : i + step] for i in range(0, len(packed), step)]
 
 
-def marginals(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """Forward-backward on many chains at once: scores (chains, length, labels), mask (chains, length) of real words.
 
-    Returns the words' label distributions, the expected transition counts and each chain's log normaliser.
+    ``enter`` and ``leave`` (chains, labels) are the messages from before the first and from behind the last word;
+    without them chains begin and end there. Returns the words' label distributions, the expected transition counts
+    inside the chains and each chain's log normaliser.
     """
     n, length, k = scores.shape
     move = np.exp(moves)
     emit = np.exp(scores - scores.max(2, keepdims=True))
     ahead, scale = np.zeros((n, length, k)), np.ones((n, length))
-    now = emit[:, 0]
+    now = emit[:, 0] if enter is None else emit[:, 0] * enter
     for t in range(length):
         if t:
             now = np.where(mask[:, t, None], (ahead[:, t - 1] @ move) * emit[:, t], ahead[:, t - 1])
         scale[:, t] = now.sum(1)
         ahead[:, t] = now = now / scale[:, t, None]
     back = np.ones((n, length, k))
+    if leave is not None:
+        back[:, -1] = leave
     expected = np.zeros((k, k))
     for t in range(length - 2, -1, -1):
         after = emit[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None]
@@ -129,6 +136,40 @@ def marginals(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[
     return post, expected, norm
 
 
+def whole_chain(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Label distributions of the words of chains that go on over several blocks (rows of ``scores``), ``place``
+    being a block's number in its chain, from 0; blocks of a chain follow each other.
+
+    A block takes the message at the word before it to the one at its last word by a matrix (labels by labels), the
+    product of its words' transitions. Messages go through these matrices from block to block, all chains at once;
+    then every block is worked on by itself between the messages that reach it.
+    """
+    n, length, k = scores.shape
+    if not n or place.max() == 0:
+        return marginals(scores, moves, mask)[0]
+    move = np.exp(moves)
+    emit = np.exp(scores - scores.max(2, keepdims=True))
+    first = place == 0
+    through = np.where(first[:, None, None], 1.0, move) * emit[:, 0][:, None, :]
+    for t in range(1, length):
+        through = np.where(mask[:, t, None, None], (through @ move) * emit[:, t][:, None, :], through)
+        through /= through.sum((1, 2))[:, None, None]
+    last = np.append(first[1:], True)
+    ahead, back = np.full((n, k), 1.0 / k), np.ones((n, k))  # a first block's matrix has equal rows: any message will do
+    by_place = np.argsort(place, kind="stable")
+    waves = np.split(by_place, np.cumsum(np.bincount(place))[:-1])
+    for at in waves[1:]:
+        went = np.einsum("bi,bij->bj", ahead[at - 1], through[at - 1])
+        ahead[at] = went / went.sum(1)[:, None]
+    for at in reversed(waves):
+        on = at[~last[at]] + 1
+        if len(on):
+            came = np.einsum("bij,bj->bi", through[on], back[on])
+            back[on - 1] = came / came.sum(1)[:, None]
+    enter = np.where(first[:, None], 1.0, ahead @ move)
+    return marginals(scores, moves, mask, enter, back)[0]
+
+
 def _training_chains(sample: list[tuple[str, list[bytes]]], labels: list[str], rng: np.random.Generator):
     """Chains of TRAIN_CHAIN words with a label each; every second chain switches language inside."""
     by_label = defaultdict(list)
@@ -200,21 +241,24 @@ def fit(sample: list[tuple[str, str]], steps: int = STEPS, seed: int = 1) -> Fie
     return field
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most ``per_language`` (lang, text) rows of each of the MAX_LANGUAGES most frequent languages.
+def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, total: int = SAMPLE_TOTAL) -> list[tuple[str, str]]:
+    """At most ``per_language`` (lang, text) rows of each language, and about ``total`` in all (one a language at least).
 
     Rows of the held-out fold, with a null language or without text are left out. Which rows, is decided by a
     hash of the id, so it does not depend on partitioning.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().collect()  # languages, not rows
     if not counts:
         return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * per_language / r["count"])))])
+    per_language = max(1, min(per_language, total // len(counts)))
+    share = F.create_map(*[x for r in sorted(counts) for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.3 * per_language + 20) / r["count"])))])
     mixed = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30))
     picked = usable.withColumn("mixed", mixed).filter(F.col("mixed") < F.element_at(share, F.col("lang")) * (1 << 30))
     middle = F.greatest(F.lit(1), (F.length("text") - 16 * SAMPLE_WORDS) / 2).cast("int")
-    rows = picked.select("lang", "mixed", F.col("text").substr(middle, F.lit(16 * SAMPLE_WORDS)).alias("text")).limit(2 * per_language * len(counts)).collect()
+    rows = picked.select("lang", "mixed", F.col("text").substr(middle, F.lit(16 * SAMPLE_WORDS)).alias("text"))
+    rows = rows.groupBy("lang", "mixed").agg(F.min("text").alias("text"))  # one of the rows that share an id
+    rows = rows.limit((2 * per_language + 40) * len(counts)).collect()
     out: dict[str, list] = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["mixed"], r["text"])):
         if len(out[r["lang"]]) < per_language:
@@ -223,13 +267,12 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tu
 
 
 def scores_memo(field: Field) -> Memo:
-    return Memo(lambda word: field.emissions([word])[0], 200_000)
+    return Memo(lambda word: field.emissions([word])[0])
 
 
-@lru_cache(maxsize=1)
-def _labeller(held: object):
-    field = held.value
-    return field, scores_memo(field)
+def _labeller(held):
+    """The broadcast field and its cache, kept by the worker as long as it works on this stage."""
+    return of_worker(("field", held), lambda: (held.value, scores_memo(held.value)))
 
 
 def label_texts(field: Field, memo: Memo, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
@@ -243,13 +286,14 @@ def label_texts(field: Field, memo: Memo, texts: list[str | None]) -> tuple[list
     memo.fill(set(flat), field.emissions)
     scores = np.frombuffer(b"".join(map(memo.__getitem__, flat)), np.float32).reshape(-1, k)
     length = np.fromiter(map(len, flat), np.float64, len(flat))
-    chains = -(-counts // CHAIN)
+    blocks = -(-counts // BLOCK)
     doc = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-    row = np.repeat(np.cumsum(chains) - chains, counts) + place // CHAIN
-    grid, mask = np.zeros((int(chains.sum()), CHAIN, k), np.float32), np.zeros((int(chains.sum()), CHAIN), bool)
-    grid[row, place % CHAIN], mask[row, place % CHAIN] = scores, True
-    post = marginals(grid, field.moves, mask)[0][row, place % CHAIN]
+    before = np.cumsum(blocks) - blocks
+    row = np.repeat(before, counts) + place // BLOCK
+    grid, mask = np.zeros((int(blocks.sum()), BLOCK, k), np.float32), np.zeros((int(blocks.sum()), BLOCK), bool)
+    grid[row, place % BLOCK], mask[row, place % BLOCK] = scores, True
+    post = whole_chain(grid, field.moves, mask, np.arange(len(grid)) - np.repeat(before, blocks))[row, place % BLOCK]
     mass = np.stack([np.bincount(doc, post[:, y] * length, len(texts)) for y in range(k)], 1)
     best = post.argmax(1)
     change = np.zeros(len(flat), bool)
@@ -268,13 +312,13 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
     ``und`` with score 0 where the text is null or has no letter. Repeated rows stay; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     held = spark.sparkContext.broadcast(field)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, memo = _labeller(held)
-        for batch in batches:
+        for batch in portions(batches, 1):
             named, share, switches = label_texts(field, memo, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(named, pa.string()), pa.array(share, pa.float64()), pa.array(switches, pa.int32())],
@@ -287,13 +331,14 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
 def keep_identified(docs: DataFrame, field: Field, min_share: float = MIN_SHARE) -> DataFrame:
     """All rows and columns of documents with a language of share ``min_share`` or more; null ids compare like values."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     held = spark.sparkContext.broadcast(field)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, memo = _labeller(held)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for batch in portions(batches, at):
+            texts = batch.column(at).to_pylist()
             named, share, _ = label_texts(field, memo, texts)
             yield batch.filter(pa.array([x != UNDETERMINED and s >= min_share for x, s in zip(named, share)], pa.bool_()))
 

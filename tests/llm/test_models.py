@@ -39,6 +39,68 @@ def test_forward_backward_is_exact():
     assert expected == pytest.approx(total)
 
 
+@pytest.mark.parametrize("lengths", [[200], [1, 64, 65, 128, 500, 3], [64, 64], [63]])
+def test_messages_cross_block_borders(lengths):
+    """Blocks with messages give what one chain of the whole length gives, for texts of several lengths at once."""
+    rng = np.random.default_rng(sum(lengths))
+    k, moves = 4, rng.normal(size=(4, 4)) * 2
+    chains = [rng.normal(size=(n, k)) * 2 for n in lengths]
+    blocks, masks, place = [], [], []
+    for c in chains:
+        for p in range(-(-len(c) // language.BLOCK)):
+            part = c[p * language.BLOCK : (p + 1) * language.BLOCK]
+            block, mask = np.zeros((language.BLOCK, k)), np.zeros(language.BLOCK, bool)
+            block[: len(part)], mask[: len(part)] = part, True
+            blocks.append(block)
+            masks.append(mask)
+            place.append(p)
+    masks = np.stack(masks)
+    got = language.whole_chain(np.stack(blocks), moves, masks, np.array(place))[masks]
+    want = np.concatenate([language.marginals(c[None], moves, np.ones((1, len(c)), bool))[0][0] for c in chains])
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def slow_labels(field, text):
+    """The query's columns by a plain pass over one text, word by word, in logarithms."""
+    import re
+    import unicodedata
+
+    if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0
+    words = re.findall("(?:[a-z]|[^\x00-\x7f])+", text.lower())
+    e = np.array([np.frombuffer(field.emissions([w.encode()])[0], np.float32) for w in words], float)
+    add = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
+    ahead, back = [e[0]], [np.zeros(e.shape[1])]
+    for row in e[1:]:
+        ahead.append(add(ahead[-1][:, None] + field.moves, 0) + row)
+    for row in e[:0:-1]:
+        back.append(add(field.moves + (row + back[-1])[None], 1))
+    post = np.array(ahead) + np.array(back[::-1])
+    post = np.exp(post - add(post, 1)[:, None])
+    mass = (post * np.array([len(w.encode()) for w in words])[:, None]).sum(0)
+    return field.labels[int(mass.argmax())], float(mass.max() / mass.sum())
+
+
+def test_language_query_equals_a_plain_pass(spark, sf, documents, field):
+    got = {r["doc_id"]: r for r in language.op10_crf_language(spark, sf).collect()}
+    for d, t in list(zip(documents["doc_id"], documents["text"])):
+        lang, score = slow_labels(field, t)
+        assert got[d]["lang_pred"] == lang and got[d]["score"] == pytest.approx(score, abs=1e-6)
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
+def test_text_without_a_letter_has_no_language(field):
+    texts = ["½ ²", "Ⅷ", "123 — !", "́", "ʰ", "漢"]
+    assert [x == "und" for x in language.label_texts(field, language.scores_memo(field), texts)[0]] == [True, True, True, True, False, False]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i % 90} other{i % 90} third{i % 90}", f"l{i % 90:02d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_sample(docs, total=180)
+    assert len({x for x, _ in sample}) == 90 and len(sample) <= 180
+
+
 def test_held_out_fold(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").withColumn("h", held_out(F.col("doc_id"))).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
