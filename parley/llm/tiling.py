@@ -5,8 +5,9 @@ with a seed, tiles are found by running Karp-Rabin (rolling hashes propose match
 words confirm them), always marking the longest match that overlaps no tile yet. An item is contaminated in a
 document if tiles cover ``COVERAGE`` of its words, in whatever order they stand.
 
-The benchmark's seeds are broadcast if they are fewer than ``BROADCAST_SEEDS``; a larger benchmark meets the
-documents in a shuffled join on seeds instead.
+A benchmark of at most ``BROADCAST_BYTES`` of distinct texts (so of fewer seeds than that) is broadcast; a larger one
+meets the documents in a shuffled join on seeds instead. There, seeds that many documents share are left out as far as
+any contaminated document still shares another one of the item.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches, table, unused, written
+from parley.llm.common import portions, remove, small_batches, table, unused, written
+from parley.llm.memo import of_worker
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -85,17 +87,37 @@ def tiles(item: list[bytes], doc: list[bytes], at: list[tuple[int, int]], k: int
     return out
 
 
-def seed_table(items: DataFrame, k: int = MIN_MATCH) -> DataFrame:
-    """(item_id, seed) for every distinct window of an item."""
-    kind = items.schema["item_id"].dataType.simpleString()
+def seed_table(texts: DataFrame, k: int = MIN_MATCH) -> DataFrame:
+    """(key, seed, n, n_words) for every distinct window of ``text``: how often it stands there, and the text's words."""
+    kind = texts.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seeds = [np.unique(rolling(word_hashes(words_of(x)), k)).view(np.int64) for x in batch.column(1).to_pylist()]
-            which = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(np.concatenate([*seeds, np.zeros(0, np.int64)]))], names=["item_id", "seed"])
-
-    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, seed long")
+        for batch in portions(batches, 1):
+            words = [words_of(x) for x in batch.column(1).to_pylist()]
+            seeds = [np.unique(rolling(word_hashes(w), k), return_counts=True) for w in words]
+            sizes = [len(x) for x, _ in seeds]
+            which = pa.array(np.repeat(np.arange(len(seeds)), sizes))
+            flat = np.concatenate([*(x for x, _ in seeds), np.zeros(0, np.uint64)]).view(np.int64)
+            counts = np.concatenate([*(n for _, n in seeds), np.zeros(0, np.int64)]).astype(np.int64)
+            columns = [batch.column(0).take(which), pa.array(flat), pa.array(counts), pa.array(np.repeat([len(w) for w in words], sizes).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "seed", "n", "n_words"])
+
+    return texts.select("key", "text").mapInArrow(run, f"key {kind}, seed long, n long, n_words long")
+
+
+def needed_seeds(item_seeds: DataFrame, doc_seeds: DataFrame, k: int, coverage: float) -> DataFrame:
+    """(seed, item_key): the seeds that must be looked for so that no contaminated document is missed.
+
+    Tiles of ``k`` words or more that cover ``coverage`` of the item hold at least ``need`` of its windows, one a tile
+    at least and one more for each word beyond k. So windows may be left out while their places are fewer than
+    ``need``; those of the seeds that most documents share go first. One item's seeds, bounded by its length, are
+    ranked in one task; documents are counted by partial sums.
+    """
+    met = doc_seeds.join(item_seeds.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("n_docs"))
+    by_item = Window.partitionBy("key").orderBy(F.desc("n_docs"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    need = F.ceil(F.ceil(F.lit(coverage) * F.col("n_words") - 1e-9) / k)
+    ranked = item_seeds.join(met, "seed").withColumn("out", F.sum("n").over(by_item))
+    return ranked.filter(F.col("out") >= need).select("seed", F.col("key").alias("item_key"))
 
 
 class Bench:
@@ -126,7 +148,7 @@ class Bench:
             yield item_id, sum(x[2] for x in found), len(item), found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row a document and item whose words are covered to ``coverage`` or more: doc_id, item_id, n_covered,
     n_item, n_tiles, coverage, contaminated (true).
 
@@ -144,30 +166,33 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = MIN_MATCH, coverage
     def row(doc_id, item_id, n_covered, n_item, found):
         return {"doc_id": doc_id, "item_id": item_id, "n_covered": n_covered, "n_item": n_item, "n_tiles": len(found)}
 
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if size <= broadcast_seeds:
+    item_type = _arrow_type(items)
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Bench(shared.value, k)
-            for batch in batches:
+            bench = of_worker(("bench", shared, k), lambda: Bench(shared.value, k))
+            for batch in portions(batches, 1):
                 rows = [row(d, *x) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for x in bench.covered(t) if x[1] >= coverage * x[2]]
                 yield pa.RecordBatch.from_pylist(rows, _arrow(batch.schema.field(0).type, item_type))
 
-        item_type = _arrow_type(items)
         found = docs.mapInArrow(scan, shape)
     else:
         # Texts meet by their digests; ids may be null or shared and only come back with the rows.
         digest = F.md5("text")
-        seeds, _ = written(seed_table(items.select(digest.alias("item_id"), "text"), k).withColumnRenamed("item_id", "item_key"), "bench-seeds")
-        doc_seeds = seed_table(docs.select(digest.alias("item_id"), "text"), k).withColumnRenamed("item_id", "doc_key")
-        pairs, _ = written(doc_seeds.join(seeds, "seed").select("doc_key", "item_key").distinct(), "bench-pairs")
+        item_seeds, at_items = written(seed_table(items.select(digest.alias("key"), "text").dropDuplicates(["key"]), k), "bench-seeds")
+        doc_seeds = seed_table(docs.select(digest.alias("key"), "text"), k)
+        known, at_known = written(doc_seeds.join(item_seeds.select("seed").distinct(), "seed", "left_semi"), "doc-seeds")
+        wanted = needed_seeds(item_seeds, known, k, coverage)
+        pairs, _ = written(known.select(F.col("key").alias("doc_key"), "seed").join(wanted, "seed").select("doc_key", "item_key").distinct(), "bench-pairs")
+        for path in (at_items, at_known):
+            remove(spark, path)
         own_items = items.select("item_id", F.col("text").alias("item_text"), digest.alias("item_key"))
         both = pairs.join(docs.withColumn("doc_key", digest), "doc_key").join(own_items, "item_key")
-        item_type = _arrow_type(items)
 
         def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches, 2):
                 rows = [
                     row(d, *x)
                     for d, i, t, it in zip(*(c.to_pylist() for c in batch.columns))

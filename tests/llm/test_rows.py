@@ -34,7 +34,7 @@ def test_repeats_are_cut_from_their_own_row(spark, i):
 def test_copies_of_a_row_do_not_lengthen_a_run(spark):
     short = "These ten words in one line stand alone here twice"
     rows = [(1, short), *[(2, OWN[0] + "\n" + short)] * 3]
-    assert repeats.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert repeats.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_line_words=11).count() == 0
 
 
 def leaks(spark):
@@ -44,17 +44,17 @@ def leaks(spark):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [tiling.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("limit", [tiling.BROADCAST_BYTES, 0])
 def test_both_ways_give_the_rows_of_brute_force(spark, limit):
     docs, items = leaks(spark)
     pairs = itertools.product(docs.collect(), items.collect())
     want = [(d["doc_id"], i["item_id"]) for d, i in pairs if d["text"] and i["text"] and len(i["text"]) > 20 and i["text"] in d["text"]]
-    got = [(r["doc_id"], r["item_id"]) for r in tiling.contaminated(docs, items, broadcast_seeds=limit).collect()]
+    got = [(r["doc_id"], r["item_id"]) for r in tiling.contaminated(docs, items, broadcast_bytes=limit).collect()]
     assert Counter(got) == Counter(want)
 
 
-@pytest.mark.parametrize("limit", [tiling.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("limit", [tiling.BROADCAST_BYTES, 0])
 def test_decontamination_decides_by_row(spark, limit):
     docs, items = leaks(spark)
-    got = [(r["doc_id"], r["text"]) for r in tiling.decontaminate(docs, items, broadcast_seeds=limit).collect()]
+    got = [(r["doc_id"], r["text"]) for r in tiling.decontaminate(docs, items, broadcast_bytes=limit).collect()]
     assert Counter(got) == Counter([(1, OWN[2]), (None, OWN[1]), (2, None), (2, OWN[2])])

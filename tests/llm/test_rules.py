@@ -167,7 +167,7 @@ def test_tiles_are_greedy(seed):
 ITEM = "The quick survey of rivers found that seven bridges, built long ago, still carry the road across the valley every single day."
 
 
-@pytest.mark.parametrize("limit", [tiling.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("limit", [tiling.BROADCAST_BYTES, 0])
 def test_contamination(spark, limit):
     words = ITEM.split()
     turned = " ".join(words[11:] + ["and", "so"] + words[:11])
@@ -182,10 +182,9 @@ def test_contamination(spark, limit):
     ]
     items = [(10, ITEM), (11, "too short here"), (12, None), (13, "")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in tiling.contaminated(d, b, broadcast_seeds=limit).collect()}
-    assert got - {(None, 10)} == {(1, 10), (2, 10)}
-    if limit:
-        assert {r["doc_id"] for r in tiling.decontaminate(d, b).collect()} == {3, 4, 5, 6}
+    got = {(r["doc_id"], r["item_id"]) for r in tiling.contaminated(d, b, broadcast_bytes=limit).collect()}
+    assert got == {(1, 10), (2, 10), (None, 10)}
+    assert {r["doc_id"] for r in tiling.decontaminate(d, b, broadcast_bytes=limit).collect()} == {3, 4, 5, 6}
 
 
 def test_contamination_query(spark, sf, documents):
@@ -201,7 +200,7 @@ def test_contamination_query(spark, sf, documents):
                 if sum(x[2] for x in tiling.tiles(item, words, at)) >= 0.8 * len(item):
                     want.add((d, r["item_id"]))
     assert {(r["doc_id"], r["item_id"]) for r in tiling.op2_string_tiling(spark, sf).collect()} == want
-    far = tiling.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), broadcast_seeds=0)
+    far = tiling.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), broadcast_bytes=0)
     assert {(r["doc_id"], r["item_id"]) for r in far.collect()} == want
 
 
@@ -209,3 +208,24 @@ def test_decontamination_keeps_columns(spark, edge, empty):
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert tiling.decontaminate(edge, b).count() == edge.count() and tiling.decontaminate(edge, b).columns == edge.columns
     assert tiling.contaminated(empty, b).count() == 0 and tiling.contaminated(edge, b.filter("false")).count() == 0
+
+
+def test_seeds_that_all_documents_share_may_be_left_out(spark):
+    """Every document holds the item's first seven words; both ways agree, and the hot seeds are not looked for."""
+    words = ITEM.split()
+    docs = [(i, " ".join(words[:7]) + f" own words number {i} of this text") for i in range(60)]
+    docs += [(100, ITEM), (101, " ".join(words[:7] + ["x"] + words[7:14] + ["y"] + words[14:])), (102, " ".join(words[14:] + words[:14]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    ways = [sorted((r["doc_id"], r["n_covered"]) for r in tiling.contaminated(d, b, broadcast_bytes=n).collect()) for n in (0, 1 << 20)]
+    assert ways[0] == ways[1] and [x for x, _ in ways[0]] == [100, 101, 102]
+    key = lambda f: f.selectExpr("md5(text) AS key", "text")
+    left = tiling.needed_seeds(tiling.seed_table(key(b)), tiling.seed_table(key(d)), 5, 0.8)
+    hot = set(tiling.rolling(tiling.word_hashes(tiling.words_of(" ".join(words[:7]))), 5).astype("int64").tolist())
+    assert hot.isdisjoint({r["seed"] for r in left.collect()})
+
+
+def test_repetitive_texts_are_tiled(spark):
+    item, text = "same " * 40, "same " * 3000 + "end"
+    found = list(tiling.Bench([(1, item)], 5).covered(text))
+    assert [(x[0], x[1], x[2]) for x in found] == [(1, 40, 40)]
+    assert list(tiling.Bench([(1, "other words than these stand here " * 3)], 5).covered(text)) == []
