@@ -44,10 +44,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new, new_path = written(small, "edges")
         remove(spark, path)
         now, path = new, new_path
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") / F.lit(2.0**32)), F.bit_xor(F.xxhash64("src", "dst"))).first()
-        if before is not None and (state[0], state[2]) == before:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
+        if before == tuple(state):
             return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(
                 now.select("dst").distinct().select(F.col("dst").alias("node"), F.col("dst").alias("root"))
             )
-        before = (state[0], state[2])
+        before = tuple(state)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -98,17 +98,49 @@ def test_components(spark, pairs):
     assert got == {x: nodes[want[i]] for i, x in enumerate(nodes)}
 
 
-def slow_runs(texts, min_words=repeats.MIN_WORDS):
-    """doc -> [(start, end)] by dictionaries over all units."""
+def slow_units(text):
+    """Pieces by their definition, word by word, without the operator's code: (start, end, words, line, normal form)."""
+    M = 2**64
+    found, line_no = [], 0
+    lines, at = [], 0
+    for raw in text.split("\n"):
+        lines.append((at, raw))
+        at += len(raw) + 1
+    for line_no, (base, raw) in enumerate(lines):
+        spans = [(m.start() + base, m.end() + base) for m in re.finditer(r"\S+", raw)]
+        words = [w for a, b in spans for w in text[a:b].lower().split()]
+        assert len(words) == len(spans)
+        found += [(a, b, w, line_no) for (a, b), w in zip(spans, words)]
+    code = [xxhash.xxh32_intdigest(w) << 1 | (w[-1] in ".!?…") for _, _, w, _ in found]
+    rank = []
+    for i, c in enumerate(code):
+        x = (c >> 1) * 0x9E3779B97F4A7C15 % M
+        if i + 1 < len(code):
+            x = (x + code[i + 1] * 0xC2B2AE3D27D4EB4F) % M
+        rank.append((x ^ x >> 29) * 0x9E3779B97F4A7C15 % M)
+    out, begin = [], 0
+    for i, (_, end, word, line) in enumerate(found):
+        last = i + 1 == len(found) or found[i + 1][3] != line
+        near = [j for j in range(max(0, i - 4), min(len(found), i + 5)) if found[j][3] == line]
+        least = min(near, key=lambda j: (rank[j], j)) == i
+        if last or ((word[-1] in ".!?…" or least) and i + 1 - begin >= 4):
+            form = " ".join(w for _, _, w, _ in found[begin : i + 1]).strip(" \t.,;:!?…\"'()[]«»|-")
+            out.append((found[begin][0], end, i + 1 - begin, line, form))
+            begin = i + 1
+    return out
+
+
+def slow_runs(texts, min_words=repeats.MIN_WORDS, min_line=repeats.MIN_LINE_WORDS):
+    """doc -> [(start, end)] by dictionaries over all pieces."""
     first, count, per = {}, defaultdict(int), {}
     for d in sorted(texts):
-        per[d] = repeats.units(texts[d])
+        per[d] = slow_units(texts[d])
         for i, u in enumerate(per[d]):
-            first.setdefault(u[3], (d, i))
-            count[u[3]] += 1
+            first.setdefault(u[4], (d, i))
+            count[u[4]] += 1
     out = defaultdict(list)
     for d, us in per.items():
-        hits = [i for i, u in enumerate(us) if count[u[3]] > 1 and first[u[3]] != (d, i)]
+        hits = [i for i, u in enumerate(us) if count[u[4]] > 1 and first[u[4]] != (d, i)]
         runs = []
         for i in hits:
             if runs and runs[-1][-1] == i - 1:
@@ -116,7 +148,9 @@ def slow_runs(texts, min_words=repeats.MIN_WORDS):
             else:
                 runs.append([i])
         for r in runs:
-            if sum(us[i][2] for i in r) >= min_words:
+            lines = {us[i][3] for i in r}
+            whole = max((sum(u[2] for u in us if u[3] == n) for n in lines if all(i in r for i, u in enumerate(us) if u[3] == n)), default=0)
+            if sum(us[i][2] for i in r) >= min_words or whole >= min_line:
                 out[d].append((us[r[0]][0], us[r[-1]][1]))
     return dict(out)
 
@@ -157,9 +191,36 @@ def test_repeat_edges(spark, edge, empty):
     assert repeats.remove_repeats(edge).count() == edge.count()
 
 
-def test_units_cover_the_words(documents):
-    for t in documents["text"]:
-        us = repeats.units(t)
-        assert sum(u[2] for u in us) == len(t.split())
-        assert all(a[1] <= b[0] for a, b in zip(us, us[1:]))
-    assert repeats.units("Same words here now.")[0][3] == repeats.units("  same   WORDS here now")[0][3]
+def test_units_are_those_of_the_definition(documents, odd_texts):
+    codes = repeats.word_codes()
+    for t in [*documents["text"], *odd_texts[:300]]:
+        us = repeats.units(t, codes)
+        want = slow_units(t)
+        assert [u[:4] for u in us] == [u[:4] for u in want] and sum(u[2] for u in us) == len(t.split())
+        assert [u[5] for u in us] == [xxhash.xxh3_128_digest(u[4]) for u in want]
+    assert repeats.units("Same words here now.", codes)[0][5] == repeats.units("  same   WORDS here now", codes)[0][5]
+
+
+def test_short_repeated_lines_go(spark):
+    line = "Subscribe here."
+    rows = [(1, "First text of its own.\n" + line + "\nMore of it."), (2, line + "\nSecond text, another one."), (3, "Third text altogether.\n" + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(docs, min_line_words=1).collect()}
+    assert got == {1: rows[0][1], 2: "\nSecond text, another one.", 3: "Third text altogether.\n"} or all(line not in got[d] for d in (2, 3)) and line in got[1]
+
+
+def test_passages_without_punctuation_are_found(spark):
+    """Random passages of 51 to 60 words, in the middle of a line, without a sentence end: found, and how much of them."""
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(800)]
+    words = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    rows, size = [], {}
+    for i in range(300):
+        passage = words(rnd.randint(51, 60))
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, " ".join(words(40) + passage + words(40))))
+        size[2 * i + 1] = len(passage)
+    got = {r["doc_id"]: r["n_words"] for r in repeats.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= set(size) and len(got) >= 0.98 * len(size)
+    assert sum(got.values()) >= 0.6 * sum(size.values())
+    print(len(got) / len(size), sum(got.values()) / sum(size.values()))
