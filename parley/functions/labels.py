@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.functions.text import literal_map, strip
-from parley.vocab import ALIASES, CLIENT_REDUCED, COUNSELLOR_REDUCED, T1_GROUPS, THIRD_PARTY_T1, THIRD_PARTY_T2, VOCABULARY
+from parley.vocab import ALIASES, CLIENT_REDUCED, CLIENT_T1, COUNSELLOR_REDUCED, T1_GROUPS, THIRD_PARTY_T1, THIRD_PARTY_T2, VOCABULARY
 
 UNKNOWN = "UNKNOWN"
+# What separates tokens, a label field, and the marks around a token. Fixed values.
 SPLIT = r"[\s,;.\n]+"
 FIELD = r"(?i)label[\"']?\s*[:=]\s*[\"']?([A-Za-z][A-Za-z0-9+\-]*)"
 
+MARKS = "`*_:()\\[\\]"
+BRACES = "{}"
+QUOTES = "\"' \\t"
+
 
 def array_of(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
@@ -19,7 +24,7 @@ def array_of(values: list[str]) -> Column:
 
 def clean_token(token: Column, braces: bool = False, trailing: bool = True) -> Column:
     """A token without mark-up around it and, if ``trailing``, without punctuation at its end."""
-    marks = "`*_:()\\[\\]" + ("{}" if braces else "") + ("\"' \\t" if trailing else "")
+    marks = MARKS + (BRACES if braces else "") + (QUOTES if trailing else "")
     out = strip(F.regexp_replace(token, f"^[{marks}]+|[{marks}]+$", ""))
     return F.regexp_replace(out, r"[.,;:]+$", "") if trailing else out
 
@@ -78,12 +83,14 @@ def first_label(raw: Column) -> Column:
     return F.when(text.startswith("["), F.get(F.from_json(text, "array<string>"), F.lit(0))).otherwise(text)
 
 
-def third_party_t1(code: Column) -> Column:
-    return literal_map(THIRD_PARTY_T1)[code]
+def third_party_t1(code: Column, speaker: Column) -> Column:
+    """First tier of a third party's code: the counsellor's by table, of others the client codes as they are."""
+    return F.when(speaker == "counsellor", literal_map(THIRD_PARTY_T1)[code]).when(code.isin(CLIENT_T1), code)
 
 
-def third_party_t2(code: Column) -> Column:
-    return literal_map(THIRD_PARTY_T2)[code]
+def third_party_t2(code: Column, speaker: Column) -> Column:
+    """Second tier, which only the counsellor's codes have."""
+    return F.when(speaker == "counsellor", literal_map(THIRD_PARTY_T2)[code])
 
 
 def reduced(code: Column, speaker: Column) -> Column:

@@ -69,10 +69,6 @@ def p_t(t: Column, df: Column) -> Column:
     return _row_udf(t_two_sided, t, df)
 
 
-def p_f(f: Column, d1: Column, d2: Column) -> Column:
-    return _row_udf(f_upper, f, d1, d2)
-
-
 def p_mcnemar(b: Column, c: Column) -> Column:
     return _row_udf(lambda x, y: binomial_two_sided(int(x), int(y)), b, c)
 

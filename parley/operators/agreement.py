@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.labels import is_valid
 from parley.functions.stats import p_mcnemar, p_normal
 
 
@@ -72,14 +73,36 @@ def with_p_value(kappas: DataFrame) -> DataFrame:
 
 
 def pairwise_kappa(ratings: DataFrame, item: list[str], by: list[str] = ()) -> DataFrame:
-    """Kappa of every pair of raters over the items both coded, from (item, rater, label) rows."""
-    a, b = ratings.alias("a"), ratings.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in item]
-    pairs = a.join(b, [*same, F.col("a.rater") < F.col("b.rater")])  # as many rows an item as it has pairs of raters
-    kept = pairs.select(*[F.col(f"a.{k}") for k in by], F.col("a.rater").alias("rater_1"), F.col("b.rater").alias("rater_2"), F.col("a.label").alias("x"), F.col("b.label").alias("y"))
+    """Kappa of every pair of raters over the items both coded, from (item, rater, label) rows.
+
+    One shuffle by item: its labels are collected, as many as it has raters, and paired.
+    """
+    labels = F.array_sort(F.collect_list(F.struct("rater", "label")))
+    each = ratings.filter(F.col("label").isNotNull()).groupBy(*item, *by).agg(labels.alias("_of"))
+    first = each.select(*by, "_of", F.explode("_of").alias("_a"))
+    pairs = first.select(*by, "_a", F.explode(F.filter("_of", lambda b: b["rater"] > F.col("_a")["rater"])).alias("_b"))
+    kept = pairs.select(*by, F.col("_a.rater").alias("rater_1"), F.col("_b.rater").alias("rater_2"), F.col("_a.label").alias("x"), F.col("_b.label").alias("y"))
     return kappa(kept, "x", "y", [*by, "rater_1", "rater_2"])
 
 
+def align(manual: DataFrame, auto: DataFrame, key: list[str], manual_label: str, auto_label: str) -> DataFrame:
+    """Human and automatic labels side by side by key: key, speaker (the human table's), gold, auto."""
+    left = manual.select(*key, "speaker", F.col(manual_label).alias("gold"))
+    return left.join(auto.select(*key, F.col(auto_label).alias("auto")), key)
+
+
+def agreement_report(manual: DataFrame, auto: DataFrame, key: list[str], tiers: dict[str, tuple[str, str]]) -> DataFrame:
+    """Kappa of each tier and speaker over aligned rows whose two labels are both codes of the speaker in that tier:
+    tier, speaker, n, p0, pe, kappa, variance, z. ``tiers`` names the human and the automatic column of each tier."""
+    out = None
+    for tier, (mine, theirs) in tiers.items():
+        rows = align(manual, auto, key, mine, theirs)
+        rows = rows.filter(is_valid(F.col("gold"), F.col("speaker"), tier) & is_valid(F.col("auto"), F.col("speaker"), tier))
+        one = kappa(rows, "gold", "auto", ["speaker"]).withColumn("tier", F.lit(tier))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def complete_items(ratings: DataFrame, item: list[str], n_raters: int) -> DataFrame:
     """(item, label, n) of items that all raters coded."""
     counts = ratings.filter(F.col("label").isNotNull()).groupBy(*item, "label").agg(F.count("*").alias("n"))

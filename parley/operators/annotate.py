@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.labels import UNKNOWN, allowed_in_group, array_of, parse_field
+from parley.functions.labels import allowed_codes, allowed_in_group, array_of, parse_field
 from parley.operators.context import with_context
 from parley.operators.prepare import not_yet_done
-from parley.vocab import T2_TO_T1, VOCABULARY
+from parley.vocab import VOCABULARY
 
 
 class LabelProvider(Protocol):
@@ -33,19 +33,6 @@ def ask(df: DataFrame, prompt: str, out: str, make_provider) -> DataFrame:
     return df.mapInPandas(run, shape)
 
 
-def hashed_code(utterances: DataFrame, salt: str, out: str = "t2", text: str = "utt_text") -> DataFrame:
-    """A deterministic stand-in for a model: the code that the text's hash picks from the speaker's second tier."""
-    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col(text))), 1, 8), 16, 10).cast("long")
-    pick = lambda who: F.get(array_of(VOCABULARY[who, "t2"]), (number % len(VOCABULARY[who, "t2"])).cast("int"))
-    return utterances.withColumn(out, F.when(F.col("speaker") == "counsellor", pick("counsellor")).when(F.col("speaker") == "client", pick("client")))
-
-
-def tiers_of(coded: DataFrame, t2: str, t1: str) -> DataFrame:
-    from parley.functions.text import literal_map
-
-    return coded.withColumn(t1, literal_map(T2_TO_T1)[F.col(t2)])
-
-
 def annotate_tiered(utterances: DataFrame, make_t1, make_t2, done: DataFrame | None = None, mode: str = "interval", volleys: int = 3) -> DataFrame:
     """Two passes of providers: first tier, then second tier within the predicted group.
 
@@ -64,5 +51,13 @@ def annotate_tiered(utterances: DataFrame, make_t1, make_t2, done: DataFrame | N
     return second.withColumn("t2_label_auto", parse_field(F.col("t2_expl_auto"), allowed_in_group(F.col("speaker"), F.col("t1_label_auto")))).drop("_prompt", "context")
 
 
-def unreadable(annotated: DataFrame, label: str = "t2_label_auto") -> DataFrame:
-    return annotated.groupBy("speaker").agg(F.count("*").alias("n"), F.count_if(F.col(label) == UNKNOWN).alias("n_unknown"))
+def annotate_flat(utterances: DataFrame, make, done: DataFrame | None = None, mode: str = "interval", volleys: int = 3) -> DataFrame:
+    """One pass of a provider over the speaker's full second tier: label_auto, expl_auto. Rows are left out and resumed as
+    in ``annotate_tiered``."""
+    from parley.operators.prompts import messages_flat, render
+
+    rows = with_context(utterances, mode, volleys).filter(F.col("speaker").isin("counsellor", "client"))
+    if done is not None:
+        rows = not_yet_done(rows, done, ["conv_id", "conv_utt_idx"])
+    asked = ask(messages_flat(rows).withColumn("_prompt", render(F.col("messages"))).drop("messages"), "_prompt", "expl_auto", make)
+    return asked.withColumn("label_auto", parse_field(F.col("expl_auto"), allowed_codes(F.col("speaker"), "t2"))).drop("_prompt", "context")

@@ -36,8 +36,9 @@ def with_context(utterances: DataFrame, mode: str = "interval", volleys_before:
         frame = whole.orderBy("conv_vol_idx").rangeBetween(-volleys_before, 0)
     elif mode == "cumulative":
         frame = whole.orderBy("conv_utt_idx").rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        frame = whole
+    else:  # one text a conversation, built once
+        every = utterances.groupBy("conv_id").agg(merge_runs(F.array_sort(F.collect_list(row))).alias("context"))
+        return utterances.join(every, "conv_id")
     around = utterances.withColumn("_rows", F.collect_list(row).over(frame))
     if mode == "interval":  # the frame holds later utterances of the own volley too
         around = around.withColumn("_rows", F.expr("filter(_rows, r -> r.utt <= conv_utt_idx)"))

@@ -9,18 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.order import held
+
 
 def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
-    """Distance (root of the summed squared differences along the best path) and the path."""
+    """Distance (root of the summed squared differences along the best path) and the path.
+
+    Costs are filled along anti-diagonals, whose cells depend on the two before only.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return float("nan"), []
     cost = np.full((n + 1, m + 1), np.inf)
     cost[0, 0] = 0
-    for i in range(1, n + 1):
-        square = (a[i - 1] - b) ** 2
-        for j in range(1, m + 1):
-            cost[i, j] = square[j - 1] + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        cost[i, j] = (a[i - 1] - b[j - 1]) ** 2 + np.minimum(np.minimum(cost[i - 1, j - 1], cost[i - 1, j]), cost[i, j - 1])
     path, i, j = [], n, m
     while i and j:
         path.append((i - 1, j - 1))
@@ -35,7 +40,7 @@ def series(points: DataFrame, order: str, value: str) -> DataFrame:
 
 
 def pair_distances(sessions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id_1, id_2, distance, path_length of given pairs of sessions."""
+    """id_1, id_2, distance, path_length and path (pairs of places) of given pairs of sessions."""
     a = sessions.select(F.col("conv_id").alias("id_1"), F.col("values").alias("v1"))
     b = sessions.select(F.col("conv_id").alias("id_2"), F.col("values").alias("v2"))
     kind = sessions.schema["conv_id"].dataType.simpleString()
@@ -43,10 +48,10 @@ def pair_distances(sessions: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [dtw(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(f["v1"], f["v2"])]
-            yield pd.DataFrame({"id_1": f["id_1"], "id_2": f["id_2"], "distance": [d for d, _ in got], "path_length": [len(p) for _, p in got]})
+            yield pd.DataFrame({"id_1": f["id_1"], "id_2": f["id_2"], "distance": [d for d, _ in got], "path_length": [len(p) for _, p in got], "path": [[list(x) for x in p] for _, p in got]})
 
     joined = pairs.select("id_1", "id_2").join(a, "id_1").join(b, "id_2").select("id_1", "id_2", "v1", "v2")
-    return joined.mapInPandas(run, f"id_1 {kind}, id_2 {kind}, distance double, path_length long")
+    return joined.mapInPandas(run, f"id_1 {kind}, id_2 {kind}, distance double, path_length long, path array<array<int>>")
 
 
 def _assign(centres: list[np.ndarray], kind: str):
@@ -69,15 +74,15 @@ def _assign(centres: list[np.ndarray], kind: str):
     return run, f"conv_id {kind}, cluster int, distance double, sums array<double>, counts array<double>"
 
 
-def cluster(sessions: DataFrame, k: int, rounds: int = 8) -> DataFrame:
+def cluster(sessions: DataFrame, k: int, rounds: int = 50) -> DataFrame:
     """k-means under time warping: conv_id, cluster, distance to its centre.
 
     Centres start at sessions spread over the sorted ids and move to the barycentre of what warps onto each of
-    their places. Assignments and sums run as tasks; only the centres (k series) reach the driver.
+    their places, until they settle or for ``rounds`` rounds. Assignments and sums run as tasks; only the centres (k series) reach the driver.
     """
     kind = sessions.schema["conv_id"].dataType.simpleString()
-    n = sessions.count()
-    if not n:
+    sessions = held(sessions.select("conv_id", "values"))  # every round reads them
+    if sessions.isEmpty():
         return sessions.select("conv_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
     first = sessions.orderBy(F.md5(F.col("conv_id").cast("string"))).limit(k).collect()  # k rows
     centres = [np.asarray(r["values"], float) for r in sorted(first, key=lambda r: str(r["conv_id"]))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,14 @@ def run_all(experiments: list[dict], done: set[str], run) -> dict[str, dict]:
     return out
 
 
+def evaluate(methods: list[str], known: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """The tables of the named evaluations; a name that is not known is an error before anything runs."""
+    unknown = [m for m in methods if m not in known]
+    if unknown:
+        raise ValueError(f"unknown evaluations: {', '.join(unknown)}; known: {', '.join(sorted(known))}")
+    return {m: known[m]() for m in methods}
+
+
 def save_checkpoint(path: str, config: Config, completed: list[str]) -> None:
     with open(path, "w") as f:
         json.dump({"config": asdict(config), "completed": sorted(completed)}, f)

@@ -66,14 +66,13 @@ def by_group(df: DataFrame, true: str, pred: str, by: str) -> DataFrame:
 
 def family_recall(df: DataFrame, true: str, pred: str, families: dict[str, list[str]]) -> DataFrame:
     """Of each family of codes: support, exact hits, predictions in the family, recall and precision."""
-    parts = []
-    for name, codes in families.items():
-        gold, said = F.col(true).isin(codes), F.col(pred).isin(codes)
-        got = df.agg(F.count_if(gold).alias("support"), F.count_if(gold & (F.col(true) == F.col(pred))).alias("correct"), F.count_if(said).alias("predicted"))
-        parts.append(got.withColumn("family", F.lit(name)))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    gold, said = F.col(true), F.col(pred)
+    sums, rows = [], []
+    for i, (name, codes) in enumerate(families.items()):
+        inside = gold.isin(codes)
+        sums += [F.count_if(inside).alias(f"s{i}"), F.count_if(inside & (gold == said)).alias(f"c{i}"), F.count_if(said.isin(codes)).alias(f"p{i}")]
+        rows.append(F.struct(F.lit(name).alias("family"), F.col(f"s{i}").alias("support"), F.col(f"c{i}").alias("correct"), F.col(f"p{i}").alias("predicted")))
+    out = df.agg(*sums).select(F.inline(F.array(*rows)))  # one pass for all families
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return out.select("family", "support", "correct", "predicted", ratio("correct", "support").alias("recall"), ratio("correct", "predicted").alias("precision"))
 
@@ -88,3 +87,10 @@ def comparison(first: DataFrame, second: DataFrame, key: str, names: tuple[str,
     long = lambda df, name: df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in numbers])))
     both = long(first, names[0]).join(long(second, names[1]), [key, "metric"])
     return both.withColumn("delta", F.col(names[1]) - F.col(names[0]))
+
+
+def merge_predictions(rows: DataFrame, zero_shot: DataFrame, tuned: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with both conditions' predictions beside them: zs_t1_pred, zs_t2_pred, ft_t1_pred, ft_t2_pred, null where a
+    condition has none. The predictions have the key, t1_pred and t2_pred, one row a key."""
+    named = lambda df, short: df.select(*key, F.col("t1_pred").alias(f"{short}_t1_pred"), F.col("t2_pred").alias(f"{short}_t2_pred"))
+    return rows.join(named(zero_shot, "zs"), key, "left").join(named(tuned, "ft"), key, "left")

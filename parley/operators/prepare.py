@@ -2,61 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.labels import is_valid
 from parley.functions.text import ingest_speaker, segments, strip
-
-#: Sampled keys per bucket when a running index over the whole table is dealt over tasks.
-KEYS_PER_BUCKET = 50
-
+from parley.operators.order import running_index, running_sums
 
 def load_volleys(turns: DataFrame) -> DataFrame:
     """conv_id, conv_vol_idx, speaker, vol_text from rows of conv_id, turn, role, text."""
     return turns.select("conv_id", F.col("turn").alias("conv_vol_idx"), ingest_speaker(F.col("role")).alias("speaker"), F.col("text").alias("vol_text"))
 
 
-def split_utterances(volleys: DataFrame) -> DataFrame:
-    """One row an utterance: conv_id, speaker, conv_vol_idx, conv_utt_idx (from 0 in its conversation), utt_text."""
-    rows = volleys.select("conv_id", "speaker", "conv_vol_idx", F.posexplode(segments(F.col("vol_text"))).alias("pos", "utt_text"))
+def split_utterances(volleys: DataFrame, segmenter=None) -> DataFrame:
+    """One row an utterance: conv_id, speaker, conv_vol_idx, conv_utt_idx (from 0 in its conversation), utt_text.
+
+    Turns are split by rule, or by a provider: ``segmenter()`` makes, in every task, an object whose ``split(texts)``
+    gives a list of utterances for each text. Empty utterances are left out.
+    """
+    if segmenter is None:
+        parts = segments(F.col("vol_text"))
+    else:
+
+        @F.pandas_udf("array<string>")
+        def ask(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            provider = segmenter()
+            for some in texts:
+                yield pd.Series(provider.split(some.fillna("").tolist()), dtype=object)
+
+        parts = F.filter(ask(F.col("vol_text")), lambda x: strip(x) != "")
+    rows = volleys.select("conv_id", "speaker", "conv_vol_idx", F.posexplode(parts).alias("pos", "utt_text"))
     place = Window.partitionBy("conv_id").orderBy("conv_vol_idx", "pos")
     return rows.withColumn("conv_utt_idx", (F.row_number().over(place) - 1).cast("long")).drop("pos")
 
 
-def running_index(df: DataFrame, order: list[str], name: str, n_buckets: int | None = None, dense: list[str] | None = None) -> DataFrame:
-    """Number the rows of a whole table from 0 in ``order`` (a unique key), without one task that sees them all.
+def index_utterances(utterances: DataFrame) -> DataFrame:
+    """Add corp_conv_idx, corp_vol_idx and corp_utt_idx: places in the whole corpus, from 0, in conversation order.
 
-    Rows are dealt into ranges of the key (bounds from a sample; they decide the balance, never the numbers),
-    numbered inside a range and shifted by the counts of the ranges before. With ``dense``, a prefix of
-    ``order``, rows equal in it share a number.
+    Conversations are summed up over the corpus, one row each; inside a conversation places are its own.
     """
-    spark = df.sparkSession
-    keys = dense or order
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    total = df.count()
-    share = min(1.0, n * KEYS_PER_BUCKET / max(1, total))
-    sample = sorted(tuple(r) for r in df.select(*keys).dropna().sample(share, seed=1).limit(4 * n * KEYS_PER_BUCKET).collect())
-    bounds = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
-    key = F.struct(*keys)
-    found = F.array(*[F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, b)]) for b in bounds]) if bounds else None
-    bucket = F.size(F.filter(found, lambda b: b <= key)) if bounds else F.lit(0)
-    dealt = df.withColumn("_bucket", bucket)
-    counted = dealt.select("_bucket", *keys).distinct() if dense else dealt
-    sizes = {r[0]: r[1] for r in counted.groupBy("_bucket").count().collect()}  # n rows at most
-    starts, at = {}, 0
-    for b in sorted(sizes):
-        starts[b], at = at, at + sizes[b]
-    base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_bucket")] if starts else F.lit(0)
-    number = F.dense_rank() if dense else F.row_number()
-    return dealt.withColumn(name, (base + number.over(Window.partitionBy("_bucket").orderBy(*keys)) - 1).cast("long")).drop("_bucket")
-
-
-def index_utterances(utterances: DataFrame) -> DataFrame:
-    """Add corp_conv_idx, corp_vol_idx and corp_utt_idx: places in the whole corpus, from 0, in conversation order."""
-    out = running_index(utterances, ["conv_id", "conv_utt_idx"], "corp_utt_idx")
-    out = running_index(out, ["conv_id", "conv_vol_idx"], "corp_vol_idx", dense=["conv_id", "conv_vol_idx"])
-    return running_index(out, ["conv_id"], "corp_conv_idx", dense=["conv_id"])
+    by_volley = Window.partitionBy("conv_id").orderBy("conv_vol_idx")
+    rows = utterances.withColumn("_nth_vol", F.dense_rank().over(by_volley) - 1)
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("_utts"), (F.max("_nth_vol") + 1).alias("_vols"), F.lit(1).alias("_one"))
+    starts = running_sums(sizes, ["conv_id"], {"_utt0": "_utts", "_vol0": "_vols", "corp_conv_idx": "_one"})
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("conv_utt_idx")) - 1
+    out = rows.withColumn("_nth_utt", nth).join(starts.select("conv_id", "_utt0", "_vol0", "corp_conv_idx"), "conv_id")
+    out = out.withColumn("corp_utt_idx", F.col("_utt0") + F.col("_nth_utt")).withColumn("corp_vol_idx", F.col("_vol0") + F.col("_nth_vol"))
+    return out.drop("_nth_vol", "_nth_utt", "_utt0", "_vol0")
 
 
 def with_status(volleys: DataFrame, demographics: DataFrame, status: str) -> DataFrame:

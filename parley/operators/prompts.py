@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,18 @@ def messages_t1(df: DataFrame) -> DataFrame:
     return df.withColumn("messages", _messages(system, user_message(F.col("context"), speaker, F.col("utt_text"))))
 
 
-def messages_t2(df: DataFrame, t1: str) -> DataFrame:
-    """The same for the second tier, given a first-tier column (gold in training, predicted in use)."""
+def messages_flat(df: DataFrame) -> DataFrame:
+    """The same with the speaker's full second tier at once."""
     speaker = F.col("speaker")
-    spec = F.coalesce(literal_map(SPECS)[F.col(t1)], F.lit("any"))
+    system = F.concat(literal_map(INSTRUCTIONS)[speaker], F.lit(" Codes: "), F.array_join(allowed_codes(speaker, "t2"), ", "))
+    return df.withColumn("messages", _messages(system, user_message(F.col("context"), speaker, F.col("utt_text"))))
+
+
+def messages_t2(df: DataFrame, t1: str, specs: dict[str, str] | None = None) -> DataFrame:
+    """The same for the second tier, given a first-tier column (gold in training, predicted in use). ``specs`` describe
+    the groups, as ``readers.read_specs`` gives them from a YAML file."""
+    speaker = F.col("speaker")
+    spec = F.coalesce(literal_map({**SPECS, **(specs or {})})[F.col(t1)], F.lit("any"))
     system = F.concat(
         literal_map(INSTRUCTIONS)[speaker], F.lit(" Group: "), spec, F.lit(" Codes: "), F.array_join(allowed_in_group(speaker, F.col(t1)), ", ")
     )
@@ -79,3 +89,30 @@ def mask_prompt(prompt_ids: Column, completion_ids: Column, end_id: int, max_len
     ids = F.slice(F.concat(prompt_ids, completion_ids, F.array(F.lit(end_id))), 1, max_length)
     labels = F.slice(F.concat(F.array_repeat(F.lit(-100), F.size(prompt_ids)), completion_ids, F.array(F.lit(end_id))), 1, max_length)
     return F.struct(ids.alias("input_ids"), labels.alias("labels"))
+
+
+def tokenised(rows: DataFrame, tokenizer: str, end_id: int, max_length: int) -> DataFrame:
+    """Add input_ids, labels (prompt masked by -100) and attention_mask, each of ``max_length``: ended by ``end_id``, cut
+    where longer and padded with it (masked in labels and attention) where shorter.
+
+    ``tokenizer`` is a file of the tokenizers library on every executor. Prompt and completion are encoded apart, so the
+    border between them is where training begins.
+    """
+    shape = rows.withColumns({c: F.array().cast("array<int>") for c in ("input_ids", "labels", "attention_mask")}).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(tokenizer)
+        for f in frames:
+            ids = [[x.ids for x in tok.encode_batch(f[c].fillna("").tolist(), add_special_tokens=False)] for c in ("prompt", "completion")]
+            whole = [(a + b + [end_id])[:max_length] for a, b in zip(*ids)]
+            masked = [([-100] * len(a) + b + [end_id])[:max_length] for a, b in zip(*ids)]
+            pad = [max_length - len(x) for x in whole]
+            yield f.assign(
+                input_ids=[x + [end_id] * n for x, n in zip(whole, pad)],
+                labels=[x + [-100] * n for x, n in zip(masked, pad)],
+                attention_mask=[[1] * len(x) + [0] * n for x, n in zip(whole, pad)],
+            )
+
+    return rows.mapInPandas(run, shape)

@@ -59,5 +59,6 @@ def reduce_to_scheme(coded: DataFrame, item: list[str], label: str) -> DataFrame
 
 def crosswalk(rows: DataFrame, raw: str) -> DataFrame:
     """Third-party rows in this library's scheme: speaker normalised, t1_label and t2_label, null where unmapped."""
-    code = first_label(F.col(raw))
-    return rows.withColumn("speaker", normal_speaker(F.col("speaker"))).withColumn("t1_label", third_party_t1(code)).withColumn("t2_label", third_party_t2(code))
+    code, who = first_label(F.col(raw)), F.col("speaker")
+    rows = rows.withColumn("speaker", normal_speaker(who))
+    return rows.withColumn("t1_label", third_party_t1(code, who)).withColumn("t2_label", third_party_t2(code, who))

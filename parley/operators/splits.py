@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.prepare import running_index
+from parley.operators.order import running_index
 
 
 def mixed(key: Column, seed: int) -> Column:

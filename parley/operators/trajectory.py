@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.stats import p_t
 from parley.functions.text import literal_map
+from parley.operators.order import value_places
 from parley.vocab import MOBILISING, PREPARATORY, SCALES
 
 
@@ -24,33 +27,40 @@ def with_progress(utterances: DataFrame) -> DataFrame:
     return utterances.withColumn("progress", F.when(n > 1, 100.0 * place / (n - 1)).otherwise(0.0))
 
 
-def _step(code: Column, before: Column, alpha: float, tier: str) -> Column:
+def _step(code: Column, alpha: float, tier: str) -> Column:
+    """What a code adds; null where momentum fades or is carried on."""
     if tier == "t1":
-        delta = F.when(code == "C", alpha).when(code == "S", -alpha)
-    else:
-        named = lambda stems, sign: code.isin([f"{x}{sign}" for x in stems])
-        delta = (
-            F.when(named(MOBILISING, "+"), 2 * alpha).when(named(PREPARATORY, "+"), alpha).when(named(PREPARATORY, "-"), -alpha).when(named(MOBILISING, "-"), -2 * alpha)
-        )
-    return F.when(code.isNull(), before).when(delta.isNotNull(), before + delta).otherwise(before * (1 - alpha))
+        return F.when(code == "C", alpha).when(code == "S", -alpha)
+    named = lambda stems, sign: code.isin([f"{x}{sign}" for x in stems])
+    return F.when(named(MOBILISING, "+"), 2 * alpha).when(named(PREPARATORY, "+"), alpha).when(named(PREPARATORY, "-"), -alpha).when(named(MOBILISING, "-"), -2 * alpha)
+
+
+#: Fadings after which what came before is lost in a double's precision, and beyond which their product would vanish.
+_FADE_BLOCK = 2000
 
 
 def momentum(client_rows: DataFrame, label: str, alpha: float = 0.1, tier: str = "t1") -> DataFrame:
     """Running momentum of a session's client codes: conv_id, conv_utt_idx, momentum.
 
     Change talk raises it, sustain talk lowers it, other codes let it fade, missing ones carry it on; the first
-    row starts at 0 whatever its code.
+    row starts at 0 whatever its code. With k the fadings so far and f what one leaves, a row's momentum is f**k times
+    the sum of all steps over f**k of their own rows: a running sum, in blocks of k so that no power leaves the range
+    of a double.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col("conv_utt_idx").alias("i"), F.col(label).alias("code"))))
-    start = F.array().cast("array<struct<i:bigint,m:double>>")
-
-    def add(done: Column, row: Column) -> Column:
-        before = F.element_at(done, -1)["m"]
-        now = F.when(F.size(done) == 0, F.lit(0.0)).otherwise(_step(row["code"], before, alpha, tier))
-        return F.concat(done, F.array(F.struct(row["i"].cast("long").alias("i"), now.cast("double").alias("m"))))
-
-    folded = client_rows.groupBy("conv_id").agg(rows.alias("_rows")).select("conv_id", F.aggregate("_rows", start, add).alias("_m"))
-    return folded.select("conv_id", F.inline("_m")).select("conv_id", F.col("i").alias("conv_utt_idx"), F.col("m").alias("momentum"))
+    by = Window.partitionBy("conv_id").orderBy("conv_utt_idx")
+    code, first = F.col(label), F.row_number().over(by) == 1
+    step = _step(code, alpha, tier)
+    rows = client_rows.select(
+        "conv_id", "conv_utt_idx", F.when(first | step.isNull(), 0.0).otherwise(step).alias("_step"), F.when(first | code.isNull() | step.isNotNull(), 0).otherwise(1).alias("_fades")
+    )
+    left = 1.0 - alpha
+    size = max(1, min(_FADE_BLOCK, int(600 / -math.log(left)))) if 0 < left < 1 else _FADE_BLOCK
+    k = F.sum("_fades").over(by)
+    rows = rows.withColumn("_k", k).withColumn("_block", F.floor(F.col("_k") / size)).withColumn("_k", F.col("_k") % size)
+    rows = rows.withColumn("_scaled", F.col("_step") / F.pow(F.lit(left), F.col("_k")))
+    here = F.sum("_scaled").over(Window.partitionBy("conv_id", "_block").orderBy("conv_utt_idx"))
+    past = F.coalesce(F.sum("_scaled").over(Window.partitionBy("conv_id").orderBy("_block").rangeBetween(-1, -1)), F.lit(0.0)) * left**size
+    return rows.select("conv_id", "conv_utt_idx", (F.pow(F.lit(left), F.col("_k")) * (here + past)).alias("momentum"))
 
 
 def correlation(x: str, y: str) -> Column:
@@ -120,23 +130,19 @@ def segment_slopes(points: DataFrame, n_chunks: int, x: str = "progress", y: str
     )
 
 
-def _buckets_rank(df: DataFrame, column: str) -> DataFrame:
-    """Average ranks of a column from counts of its distinct values, which are few beside the rows."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_rank", before + (F.col("_c") + 1) / 2).select(F.col(column).alias("_v"), F.col("_rank").alias(f"{column}_rank"))
-    return df.join(ranks, df[column] == ranks["_v"]).drop("_v")
-
-
 def spearman(df: DataFrame, columns: list[str], outcome: str) -> DataFrame:
-    """Rank correlation of each column with the outcome over complete rows: metric, n, r."""
-    out = None
-    for c in columns:
-        pairs = df.select(F.col(c).cast("double").alias("a"), F.col(outcome).cast("double").alias("b")).dropna()
-        ranked = _buckets_rank(_buckets_rank(pairs, "a"), "b")
-        one = ranked.agg(F.count("*").alias("n"), correlation("a_rank", "b_rank").alias("r")).select(F.lit(c).alias("metric"), "n", "r")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rank correlation of each column with the outcome over complete rows: metric, n, r. Equal values share their mean rank.
+
+    Ranks come from the places of distinct values in the order of all columns at once, so no task ranks a whole column.
+    """
+    pair = lambda c: F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("a"), F.col(outcome).cast("double").alias("b"))
+    rows = df.select(F.inline(F.array(*map(pair, columns)))).dropna()
+    side = lambda c: F.struct(F.lit(c).alias("side"), F.col(c).alias("value"))
+    places = value_places(rows.select("metric", F.inline(F.array(side("a"), side("b")))), ["metric", "side"], "value")
+    ranks = places.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    for c in ("a", "b"):
+        rows = rows.join(ranks.filter(F.col("side") == c).select("metric", F.col("value").alias(c), F.col("rank").alias(f"{c}_rank")), ["metric", c])
+    return rows.groupBy("metric").agg(F.count("*").alias("n"), correlation("a_rank", "b_rank").alias("r"))
 
 
 def with_correlation_p(correlations: DataFrame) -> DataFrame:

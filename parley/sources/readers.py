@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +42,7 @@ def read_rows(df: DataFrame, index: str, skip: int = 0, n: int | None = None) ->
 
 def read_manual(spark: SparkSession, path: str) -> DataFrame:
     """Gold labels with ``row_pos``: place in (conv_id, corp_utt_idx, conv_utt_idx) order."""
-    from parley.operators.prepare import running_index
+    from parley.operators.order import running_index
 
     return running_index(read_csv(spark, path, schema.MANUAL), ["conv_id", "corp_utt_idx", "conv_utt_idx"], "row_pos")
 
@@ -120,5 +119,13 @@ def check_presence(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, present boolean, n_rows long")
 
 
-def local_file(path: str) -> bool:
-    return Path(path).exists()
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of two conditions beside the human label, one row an utterance."""
+    return read_csv(spark, path, schema.PREDICTIONS)
+
+
+def read_annotated(spark: SparkSession, path: str, structure: str = "tiered") -> DataFrame:
+    """Utterances with automatic codes: tiered (two labels) or flat (one), as written by an earlier run."""
+    if structure not in ("tiered", "flat"):
+        raise ValueError(f"unknown class structure: {structure}")
+    return read_csv(spark, path, schema.ANNOTATED_TIERED if structure == "tiered" else schema.ANNOTATED_FLAT)

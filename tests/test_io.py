@@ -20,9 +20,9 @@ def test_csv_with_line_breaks_and_missing_columns(spark, tmp_path):
 
 def test_third_party_and_registry(spark, tmp_path):
     p = tmp_path / "t.csv"
-    p.write_text("conv_id,speaker,vol_text,label\n1,therapist,x,\"['CR', 'SR']\"\n1,patient,y,C\n2,therapist,z,[]\n")
+    p.write_text("conv_id,speaker,vol_text,label\n1,therapist,x,\"['CR', 'SR']\"\n1,patient,y,C\n3,patient,w,GI\n2,therapist,z,[]\n")
     got = {r["utt_text"]: r for r in readers.load_dataset(spark, "third_party", str(p)).collect()}
-    assert (got["x"]["t1_label"], got["x"]["t2_label"]) == ("SRL", "CR") and got["y"]["speaker"] == "client" and got["z"]["t1_label"] is None
+    assert (got["x"]["t1_label"], got["x"]["t2_label"]) == ("SRL", "CR") and got["y"]["speaker"] == "client" and got["z"]["t1_label"] is None and got["y"]["t1_label"] == "C" and got["w"]["t1_label"] is None
     with pytest.raises(ValueError):
         readers.load_dataset(spark, "nothing", str(p))
 
@@ -88,3 +88,66 @@ def test_momentum_stream_goes_on_across_batches(spark, tmp_path):
     got = {(r[0], r[1]): round(r[2], 9) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = momentum(spark.createDataFrame(rows, shape), "code", tier="t2")
     assert got == {(r[0], r[1]): round(r[2], 9) for r in want.collect()}
+
+
+def test_gold_labels_keep_their_place(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text("conv_id,speaker,corp_vol_idx,conv_vol_idx,corp_utt_idx,conv_utt_idx,utt_text,t1_label_GT,t2_label_GT\nb,client,1,0,2,0,x,C,C+\na,client,0,0,1,1,y,N,N\na,client,0,0,0,0,z,N,N\n")
+    assert [r["utt_text"] for r in readers.read_manual(spark, str(p)).orderBy("row_pos").collect()] == ["z", "y", "x"]
+    assert readers.load_dataset(spark, "manual_a", str(p)).count() == 3
+
+
+def test_outcomes_predictions_and_annotations(spark, tmp_path):
+    o, q, a = tmp_path / "o.csv", tmp_path / "q.csv", tmp_path / "a.csv"
+    o.write_text("participant_id,status,pre_confidence,post_confidence,week_later_confidence\n1,low,2,3,4\n1,low,1,3,4\n2,high,5,,6\n")
+    got = {r["participant_id"]: r for r in readers.read_outcomes(spark, str(o)).collect()}
+    assert got["1"]["pre_confidence"] == 1 and got["2"]["post_confidence"] is None
+    q.write_text("dataset,conv_id,speaker,utt_text,human_label,zero_shot_pred,fine_tuned_pred\nd,1,client,x,C,S,C\n")
+    assert readers.read_predictions(spark, str(q)).first()["fine_tuned_pred"] == "C"
+    a.write_text("conv_id,conv_utt_idx,speaker,utt_text,label_auto,expl_auto\n1,0,client,x,C+,because\n")
+    assert readers.read_annotated(spark, str(a), "flat").first()["label_auto"] == "C+"
+    with pytest.raises(ValueError):
+        readers.read_annotated(spark, str(a), "other")
+    found = {r["name"]: (r["present"], r["n_rows"]) for r in readers.check_presence(spark, {"o": str(o), "no": str(tmp_path / "no.csv")}).collect()}
+    assert found == {"o": (True, 3), "no": (False, 0)}
+
+
+def test_csv_sink_and_names(spark, tmp_path):
+    from parley.operators.experiments import artifact_name
+
+    rows = spark.createDataFrame([(1, 'a "b"\nc'), (2, None)], "conv_id long, vol_text string")
+    named = writers.with_partition_path(rows, "d", None, "tiered")
+    assert named.select("dataset", "subset", "structure").distinct().collect() == [("d", "all", "tiered")]
+    writers.write_csv(rows, str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out"), header=True, multiLine=True, escape='"').orderBy("conv_id").collect()
+    assert [r["vol_text"] for r in back] == ['a "b"\nc', None]
+    assert artifact_name("d", None, "flat", "org/p", "a", "all", 3) == "d_all_flat_p_a_all_3"
+
+
+def test_codes_are_counted_in_windows(spark):
+    rows = spark.createDataFrame([("2024-01-01 10:05:00", "C"), ("2024-01-01 10:55:00", "C"), ("2024-01-01 11:00:00", "S")], "at string, code string")
+    got = incremental.windowed_codes(rows.select(F.to_timestamp("at").alias("ts"), "code")).collect()
+    assert sorted((str(r["window"]["start"])[11:16], r["code"], r["n"]) for r in got) == [("10:00", "C", 2), ("11:00", "S", 1)]
+
+
+def test_specs_reach_the_second_tier_prompt(spark):
+    from parley.operators import prompts
+
+    rows = spark.createDataFrame([("client", "I will stop", "", "C")], "speaker string, utt_text string, context string, t1 string")
+    message = prompts.messages_t2(rows, "t1", {"C": "talk of change"}).first()["messages"][0]["content"]
+    assert "Group: talk of change" in message
+
+
+def test_prompts_are_tokenised_masked_and_padded(spark):
+    import public_tokenizers
+    from parley.operators import prompts
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rows = spark.createDataFrame([("Say it. Code:", " SR\n"), ("word " * 50, " SR\n")], "prompt string, completion string")
+    short, long = prompts.tokenised(rows, path, 50256, 12).collect()
+    p, c = (tok.encode(x, add_special_tokens=False).ids for x in ("Say it. Code:", " SR\n"))
+    assert short["input_ids"][: len(p + c) + 1] == [*p, *c, 50256] and short["labels"] == [-100] * len(p) + [*c, 50256] + [-100] * (12 - len(p + c) - 1)
+    assert short["attention_mask"] == [1] * (len(p + c) + 1) + [0] * (12 - len(p + c) - 1)
+    assert len(long["input_ids"]) == 12 and long["labels"] == [-100] * 12

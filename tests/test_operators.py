@@ -6,7 +6,7 @@ import pytest
 from parley.functions import labels as L
 from parley.functions import stats
 from parley.functions.text import normal_speaker, segments
-from parley.operators import agreement, context, dtw, experiments, learn, metrics, prepare, rollup, sessions, splits, trajectory
+from parley.operators import agreement, context, dtw, experiments, learn, metrics, order, prepare, rollup, sessions, splits, trajectory
 from parley.vocab import CLIENT_T2, COUNSELLOR_T2, SCALES, T2_TO_T1, vocabulary
 from pyspark.sql import functions as F
 
@@ -164,14 +164,78 @@ def test_segments_and_speakers(spark):
     assert [r[0] for r in raw.select(L.first_label(F.col("r"))).collect()] == ["SR", None, "GI"]
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 50])
-def test_running_index(spark, buckets):
-    rows = frame(spark, [(i // 7, i) for i in range(100)], "a int, b int").repartition(5)
-    got = prepare.running_index(rows, ["a", "b"], "i", buckets)
-    assert all(r["i"] == r["b"] for r in got.collect())
-    dense = prepare.running_index(rows, ["a"], "i", buckets, dense=["a"])
-    assert all(r["i"] == r["a"] for r in dense.collect())
-    assert prepare.running_index(rows.filter("a < 0"), ["a", "b"], "i").count() == 0
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_index_and_sums(spark, parts):
+    rows = frame(spark, [(i // 7, i) for i in range(100)], "a int, b int").repartition(parts)
+    got = order.running_index(rows, ["a", "b"], "i").collect()
+    assert len(got) == 100 and all(r["i"] == r["b"] for r in got)
+    sums = order.running_sums(rows, ["a", "b"], {"before": "b"}).collect()
+    assert all(r["before"] == r["b"] * (r["b"] - 1) // 2 for r in sums)
+    assert order.running_index(rows.filter("a < 0"), ["a", "b"], "i").count() == 0
+    hot = frame(spark, [(None, i) for i in range(50)] + [(1, i) for i in range(3)], "a int, b int")
+    assert [r["i"] for r in order.running_index(hot, ["a", "b"], "i").orderBy("a", "b").collect()] == list(range(53))
+
+
+def test_indices_of_a_corpus(spark):
+    rows = frame(spark, [(c, v, u) for c, sizes in ((3, [2, 1]), (5, [1]), (9, [1, 1, 4])) for u, v in enumerate(x for v, n in enumerate(sizes) for x in [v * 2] * n)], "conv_id long, conv_vol_idx long, conv_utt_idx long")
+    got = values(prepare.index_utterances(rows), "conv_id", "conv_vol_idx", "conv_utt_idx", "corp_conv_idx", "corp_vol_idx", "corp_utt_idx")
+    volleys = sorted({g[:2] for g in got})
+    assert [g[5] for g in got] == list(range(10)) and [g[3] for g in got] == [[3, 5, 9].index(g[0]) for g in got]
+    assert [g[4] for g in got] == [volleys.index(g[:2]) for g in got]
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=57).round(1), rng.normal(size=57)
+    rows = frame(spark, [(float(a), None if i % 5 == 0 else float(b)) for i, (a, b) in enumerate(zip(x, y))], "x double, y double")
+    got = {r["metric"]: r for r in order.percentiles(rows, ["x", "y"], {"a": 0.25, "b": 0.5, "c": 0.95}).collect()}
+    kept = np.array([b for i, b in enumerate(y) if i % 5])
+    for name, v in (("x", x), ("y", kept)):
+        assert [got[name][c] for c in "abc"] == pytest.approx([np.quantile(v, p) for p in (0.25, 0.5, 0.95)])
+
+
+@pytest.mark.parametrize("alpha, n", [(0.1, 9000), (0.5, 3000)])
+def test_momentum_of_long_sessions(spark, alpha, n):
+    rng = np.random.default_rng(3)
+    codes = [None if x == 3 else "CSN"[x] for x in rng.choice(4, n, p=[0.1, 0.1, 0.7, 0.1])]
+    got = [r["momentum"] for r in trajectory.momentum(frame(spark, [(1, i, c) for i, c in enumerate(codes)], "conv_id long, conv_utt_idx long, code string"), "code", alpha).orderBy("conv_utt_idx").collect()]
+    want, m = [], 0.0
+    for i, c in enumerate(codes):
+        m = 0.0 if i == 0 else m if c is None else m + alpha if c == "C" else m - alpha if c == "S" else m * (1 - alpha)
+        want.append(m)
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_warping_equals_the_plain_recurrence():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (1, 7), (9, 4), (20, 20)):
+        a, b = rng.normal(size=n), rng.normal(size=m)
+        cost = np.full((n + 1, m + 1), np.inf)
+        cost[0, 0] = 0
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                cost[i, j] = (a[i - 1] - b[j - 1]) ** 2 + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
+        distance, path = dtw.dtw(a, b)
+        assert distance == pytest.approx(np.sqrt(cost[n, m])) and sum((a[i] - b[j]) ** 2 for i, j in path) == pytest.approx(cost[n, m])
+        assert path[0] == (0, 0) and path[-1] == (n - 1, m - 1)
+
+
+def test_session_metrics_count_the_second_tier_alone(spark):
+    rows = [(1, "counsellor", "UNKNOWN", "SR"), (1, "client", "Q", "OQ"), (1, "client", "C", "ADW"), (1, "client", "S", "N")]
+    r = sessions.session_metrics(frame(spark, rows, "conv_id long, speaker string, t1 string, t2 string")).first()
+    assert (r["n_r"], r["n_q"], r["n_mico"], r["n_miin"], r["n_c"], r["n_s"]) == (1, 1, 2, 1, 1, 1)
+
+
+def test_crosswalk_goes_by_speaker(spark):
+    rows = [("client", "GI"), ("client", "SR"), ("client", "C"), ("Therapist", "C"), ("therapist", "['SR', 'OQ']"), ("system", "S")]
+    got = rollup.crosswalk(frame(spark, rows, "speaker string, label string"), "label").collect()
+    assert [(r["t1_label"], r["t2_label"]) for r in got] == [(None, None), (None, None), ("C", None), (None, None), ("SRL", "SR"), ("S", None)]
+
+
+def test_evaluations_are_known_by_name(spark):
+    assert list(experiments.evaluate(["a"], {"a": lambda: 1, "b": lambda: 2})) == ["a"]
+    with pytest.raises(ValueError):
+        experiments.evaluate(["c"], {"a": lambda: 1})
 
 
 def test_folds_and_splits(spark):
