@@ -10,7 +10,7 @@ from parley.operators import agreement, annotate, dtw, experiments, learn, metri
 from parley.operators.prepare import valid_rows
 from parley.plans import fixtures as fx
 from parley.vocab import (
-    CHANGE_TALK, CLIENT_REDUCED, CLIENT_T1, CLIENT_T2, COUNSELLOR_REDUCED, COUNSELLOR_T1, COUNSELLOR_T2, MI_CONSISTENT, MI_INCONSISTENT, MOBILISING, PREPARATORY, SCALES, SUSTAIN_TALK, VOCABULARY, vocabulary,
+    CHANGE_TALK, CLIENT_REDUCED, CLIENT_T2, COUNSELLOR_REDUCED, COUNSELLOR_T1, COUNSELLOR_T2, MI_CONSISTENT, MI_INCONSISTENT, MOBILISING, PREPARATORY, SCALES, SUSTAIN_TALK, VOCABULARY, vocabulary,
 )
 
 QUERIES, SQL = {}, {}
@@ -140,9 +140,79 @@ def mcnemar_cells(spark, sf):
     return agreement.mcnemar_cells(_wide_ratings(spark, sf), "t2_gold", "a", "b")
 
 
-@query()
+@query(
+    fx.sql(
+        """, cells AS (SELECT count_if(x AND y) AS "both", count_if(x AND NOT y) AS only_first, count_if(NOT x AND y) AS only_second, count_if(NOT x AND NOT y) AS neither FROM
+        (SELECT a.label = c.t2_gold AS x, b.label = c.t2_gold AS y FROM coded c JOIN ratings a ON a.rater = 'a' AND a.conv_id = c.conv_id AND a.conv_utt_idx = c.conv_utt_idx
+        JOIN ratings b ON b.rater = 'b' AND b.conv_id = c.conv_id AND b.conv_utt_idx = c.conv_utt_idx)),
+        terms AS (SELECT only_first + only_second AS n, unnest(range(least(only_first, only_second) + 1)) AS i FROM cells)
+        SELECT cells.*, round(least(1.0::DOUBLE, (SELECT 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))) FROM terms)), 6) AS p_value FROM cells""",
+        "ratings",
+    )
+)
 def mcnemar(spark, sf):
-    return agreement.mcnemar(_wide_ratings(spark, sf), "t2_gold", "a", "b")
+    return _round(agreement.mcnemar(_wide_ratings(spark, sf), "t2_gold", "a", "b"), "p_value")
+
+
+_TIERS = {"t1": ("t1_gold", "t1_auto"), "t2": ("t2_gold", "t2_auto")}
+_OWN = {(who, tier): _in(VOCABULARY[who, tier]) for who in ("counsellor", "client") for tier in ("t1", "t2")}
+_ALIGNED = " UNION ALL ".join(
+    f"SELECT m.speaker, '{tier}' AS tier, m.{tier}_gold AS g, a.{tier}_auto AS p FROM coded m JOIN coded a ON a.conv_utt_idx % 5 <> 0 AND a.conv_id = m.conv_id AND a.conv_utt_idx = m.conv_utt_idx "
+    f"WHERE m.speaker = '{who}' AND m.{tier}_gold IN {_OWN[who, tier]} AND a.{tier}_auto IN {_OWN[who, tier]}"
+    for who, tier in _OWN
+)
+
+
+@query(fx.sql(_kappa_sql(_ALIGNED, "speaker, tier"), "coded"))
+def gold_auto_report(spark, sf):
+    """Human and automatic tables joined by key, then kappa for each tier and speaker."""
+    key = ["conv_id", "conv_utt_idx"]
+    manual, auto = fx.coded(spark, sf).drop("t1_auto", "t2_auto"), fx.coded(spark, sf).filter("conv_utt_idx % 5 <> 0").select(*key, "t1_auto", "t2_auto")
+    return _kappa_out(agreement.agreement_report(manual, auto, key, _TIERS))
+
+
+def _two_conditions(spark, sf):
+    key = ["conv_id", "conv_utt_idx"]
+    rows = fx.coded(spark, sf).select(*key, "speaker", "t1_gold", "t2_gold", "t1_auto", "t2_auto")
+    zero = rows.filter("conv_utt_idx % 4 <> 1").select(*key, F.col("t1_auto").alias("t1_pred"), F.col("t2_auto").alias("t2_pred"))
+    tuned = rows.filter("conv_utt_idx % 4 <> 2").select(*key, F.col("t1_gold").alias("t1_pred"), F.col("t2_gold").alias("t2_pred"))
+    return rows, zero, tuned
+
+
+@query(
+    fx.sql(
+        "SELECT conv_id, conv_utt_idx, speaker, t1_gold, t2_gold, CASE WHEN conv_utt_idx % 4 <> 1 THEN t1_auto END AS zs_t1_pred, CASE WHEN conv_utt_idx % 4 <> 1 THEN t2_auto END AS zs_t2_pred, "
+        "CASE WHEN conv_utt_idx % 4 <> 2 THEN t1_gold END AS ft_t1_pred, CASE WHEN conv_utt_idx % 4 <> 2 THEN t2_gold END AS ft_t2_pred FROM coded",
+        "coded",
+    )
+)
+def merge_predictions(spark, sf):
+    rows, zero, tuned = _two_conditions(spark, sf)
+    return metrics.merge_predictions(rows.drop("t1_auto", "t2_auto"), zero, tuned, ["conv_id", "conv_utt_idx"])
+
+
+def _labels_sql(tier: str, scale: str) -> str:
+    label = f"CASE WHEN speaker = 'counsellor' THEN t1_gold ELSE {tier}_gold END"
+    flags = ", ".join(f"CAST(max(CASE WHEN label = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS is_{c.lower()}" for c in COUNSELLOR_T1)
+    return fx.sql(
+        f""", l AS (SELECT conv_id, conv_utt_idx, conv_vol_idx, speaker, {label} AS label FROM coded), f AS (SELECT conv_id, conv_utt_idx, {flags} FROM l GROUP BY ALL),
+        c AS (SELECT conv_id, conv_utt_idx, CAST({fx.sql_map(SCALES[scale], "label")} AS DOUBLE) AS client_code FROM l WHERE speaker = 'client'),
+        m AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY conv_vol_idx) - 1 AS volley_rank FROM l)
+        SELECT f.*, client_code, conv_vol_idx, speaker, label, volley_rank FROM f LEFT JOIN c USING (conv_id, conv_utt_idx) LEFT JOIN m USING (conv_id, conv_utt_idx)""",
+        "coded",
+    )
+
+
+for _tier, _scale in (("t1", "plot_t1"), ("t2", "plot_t2")):
+    def _labels(spark, sf, tier=_tier, scale=_scale):
+        return sessions.utterance_labels(fx.coded(spark, sf), tier, COUNSELLOR_T1, SCALES[scale], "t1_gold", "t2_gold")
+
+    QUERIES[f"utterance_labels_{_tier}"], SQL[f"utterance_labels_{_tier}"] = _labels, _labels_sql(_tier, _scale)
+
+
+@query(fx.sql("SELECT conv_id, conv_utt_idx, CASE WHEN lower(speaker) = 'client' THEN t1_gold ELSE t2_gold END AS label FROM coded", "coded"))
+def mixed_labels(spark, sf):
+    return fx.coded(spark, sf).select("conv_id", "conv_utt_idx", sessions.mixed_label("speaker", "t1_gold", "t2_gold").alias("label"))
 
 
 # Metrics.
@@ -188,13 +258,13 @@ def f1_summary(spark, sf):
 
 @query(
     fx.sql(
-        _report_sql("SELECT t2_gold AS g, t2_auto AS p FROM coded WHERE conv_id = 0", vocabulary("t2"))
+        _report_sql("SELECT t2_gold AS g, t2_auto AS p FROM coded", vocabulary("t2"))
         + " SELECT (SELECT count(*) FROM pairs) AS n, (SELECT round(avg(CASE WHEN g = p THEN 1.0::DOUBLE ELSE 0 END), 6) FROM pairs) AS accuracy, round(avg(f1), 6) AS f1_macro, round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM rep WHERE support > 0 OR predicted > 0",
         "coded",
     )
 )
 def f1_summary_met_labels(spark, sf):
-    return _round(metrics.summary(fx.coded(spark, sf).filter("conv_id = 0"), "t2_gold", "t2_auto"), "accuracy", "f1_macro", "f1_weighted")
+    return _round(metrics.summary(fx.coded(spark, sf), "t2_gold", "t2_auto"), "accuracy", "f1_macro", "f1_weighted")
 
 
 @query(fx.sql("SELECT speaker, round(avg(CASE WHEN t1_gold = t1_auto THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, count(*) AS support FROM coded GROUP BY speaker", "coded"))
@@ -282,8 +352,8 @@ def prediction_comparison(spark, sf):
 
 
 # Sessions.
-_SESSION = f""", m AS (SELECT conv_id, count_if(t1_auto = 'C') AS n_c, count_if(t1_auto = 'S') AS n_s, count_if(t1_auto IN ('CRL', 'SRL') AND t2_auto IN ('CR', 'SR')) AS n_r, count_if(t1_auto = 'Q') AS n_q,
-    count_if(speaker = 'counsellor' AND t2_auto IN {_in(MI_CONSISTENT)}) AS n_mico, count_if(speaker = 'counsellor' AND t2_auto IN {_in(MI_INCONSISTENT)}) AS n_miin FROM coded GROUP BY conv_id),
+_SESSION = f""", m AS (SELECT conv_id, count_if(t1_auto = 'C') AS n_c, count_if(t1_auto = 'S') AS n_s, count_if(t2_auto IN ('SR', 'CR')) AS n_r, count_if(t1_auto = 'Q') AS n_q,
+    count_if(t2_auto IN {_in(MI_CONSISTENT)}) AS n_mico, count_if(t2_auto IN {_in(MI_INCONSISTENT)}) AS n_miin FROM coded GROUP BY conv_id),
     sm AS (SELECT *, CASE WHEN n_mico + n_miin > 0 THEN n_mico / (n_mico + n_miin) ELSE 0.0::DOUBLE END AS pct_mic, CASE WHEN n_q > 0 THEN n_r / n_q ELSE 0.0::DOUBLE END AS r_to_q, CASE WHEN n_c + n_s > 0 THEN n_c / (n_c + n_s) ELSE 0.0::DOUBLE END AS pct_ct FROM m)"""
 
 
@@ -593,15 +663,48 @@ def topk_dims(spark, sf):
     return learn.top_dimensions(spark, learn.ridge(fx.table(spark, sf, "embeddings"), "embedding", "label").coefficients)
 
 
-@query("SELECT vec_id, CAST(embedding[3] AS DOUBLE) AS value FROM embeddings ORDER BY embedding[3] DESC, vec_id LIMIT 10")
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{end}' AS place, vec_id, CAST(embedding[3] AS DOUBLE) AS value FROM embeddings ORDER BY embedding[3] {way}, vec_id LIMIT 10)" for end, way in (("top", "DESC"), ("bottom", "ASC"))
+    )
+)
 def topk_rows(spark, sf):
     value = F.get("embedding", F.lit(2)).cast("double").alias("value")
-    return fx.table(spark, sf, "embeddings").select("vec_id", value).orderBy(F.desc("value"), "vec_id").limit(10)
+    rows = fx.table(spark, sf, "embeddings").select("vec_id", value)
+    ends = [rows.orderBy(way("value"), "vec_id").limit(10).select(F.lit(end).alias("place"), "vec_id", "value") for end, way in (("top", F.desc), ("bottom", F.asc))]
+    return ends[0].unionByName(ends[1])
 
 
-@query()
+def _determinant(names: list[str], of) -> str:
+    """A determinant as an SQL expression; ``of(a, b)`` is the cell of two names."""
+    def minor(rows: list[str], columns: list[str]) -> str:
+        if not rows:
+            return "1"
+        return "(" + " ".join(f"{'+-'[i % 2]} {of(rows[0], c)} * {minor(rows[1:], [x for x in columns if x != c])}" for i, c in enumerate(columns)) + ")"
+
+    return minor(names, names)
+
+
+_PREDICTORS = ["pct_mic", "r_to_q", "pct_ct"]
+_CELL = lambda a, b: "1.0::DOUBLE" if a == b else "c_" + "_x_".join(sorted((a, b)))
+_CORRELATIONS = ", ".join(f"corr({a}, {b}) AS {_CELL(a, b)}" for i, a in enumerate([*_PREDICTORS, "delta"]) for b in [*_PREDICTORS, "delta"][:i])
+
+
+@query(
+    fx.sql(
+        _DELTAS + f""", c AS (SELECT count(*) AS n, {_CORRELATIONS} FROM sd WHERE delta IS NOT NULL), r AS (SELECT n, 1 - {_determinant([*_PREDICTORS, "delta"], _CELL)} / {_determinant(_PREDICTORS, _CELL)} AS r2 FROM c)
+        SELECT n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 4), 6) AS r2_adjusted, round(r2 / 3 / ((1 - r2) / (n - 4)), 4) AS f FROM r""",
+        "coded", "outcomes",
+    )
+)
 def ols_multi(spark, sf):
-    return learn.multiple_regression(_session_deltas(spark, sf), ["pct_mic", "r_to_q", "pct_ct"], "delta")
+    got = learn.multiple_regression(_session_deltas(spark, sf), _PREDICTORS, "delta").select("n", "r2", "r2_adjusted", "f")
+    return _round(got, "r2", "r2_adjusted").withColumn("f", F.round("f", 4))
+
+
+@query()
+def ols_multi_p_value(spark, sf):
+    return learn.multiple_regression(_session_deltas(spark, sf), _PREDICTORS, "delta")
 
 
 @query()
@@ -631,28 +734,55 @@ def spline_fit(spark, sf):
     return learn.functional_regression(fx.client_points(spark, sf), _session_deltas(spark, sf).select("conv_id", "delta"), "delta")
 
 
-@query()
+def _dimensions(spark, sf):
+    """Every embedding dimension along the ordered vectors of a class as the score of a session of its own."""
+    rows = fx.table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("dim", "v"))
+    rows = rows.select((F.col("label") * 1000 + F.col("dim")).cast("long").alias("conv_id"), F.col("vec_id").alias("conv_utt_idx"), F.col("v").cast("double").alias("score"))
+    return trajectory.with_progress(rows)
+
+
+_SEGMENTS = 5
+_LOW = f"CASE WHEN chunk > 0 THEN (chunk - 1) * {100 / _SEGMENTS}::DOUBLE ELSE 0 END"
+_HIGH = f"CASE WHEN chunk < {_SEGMENTS - 2} THEN (chunk + 2) * {100 / _SEGMENTS}::DOUBLE ELSE (chunk + 1) * {100 / _SEGMENTS}::DOUBLE END"
+
+
+@query(
+    f"""WITH v AS (SELECT CAST(label AS BIGINT) * 1000 + dim AS conv_id, vec_id, CAST(embedding[dim + 1] AS DOUBLE) AS score FROM embeddings, (SELECT unnest(range(64)) AS dim)),
+    p AS (SELECT conv_id, score, CASE WHEN count(*) OVER w > 1 THEN 100.0::DOUBLE * (row_number() OVER (PARTITION BY conv_id ORDER BY vec_id) - 1) / (count(*) OVER w - 1) ELSE 0.0::DOUBLE END AS progress FROM v WINDOW w AS (PARTITION BY conv_id)),
+    sz AS (SELECT conv_id FROM p GROUP BY 1 HAVING count(*) >= {_SEGMENTS}), ch AS (SELECT conv_id, unnest(range({_SEGMENTS})) AS chunk FROM sz),
+    f AS (SELECT ch.conv_id, chunk, count(*) AS m, regr_slope(score, progress) AS s, regr_intercept(score, progress) AS i FROM ch JOIN p ON p.conv_id = ch.conv_id AND progress >= {_LOW} AND progress < {_HIGH} GROUP BY ALL)
+    SELECT ch.conv_id, ch.chunk, round(CASE WHEN m >= 2 THEN s ELSE 0 END, 6) AS slope, round(CASE WHEN m >= 2 THEN i ELSE 0 END, 6) AS intercept FROM ch LEFT JOIN f ON f.conv_id = ch.conv_id AND f.chunk = ch.chunk"""
+)
 def embedding_segments(spark, sf):
-    """Slopes of one embedding dimension along ordered vectors of a class, as another score of a trajectory."""
-    rows = fx.table(spark, sf, "embeddings").select(F.col("label").alias("conv_id"), F.col("vec_id").alias("conv_utt_idx"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
-    return trajectory.segment_slopes(trajectory.with_progress(rows), 5)
+    return _round(trajectory.segment_slopes(_dimensions(spark, sf), _SEGMENTS), "slope", "intercept")
 
 
-def _series(spark, sf):
-    return dtw.series(fx.client_points(spark, sf), "conv_utt_idx", "score")
+@query()
+def embedding_regression(spark, sf):
+    """A class's outcome (a number of its id) on its segment slopes in the dimensions that ridge regression weighs most."""
+    rows = fx.table(spark, sf, "embeddings")
+    best = learn.top_dimensions(spark, learn.ridge(rows, "embedding", "label").coefficients, 3)
+    outcome = rows.select("label").distinct().select("label", (fx.number("post", "label") % 11).cast("double").alias("delta"))
+    slopes = trajectory.segment_slopes(_dimensions(spark, sf), _SEGMENTS).withColumn("label", F.floor(F.col("conv_id") / 1000).cast("int")).withColumn("dim", F.col("conv_id") % 1000)
+    wide = slopes.join(F.broadcast(best), "dim").join(outcome, "label")  # three dimensions
+    names = [f"s{i}" for i in range(_SEGMENTS)]
+    wide = wide.groupBy("dim", "label", "delta").agg(*[F.max(F.when(F.col("chunk") == i, F.col("slope"))).alias(n) for i, n in enumerate(names)])
+    return learn.multiple_regression(wide, names, "delta")
 
 
 @query()
 def dtw_pairs(spark, sf):
-    ids = _series(spark, sf).select("conv_id")
-    pairs = ids.select(F.col("conv_id").alias("id_1"), (F.col("conv_id") + 1).alias("id_2"))
-    return dtw.pair_distances(_series(spark, sf), pairs)
+    """Whole sessions, the counsellor's turns filled in between the client's scores, each with the next one by id."""
+    rows = trajectory.with_score(fx.coded(spark, sf), "t2_auto", "motiv5")
+    sessions_ = dtw.series(trajectory.fill_linear(rows, "conv_utt_idx", "score"), "conv_utt_idx", "score")
+    ids = sessions_.select("conv_id")
+    return dtw.pair_distances(sessions_, ids.select(F.col("conv_id").alias("id_1"), (F.col("conv_id") + 1).alias("id_2")))
 
 
 @query()
 def dtw_kmeans(spark, sf):
-    even = trajectory.resample(fx.client_points(spark, sf), 20)
-    return dtw.cluster(dtw.series(even, "k", "y"), 3, 4)
+    even = trajectory.resample(fx.client_points(spark, sf), 100)
+    return dtw.cluster(dtw.series(even, "k", "y"), 3)
 
 
 @query()
@@ -660,9 +790,13 @@ def dtw_cluster_report(spark, sf):
     return dtw.cluster_report(dtw_kmeans(spark, sf))
 
 
-@query()
+_KEY = b"query key"
+_PAD = lambda with_: bytes(b ^ with_ for b in _KEY.ljust(64, b"\0")).hex()
+
+
+@query(f"SELECT conv_id, sha256(from_hex('{_PAD(0x5C)}') || from_hex(sha256(from_hex('{_PAD(0x36)}') || CAST(conv_id AS VARCHAR)::BLOB))) AS anonymous_id FROM (SELECT DISTINCT conv_id FROM conversations)")
 def anonymize_ids(spark, sf):
-    return fx.table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", keyed_id(F.col("conv_id"), b"query key").alias("anonymous_id"))
+    return fx.table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", keyed_id(F.col("conv_id"), _KEY).alias("anonymous_id"))
 
 
 class _Echo:
@@ -672,12 +806,23 @@ class _Echo:
         return [f'{{"label": "{p.split("Codes: ", 1)[1].split(",")[0].split()[0]}"}}' for p in asked]
 
 
-@query()
+_FIRST = {"counsellor": ("CRL", "CR"), "client": ("C", "O+")}  # what the echo answers with
+
+
+@query(
+    fx.sql("SELECT conv_id, conv_utt_idx, speaker, " + ", ".join(f"CASE speaker WHEN 'counsellor' THEN '{_FIRST['counsellor'][i]}' ELSE '{_FIRST['client'][i]}' END AS {c}" for i, c in enumerate(("t1_label_auto", "t2_label_auto"))) + " FROM utterances WHERE speaker <> 'unknown'", "utterances")
+)
 def tiered_annotation(spark, sf):
     got = annotate.annotate_tiered(fx.utterances(spark, sf), _Echo, _Echo)
     return got.select("conv_id", "conv_utt_idx", "speaker", "t1_label_auto", "t2_label_auto")
 
 
+@query(fx.sql(f"SELECT conv_id, conv_utt_idx, CASE speaker WHEN 'counsellor' THEN '{_FIRST['counsellor'][1]}' ELSE '{_FIRST['client'][1]}' END AS label_auto FROM utterances WHERE speaker <> 'unknown' AND conv_id % 3 <> 0", "utterances"))
+def flat_annotation(spark, sf):
+    rows = fx.utterances(spark, sf)
+    return annotate.annotate_flat(rows, _Echo, done=rows.filter("conv_id % 3 = 0")).select("conv_id", "conv_utt_idx", "label_auto")
+
+
 @query()
 def trained_vs_hashed(spark, sf):
     """Held-out accuracy of the trainable stand-in beside the hashed coder, by speaker."""
@@ -737,4 +882,26 @@ def set_union(spark, sf):
     return rows.unionByName(fx.outcomes(spark, sf).select("conv_id", F.lit("outcome").alias("speaker"))).distinct()
 
 
-_ = (CLIENT_T1, COUNSELLOR_T1)
+@query(
+    fx.sql(
+        """SELECT 'agreement' AS method, count(*) AS n_rows FROM (SELECT DISTINCT speaker, tier FROM coded, (SELECT unnest(['t1', 't2']) AS tier))
+        UNION ALL SELECT 'outcomes', count(*) FROM (SELECT DISTINCT c.conv_id FROM coded c JOIN outcomes o ON o.conv_id = c.conv_id)
+        UNION ALL SELECT 'comparison', 2 * count(DISTINCT speaker) FROM coded""",
+        "coded", "outcomes",
+    )
+)
+def evaluation_dispatch(spark, sf):
+    """Every named evaluation over one run's tables, and how many rows each gave."""
+    key = ["conv_id", "conv_utt_idx"]
+    rows, zero, tuned = _two_conditions(spark, sf)
+    merged = metrics.merge_predictions(rows, zero, tuned, key)
+    jobs = {
+        "agreement": lambda: agreement.agreement_report(rows, rows.select(*key, "t1_auto", "t2_auto"), key, _TIERS),
+        "outcomes": lambda: _session_deltas(spark, sf),
+        "comparison": lambda: metrics.comparison(metrics.by_group(merged, "t2_gold", "zs_t2_pred", "speaker"), metrics.by_group(merged, "t2_gold", "ft_t2_pred", "speaker"), "speaker"),
+    }
+    out = None
+    for name, found in experiments.evaluate(list(jobs), jobs).items():
+        one = found.agg(F.count("*").alias("n_rows")).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -8,6 +8,8 @@ from parley.functions import labels as L
 from parley.functions.text import model_slug, normal_speaker, strip
 from parley.operators import context, prepare, prompts, splits
 from parley.plans import fixtures as fx
+from parley.operators.order import percentiles, running_index
+from parley.operators.rollup import crosswalk as as_crosswalk
 from parley.sources.readers import normal_form as as_normal_form
 from parley.sources.readers import read_rows
 from parley.vocab import ALIASES, CLIENT_T1, CLIENT_T2, COUNSELLOR_T1, COUNSELLOR_T2, SPEAKERS, T1_GROUPS, THIRD_PARTY_T1, THIRD_PARTY_T2
@@ -85,17 +87,22 @@ def average_length(spark, sf):
     return prepare.average_conversation_length(fx.volleys(spark, sf))
 
 
-def _context_sql(condition: str) -> str:
-    return fx.sql(
-        f"""SELECT conv_id, conv_utt_idx, md5(string_agg(speaker || ': ' || texts, chr(10) ORDER BY run)) AS context_md5 FROM (
+def _context_body(source: str, condition: str) -> str:
+    """conv_id, conv_utt_idx and the context of every utterance of a table."""
+    return f"""SELECT conv_id, conv_utt_idx, string_agg(speaker || ': ' || texts, chr(10) ORDER BY run) AS context FROM (
           SELECT conv_id, conv_utt_idx, run, min(speaker) AS speaker, string_agg(utt_text, ' ' ORDER BY i) AS texts FROM (
             SELECT *, sum(new) OVER (PARTITION BY conv_id, conv_utt_idx ORDER BY i) AS run FROM (
               SELECT t.conv_id, t.conv_utt_idx, c.conv_utt_idx AS i, c.speaker, c.utt_text,
                 CASE WHEN c.speaker = lag(c.speaker) OVER (PARTITION BY t.conv_id, t.conv_utt_idx ORDER BY c.conv_utt_idx) THEN 0 ELSE 1 END AS new
-              FROM utterances t JOIN utterances c ON t.conv_id = c.conv_id AND {condition}))
-          GROUP BY conv_id, conv_utt_idx, run) GROUP BY conv_id, conv_utt_idx""",
-        "utterances",
-    )
+              FROM {source} t JOIN {source} c ON t.conv_id = c.conv_id AND {condition}))
+          GROUP BY conv_id, conv_utt_idx, run) GROUP BY conv_id, conv_utt_idx"""
+
+
+def _context_sql(condition: str) -> str:
+    return fx.sql(f"SELECT conv_id, conv_utt_idx, md5(context) AS context_md5 FROM ({_context_body('utterances', condition)})", "utterances")
+
+
+_INTERVAL = "c.conv_vol_idx >= t.conv_vol_idx - 3 AND c.conv_utt_idx <= t.conv_utt_idx"
 
 
 def _context(mode: str):
@@ -106,7 +113,7 @@ def _context(mode: str):
 
 
 for _mode, _cond in (
-    ("interval", "c.conv_vol_idx >= t.conv_vol_idx - 3 AND c.conv_utt_idx <= t.conv_utt_idx"),
+    ("interval", _INTERVAL),
     ("cumulative", "c.conv_utt_idx <= t.conv_utt_idx"),
     ("all", "true"),
 ):
@@ -142,11 +149,11 @@ def prompts_plain(spark, sf):
 
 
 def _with_context(spark, sf):
-    """The own utterance as its context keeps the SQL twin short; context queries cover the window."""
-    return fx.coded(spark, sf).withColumn("context", F.concat("speaker", F.lit(": "), "utt_text"))
+    return context.with_context(fx.coded(spark, sf), "interval", 3)
 
 
-_USER = "'Conversation:' || chr(10) || speaker || ': ' || utt_text || chr(10) || chr(10) || 'Code this: ' || speaker || ': ' || utt_text"
+_IN_CONTEXT = f", ctx AS ({_context_body('coded', _INTERVAL)}), rows AS (SELECT coded.*, ctx.context FROM coded JOIN ctx USING (conv_id, conv_utt_idx)) "
+_USER = "'Conversation:' || chr(10) || context || chr(10) || chr(10) || 'Code this: ' || speaker || ': ' || utt_text"
 _LEAD = "CASE speaker WHEN 'counsellor' THEN '" + prompts.INSTRUCTIONS["counsellor"] + "' ELSE '" + prompts.INSTRUCTIONS["client"] + "' END"
 _OPEN = "'<system>' || chr(10) || "
 _CLOSE = " || chr(10) || '<user>' || chr(10) || " + _USER + " || chr(10)"
@@ -154,7 +161,7 @@ _CLOSE = " || chr(10) || '<user>' || chr(10) || " + _USER + " || chr(10)"
 
 @query(
     fx.sql(
-        f"SELECT conv_id, conv_utt_idx, md5({_OPEN}{_LEAD} || ' Codes: ' || CASE speaker WHEN 'counsellor' THEN '{', '.join(COUNSELLOR_T1)}' ELSE '{', '.join(CLIENT_T1)}' END{_CLOSE}) AS chat_md5 FROM coded",
+        f"{_IN_CONTEXT}SELECT conv_id, conv_utt_idx, md5({_OPEN}{_LEAD} || ' Codes: ' || CASE speaker WHEN 'counsellor' THEN '{', '.join(COUNSELLOR_T1)}' ELSE '{', '.join(CLIENT_T1)}' END{_CLOSE}) AS chat_md5 FROM rows",
         "coded",
     )
 )
@@ -164,9 +171,9 @@ def chat_messages_t1(spark, sf):
 
 @query(
     fx.sql(
-        f"SELECT conv_id, conv_utt_idx, md5({_OPEN}{_LEAD} || ' Group: ' || {fx.sql_map(prompts.SPECS, 't1_gold')} || ' Codes: ' || "
+        f"{_IN_CONTEXT}SELECT conv_id, conv_utt_idx, md5({_OPEN}{_LEAD} || ' Group: ' || {fx.sql_map(prompts.SPECS, 't1_gold')} || ' Codes: ' || "
         + fx.sql_map({k: ", ".join(v) for k, v in T1_GROUPS.items()}, "t1_gold")
-        + f"{_CLOSE}) AS chat_md5 FROM coded",
+        + f"{_CLOSE}) AS chat_md5 FROM rows",
         "coded",
     )
 )
@@ -317,17 +324,63 @@ def lodo_summary(spark, sf):
     return splits.split_summary(splits.leave_dataset_out(_datasets(spark, sf), ["d0", "d1"], "d2"))
 
 
-@query(
-    """SELECT conv_id, role, CAST(t1 AS VARCHAR) AS t1_label, t2 AS t2_label FROM (SELECT conv_id, role, turn, list_extract(['CR', 'SR', 'CQ', 'OQ', 'GI', 'ADVI', 'NEGO', 'O'], 1 + CAST(turn % 8 AS INTEGER)) AS code, """
-    + fx.sql_map(THIRD_PARTY_T1, "code") + " AS t1, " + fx.sql_map(THIRD_PARTY_T2, "code") + " AS t2 FROM conversations WHERE turn % 9 <> 8)"
-)
-def crosswalk_t1_t2(spark, sf):
-    codes = L.array_of(["CR", "SR", "CQ", "OQ", "GI", "ADVI", "NEGO", "O"])
-    code = F.get(codes, (F.col("turn") % 8).cast("int"))
+_THEIRS = ["CR", "SR", "CQ", "OQ", "GI", "ADVI", "NEGO", "OPTI", "O", "C", "S", "N", "XX"]
+_THEIR_CODE = f"list_extract({_codes(_THEIRS)}, 1 + CAST((5 * turn + conv_id) % {len(_THEIRS)} AS INTEGER))"
+_THEIR_TIERS = (
+    f"CASE WHEN speaker = 'counsellor' THEN {fx.sql_map(THIRD_PARTY_T1, 'code')} WHEN code IN ('C', 'S', 'N') THEN code END AS t1_label, "
+    f"CASE WHEN speaker = 'counsellor' THEN {fx.sql_map(THIRD_PARTY_T2, 'code')} END AS t2_label"
+)
+
+
+def _third_party(spark, sf):
+    """Turns with a third party's label: a bare code, or a list literal that begins with it."""
+    code = F.get(L.array_of(_THEIRS), ((5 * F.col("turn") + F.col("conv_id")) % len(_THEIRS)).cast("int"))
     raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("['"), code, F.lit("', 'SR']"))).otherwise(code)
-    rows = fx.table(spark, sf, "conversations").filter("turn % 9 <> 8").withColumn("raw", raw)
-    first = L.first_label(F.col("raw"))
-    return rows.select("conv_id", "role", L.third_party_t1(first).alias("t1_label"), L.third_party_t2(first).alias("t2_label"))
+    return fx.table(spark, sf, "conversations").withColumn("raw", raw)
+
+
+@query(f"SELECT conv_id, turn, speaker, {_THEIR_TIERS} FROM (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'counsellor' ELSE 'client' END AS speaker, {_THEIR_CODE} AS code FROM conversations)")
+def crosswalk_t1_t2(spark, sf):
+    first, who = L.first_label(F.col("raw")), F.col("speaker")
+    rows = _third_party(spark, sf).withColumn("speaker", F.when(F.col("role") == "assistant", "counsellor").otherwise("client"))
+    return rows.select("conv_id", "turn", "speaker", L.third_party_t1(first, who).alias("t1_label"), L.third_party_t2(first, who).alias("t2_label"))
+
+
+@query(
+    f"SELECT conv_id, turn, speaker, {_THEIR_TIERS} FROM (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'counsellor' WHEN 'user' THEN 'client' ELSE role END AS speaker, {_THEIR_CODE} AS code FROM conversations)"
+)
+def crosswalk_by_speaker(spark, sf):
+    """The loader's crosswalk on speakers' synonyms: the counsellor's codes by table, of others the client codes alone."""
+    name = F.when(F.col("role") == "assistant", " Therapist ").when(F.col("role") == "user", "Patient").otherwise(F.col("role"))
+    return as_crosswalk(_third_party(spark, sf).withColumn("speaker", name), "raw").select("conv_id", "turn", "speaker", "t1_label", "t2_label")
+
+
+class _Lines:
+    """A segmenter that takes every line as an utterance."""
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        return [t.split("\n") for t in texts]
+
+
+@query(
+    fx.sql(
+        r"""SELECT conv_id, conv_vol_idx, row_number() OVER (PARTITION BY conv_id ORDER BY conv_vol_idx, pos) - 1 AS conv_utt_idx, md5(part) AS utt_md5 FROM
+        (SELECT conv_id, conv_vol_idx, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT *, string_split(vol_text, chr(10)) AS parts FROM volleys))
+        WHERE regexp_replace(part, '^\s+|\s+$', '', 'g') <> ''""",
+        "volleys",
+    )
+)
+def segment_by_provider(spark, sf):
+    return prepare.split_utterances(fx.volleys(spark, sf), _Lines).select("conv_id", "conv_vol_idx", "conv_utt_idx", F.md5("utt_text").alias("utt_md5"))
+
+
+@query()
+def masked_tokens(spark, sf):
+    """Prompt and completion in the ids of a public tokenizer, cut, masked and padded."""
+    import public_tokenizers
+
+    rows = fx.coded(spark, sf).select("conv_id", "conv_utt_idx", prompts.bare_prompt(F.col("speaker"), F.col("utt_text"), "t2").alias("prompt"), prompts.completion(F.col("t2_gold")).alias("completion"))
+    return prompts.tokenised(rows, public_tokenizers.path("byte_bpe_50k.json"), 50256, 256).drop("prompt", "completion")
 
 
 _MIXED = "md5('{0}|' || CAST({1} AS VARCHAR))"
@@ -403,7 +456,8 @@ def positional_zip(spark, sf):
 @query(fx.sql("SELECT quantile_cont(n, 0.5)::DOUBLE AS median, quantile_cont(n, 0.95)::DOUBLE AS p95, max(n)::BIGINT AS longest, count_if(n > 200) AS too_long FROM (SELECT length(" + _BARE + ") AS n FROM coded)", "coded"))
 def prompt_lengths(spark, sf):
     n = fx.coded(spark, sf).select(F.length(prompts.bare_prompt(F.col("speaker"), F.col("utt_text"), "t2")).alias("n"))
-    return n.agg(F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"), F.max("n").cast("long").alias("longest"), F.count_if(F.col("n") > 200).alias("too_long"))
+    sums = n.agg(F.max("n").cast("long").alias("longest"), F.count_if(F.col("n") > 200).alias("too_long"))
+    return percentiles(n, ["n"], {"median": 0.5, "p95": 0.95}).drop("metric").crossJoin(sums)  # one row each
 
 
 @query(fx.sql("SELECT conv_id, conv_utt_idx, speaker FROM coded WHERE speaker = 'client' AND (t1_gold IS NULL OR conv_utt_idx % 6 = 0)", "coded"))
@@ -424,7 +478,7 @@ def scalar_helpers(spark, sf):
 
 @query(fx.sql("SELECT conv_id, conv_vol_idx, i FROM (SELECT *, row_number() OVER (ORDER BY conv_id, conv_vol_idx) - 1 AS i FROM volleys) WHERE i >= 10 AND i < 35", "volleys"))
 def row_range(spark, sf):
-    rows = prepare.running_index(fx.volleys(spark, sf), ["conv_id", "conv_vol_idx"], "i")
+    rows = running_index(fx.volleys(spark, sf), ["conv_id", "conv_vol_idx"], "i")
     return read_rows(rows, "i", 10, 25).select("conv_id", "conv_vol_idx", "i")
 
 

@@ -46,12 +46,14 @@ def t1_of(code: Column) -> Column:
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Utterances of known speakers with t2_auto, t2_gold and their first tiers."""
+    """Utterances of known speakers with t2_auto, t2_gold and their first tiers; one automatic first tier in twelve is
+    unreadable, and one in eleven that of another hash, so that tiers disagree as those of models do."""
     key = ("conv_id", "conv_utt_idx")
     rows = utterances(spark, sf_dir).filter("speaker <> 'unknown'")
     rows = rows.withColumn("t2_auto", code_of(number("auto", *key)))
     rows = rows.withColumn("t2_gold", F.when(number("agree", *key) % 10 < 7, F.col("t2_auto")).otherwise(code_of(number("gold", *key))))
-    return rows.withColumn("t1_auto", t1_of(F.col("t2_auto"))).withColumn("t1_gold", t1_of(F.col("t2_gold")))
+    own = F.when(number("odd tier", *key) % 12 == 0, "UNKNOWN").when(number("other tier", *key) % 11 == 0, t1_of(code_of(number("tier", *key))))
+    return rows.withColumn("t1_auto", own.otherwise(t1_of(F.col("t2_auto")))).withColumn("t1_gold", t1_of(F.col("t2_gold")))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +120,9 @@ CTE = {
       (SELECT *, regexp_replace(part, '^\s+|\s+$', '', 'g') AS utt_text FROM pieces) WHERE utt_text <> ''""",
     "coded2": f"""SELECT *, {sql_code(sql_number("auto", *_KEY))} AS t2_auto FROM utterances WHERE speaker <> 'unknown'""",
     "coded3": f"""SELECT *, CASE WHEN {sql_number("agree", *_KEY)} % 10 < 7 THEN t2_auto ELSE {sql_code(sql_number("gold", *_KEY))} END AS t2_gold FROM coded2""",
-    "coded": f"""SELECT *, {sql_map(T2_TO_T1, "t2_auto")} AS t1_auto, {sql_map(T2_TO_T1, "t2_gold")} AS t1_gold FROM coded3""",
+    "coded4": f"""SELECT *, {sql_code(sql_number("tier", *_KEY))} AS t2_other FROM coded3""",
+    "coded": f"""SELECT * EXCLUDE (t2_other), CASE WHEN {sql_number("odd tier", *_KEY)} % 12 = 0 THEN 'UNKNOWN' WHEN {sql_number("other tier", *_KEY)} % 11 = 0 THEN {sql_map(T2_TO_T1, "t2_other")}
+      ELSE {sql_map(T2_TO_T1, "t2_auto")} END AS t1_auto, {sql_map(T2_TO_T1, "t2_gold")} AS t1_gold FROM coded4""",
     "ratings": " UNION ALL ".join(
         f"""SELECT conv_id, conv_utt_idx, speaker, '{r}' AS rater, {"CASE WHEN " + sql_number("miss", *_KEY) + " % 10 > 0 THEN " if r == "c" else ""}
       CASE WHEN {sql_number(f"sure {r}", *_KEY)} % 10 < 7 THEN t2_gold ELSE {sql_code(sql_number(f"rate {r}", *_KEY))} END {"END" if r == "c" else ""} AS label FROM coded"""
@@ -140,7 +144,7 @@ def _scored() -> None:
 
 _scored()
 _NEEDS = {
-    "volleys": [], "pieces": ["volleys"], "utterances": ["pieces"], "coded2": ["utterances"], "coded3": ["coded2"], "coded": ["coded3"],
+    "volleys": [], "pieces": ["volleys"], "utterances": ["pieces"], "coded2": ["utterances"], "coded3": ["coded2"], "coded4": ["coded3"], "coded": ["coded4"],
     "ratings": ["coded"], "outcomes": [], "progress": ["coded"], "client_points": ["progress"],
 }
 
