@@ -33,6 +33,29 @@ def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(np.sqrt(cost[n, m])), path[::-1]
 
 
+def dtw_many(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one series against many of one length (rows of ``b``): distances, and along each best path the sums of the
+    row's values, and their number, at every place of ``a``."""
+    n, (size, m) = len(a), b.shape
+    cost = np.full((size, n + 1, m + 1), np.inf)
+    cost[:, 0, 0] = 0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        cost[:, i, j] = (a[i - 1] - b[:, j - 1]) ** 2 + np.minimum(np.minimum(cost[:, i - 1, j - 1], cost[:, i - 1, j]), cost[:, i, j - 1])
+    sums, counts = np.zeros((size, n)), np.zeros((size, n))
+    row, i, j = np.arange(size), np.full(size, n), np.full(size, m)
+    while len(row):
+        sums[row, i - 1] += b[row, j - 1]
+        counts[row, i - 1] += 1
+        ways = np.stack([cost[row, i - 1, j - 1], cost[row, i - 1, j], cost[row, i, j - 1]])
+        best = ways.argmin(0)  # of equal ways the first
+        i, j = i - (best != 2), j - (best != 1)
+        live = (i > 0) & (j > 0)
+        row, i, j = row[live], i[live], j[live]
+    return np.sqrt(cost[:, n, m]), sums, counts
+
+
 def series(points: DataFrame, order: str, value: str) -> DataFrame:
     """conv_id, values: each session's values in order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
@@ -54,22 +77,30 @@ def pair_distances(sessions: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, f"id_1 {kind}, id_2 {kind}, distance double, path_length long, path array<array<int>>")
 
 
+#: Series compared at once; their cost tables are what a task holds.
+_BATCH = 64
+
+
 def _assign(centres: list[np.ndarray], kind: str):
     """(conv_id, cluster, distance, sums and counts along the paths): what the next centres need."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for key, values in zip(f["conv_id"], f["values"]):
-                v = np.asarray(values, float)
-                got = [dtw(c, v) for c in centres]
-                best = int(np.argmin([d for d, _ in got]))
-                sums, counts = np.zeros(len(centres[best])), np.zeros(len(centres[best]))
-                for i, j in got[best][1]:
-                    sums[i] += v[j]
-                    counts[i] += 1
-                out.append((key, best, got[best][0], sums.tolist(), counts.tolist()))
-            yield pd.DataFrame(out, columns=["conv_id", "cluster", "distance", "sums", "counts"])
+            for length, same in f.groupby(f["values"].map(len)):
+                for at in range(0, len(same), _BATCH):
+                    part = same.iloc[at : at + _BATCH]
+                    rows = np.array(part["values"].tolist(), float).reshape(len(part), length)
+                    got = [dtw_many(c, rows) for c in centres]
+                    best = np.stack([d for d, _, _ in got]).argmin(0)
+                    yield pd.DataFrame(
+                        {
+                            "conv_id": part["conv_id"].to_numpy(),
+                            "cluster": best.astype("int32"),
+                            "distance": [got[c][0][r] for r, c in enumerate(best)],
+                            "sums": [got[c][1][r] for r, c in enumerate(best)],
+                            "counts": [got[c][2][r] for r, c in enumerate(best)],
+                        }
+                    )
 
     return run, f"conv_id {kind}, cluster int, distance double, sums array<double>, counts array<double>"
 
@@ -78,7 +109,7 @@ def cluster(sessions: DataFrame, k: int, rounds: int = 50) -> DataFrame:
     """k-means under time warping: conv_id, cluster, distance to its centre.
 
     Centres start at sessions spread over the sorted ids and move to the barycentre of what warps onto each of
-    their places, until they settle or for ``rounds`` rounds. Assignments and sums run as tasks; only the centres (k series) reach the driver.
+    their places, until no session changes its cluster or for ``rounds`` rounds. Assignments and sums run as tasks; only the centres (k series) reach the driver.
     """
     kind = sessions.schema["conv_id"].dataType.simpleString()
     sessions = held(sessions.select("conv_id", "values"))  # every round reads them
@@ -86,19 +117,21 @@ def cluster(sessions: DataFrame, k: int, rounds: int = 50) -> DataFrame:
         return sessions.select("conv_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
     first = sessions.orderBy(F.md5(F.col("conv_id").cast("string"))).limit(k).collect()  # k rows
     centres = [np.asarray(r["values"], float) for r in sorted(first, key=lambda r: str(r["conv_id"]))]
+    before = None
     for _ in range(rounds):
         run, shape = _assign(centres, kind)
-        places = sessions.select("conv_id", "values").mapInPandas(run, shape).select("cluster", F.posexplode(F.arrays_zip("sums", "counts")).alias("i", "p"))
-        sums = places.groupBy("cluster", "i").agg((F.sum("p.sums") / F.sum("p.counts")).alias("v")).collect()
-        moved = [c.copy() for c in centres]
+        assigned = sessions.mapInPandas(run, shape).withColumn("_who", F.xxhash64("conv_id"))
+        places = assigned.select("cluster", "_who", F.posexplode(F.arrays_zip("sums", "counts")).alias("i", "p"))
+        sums = places.groupBy("cluster", "i").agg((F.sum("p.sums") / F.sum("p.counts")).alias("v"), F.bit_xor("_who").alias("who")).collect()
+        now = {(r["cluster"], r["who"]) for r in sums if r["i"] == 0}
+        if now == before:  # no session went to another centre
+            break
+        before, centres = now, [c.copy() for c in centres]
         for r in sums:
             if r["v"] is not None:
-                moved[r["cluster"]][r["i"]] = r["v"]
-        if all(np.allclose(x, y, atol=1e-9) for x, y in zip(centres, moved)):
-            break
-        centres = moved
+                centres[r["cluster"]][r["i"]] = r["v"]
     run, shape = _assign(centres, kind)
-    return sessions.select("conv_id", "values").mapInPandas(run, shape).select("conv_id", "cluster", "distance")
+    return sessions.mapInPandas(run, shape).select("conv_id", "cluster", "distance")
 
 
 def cluster_report(assigned: DataFrame) -> DataFrame:

@@ -220,6 +220,16 @@ def test_warping_equals_the_plain_recurrence():
         assert path[0] == (0, 0) and path[-1] == (n - 1, m - 1)
 
 
+def test_many_series_warp_as_one_by_one():
+    rng = np.random.default_rng(6)
+    centre, rows = rng.normal(size=8), rng.integers(0, 3, (30, 11)).astype(float)
+    distances, sums, counts = dtw.dtw_many(centre, rows)
+    for r in range(30):
+        distance, path = dtw.dtw(centre, rows[r])
+        assert distances[r] == pytest.approx(distance)
+        assert counts[r].sum() >= 11 and sum(rows[r][j] for _, j in path) == pytest.approx(sums[r].sum()) and len(path) == counts[r].sum()
+
+
 def test_session_metrics_count_the_second_tier_alone(spark):
     rows = [(1, "counsellor", "UNKNOWN", "SR"), (1, "client", "Q", "OQ"), (1, "client", "C", "ADW"), (1, "client", "S", "N")]
     r = sessions.session_metrics(frame(spark, rows, "conv_id long, speaker string, t1 string, t2 string")).first()
