@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import portions, small_batches, table, text_key, written
+from parley.llm.common import portions, remove, small_batches, table, written
 from parley.llm.components import connected_components
 
 SHINGLE = 3
@@ -49,16 +49,16 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, fp (the 64 bits as a signed long) of every row; null and empty texts have 0."""
+    """doc_id, fp (the 64 bits as a signed long) of every row; null and empty texts have 0."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 2):
-            fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_key", "fp"])
+        for batch in portions(batches, 1):
+            fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -80,49 +80,77 @@ def _shifted(plane: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
     return low if not bit else (low >> np.uint64(bit)) | (plane[at + word + 1] << np.uint64(64 - bit))
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, shift: int, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Rows i where i and i + shift lie in one group at distance ``radius`` (2 at most) or less."""
+def _above(counts: list[np.ndarray], limit: int) -> np.ndarray:
+    """Lanes whose bit-sliced count is more than ``limit``."""
+    more, same = np.zeros_like(counts[0]), np.full_like(counts[0], ~np.uint64(0))
+    for i in reversed(range(len(counts))):
+        if limit >> i & 1:
+            same &= counts[i]
+        else:
+            more |= same & counts[i]
+            same &= ~counts[i]
+    return more
+
+
+def close_pairs_at(fps: np.ndarray, group: np.ndarray, shift: int, planes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i where i and i + shift lie in one group at distance ``radius`` or less, and the distances.
+
+    Counters of as many planes as the radius has bits take the 64 difference bits of all lanes; words whose lanes are
+    all beyond the radius are abandoned.
+    """
     n = len(fps)
     if n <= shift:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     alike = np.zeros(planes.shape[1] * 64, bool)
     alike[: n - shift] = group[:-shift] == group[shift:]
     over = ~np.packbits(alike, bitorder="little").view(np.uint64)
     at = np.flatnonzero(~over)
     over = over[at]
-    ones, twos = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    counts = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
     for p in range(64):
-        diff = planes[p][at] ^ _shifted(planes[p], at, shift)
-        carry = ones & diff
-        ones ^= diff
-        over |= twos & carry
-        twos ^= carry
-        if radius < 2:
-            over |= twos if radius else twos | ones
-        elif p % 8 == 7 or p > 55:
-            over |= ones & twos  # three
+        carry = planes[p][at] ^ _shifted(planes[p], at, shift)
+        for i, held in enumerate(counts):
+            counts[i], carry = held ^ carry, held & carry
+        over |= carry
+        if p % 8 == 7 or (p > 55 and radius < 4):
+            over |= _above(counts, radius)
             live = over != ~np.uint64(0)
             if not live.all():
-                at, over, ones, twos = at[live], over[live], ones[live], twos[live]
+                at, over, counts = at[live], over[live], [c[live] for c in counts]
                 if not len(at):
-                    return at
-        else:
-            over |= ones & twos
+                    return at, at
     rows, lanes = np.nonzero(~_lanes(over))
-    return at[rows] * 64 + lanes
+    distance = sum((_lanes(c)[rows, lanes].astype(np.int64) << i) for i, c in enumerate(counts))
+    return at[rows] * 64 + lanes, distance
 
 
-def spanning_links(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside groups of equal keys; rows are sorted by key."""
+def close_pairs(fps: np.ndarray, group: np.ndarray, shift: int, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    return close_pairs_at(fps, group, shift, planes, radius)[0]
+
+
+def grouped_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int, int]]:
+    """(i, j, distance) of all pairs of rows with equal keys (rows are sorted by key) within the radius, by growing j - i.
+
+    Groups whose pairs are all done are dropped on the way, so what is left for large shifts is the large groups.
+    """
     start = np.concatenate([[True], keys[1:] != keys[:-1]])
     group = np.cumsum(start)
-    longest = int(np.bincount(group).max()) if len(group) else 0
-    if longest < 2:
-        return []
-    size = np.bincount(group)[group]
-    keep = size > 1
-    fps, group = fps[keep], group[keep]
-    planes = np.pad(bit_planes(fps), ((0, 0), (0, longest // 64 + 2)))
+    size = np.bincount(group)[group] if len(group) else group
+    place = np.flatnonzero(size > 1)
+    longest = int(size.max()) if len(place) else 0
+    kept = -1
+    for shift in range(1, longest):
+        live = size[place] > shift
+        if kept < 0 or 2 * live.sum() < kept:
+            place = place[live]
+            kept = len(place)
+            planes = np.pad(bit_planes(fps[place]), ((0, 0), (0, longest // 64 + 2)))
+        rows, distances = close_pairs_at(fps[place], group[place], shift, planes, radius)
+        yield from zip(place[rows].tolist(), place[rows + shift].tolist(), distances.tolist())
+
+
+def spanning_links(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside groups of equal keys; rows are sorted by key."""
     parent = list(range(len(fps)))
 
     def root(x: int) -> int:
@@ -132,13 +160,12 @@ def spanning_links(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> l
         return x
 
     links = []
-    for shift in range(1, longest):
-        for i in close_pairs(fps, group, shift, planes, radius).tolist():
-            a, b = root(i), root(i + shift)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((i, i + shift))
-    return [(int(fps[a]), int(fps[b])) for a, b in links]
+    for i, j, _ in grouped_pairs(keys, fps, radius):
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((int(fps[i]), int(fps[j])))
+    return links
 
 
 def _bucket_keys():
@@ -196,39 +223,28 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return found.union(shared.select(F.col("fp").alias("src"), least.alias("dst")).filter("src <> dst").distinct())
 
 
-def _rooted(docs: DataFrame, hot_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows; (fp, root, least) of distinct ones, least being the first row with that
-    fingerprint by doc_id (null last) and text_key."""
-    prints, _ = written(fingerprints(docs), "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
-    distinct, _ = written(prints.groupBy("fp").agg(least), "distinct-fps")
-    roots = connected_components(links(distinct.select("fp"), hot_bucket))
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return prints, written(linked, "fp-roots")[0]
-
-
 def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links, the row's own included) of every row.
 
     Null and empty texts share fingerprint zero, so they link. Repeated rows stay. A null id never is the smallest;
     a component of null ids alone has a null id. An empty table gives no rows; other columns are ignored.
     """
-    prints, linked = _rooted(docs, hot_bucket)
-    linked = linked.select("fp", "root", F.col("least.doc_id").alias("least_id"))
+    spark = docs.sparkSession
+    prints, _ = written(fingerprints(docs), "fingerprints")
+    least = F.min("doc_id").alias("least_id")
+    distinct, at_distinct = written(prints.groupBy("fp").agg(least), "distinct-fps")
+    roots = connected_components(links(distinct.select("fp"), hot_bucket))
+    linked, at_linked = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "fp-roots")
     classes = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_fps"))
     # Only components of several fingerprints need a second look; the others keep their own smallest id.
-    several, _ = written(classes.filter("n_fps > 1").select("root", "component_id"), "fp-classes")
+    several, at_several = written(classes.filter("n_fps > 1").select("root", "component_id"), "fp-classes")
     named = linked.join(several, "root", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     named, _ = written(named, "fp-components")
+    for path in (at_distinct, at_linked, at_several):
+        remove(spark, path)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(doc_id, text_key) of one row a component: the smallest id, of rows with that id (or of null ids alone) the least text_key."""
-    _, linked = _rooted(docs, hot_bucket)
-    return linked.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_key")
-
-
 def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

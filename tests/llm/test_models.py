@@ -6,7 +6,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from parley.llm import language, repeats, simhash, tiling, toxicity
+from parley.llm import language, repeats, tiling, toxicity
 from parley.llm.common import held_out
 from pyspark.sql import functions as F
 
@@ -190,22 +190,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf, documents):
     field = language.fit(language.training_sample(docs))
     named, share, _ = language.label_texts(field, language.scores_memo(field), documents["text"].tolist())
     left = {d: t for d, t, n, s in zip(documents["doc_id"], documents["text"], named, share) if n != "und" and s >= language.MIN_SHARE}
-    fp = {d: simhash.fingerprint(t) for d, t in left.items()}
-    kept, seen = {}, []
-    roots = {d: d for d in left}
-
-    def root(x):
-        while roots[x] != x:
-            x = roots[x]
-        return x
-
-    for d in sorted(left):
-        for e in seen:
-            if (fp[d] ^ fp[e]).bit_count() <= 2:
-                a, b = root(d), root(e)
-                roots[max(a, b)] = min(a, b)
-        seen.append(d)
-    kept = {d: t for d, t in left.items() if root(d) == d}
+    from test_similar import slow_groups
+
+    kept = {d: t for d, t in left.items() if slow_groups(left)[d] == d}
     from test_dedup import slow_runs
 
     runs = slow_runs(kept)
