@@ -214,3 +214,55 @@ def test_pipeline_edges(spark, edge, empty, sf):
         assert out.count() > 0 or name == "language_id"
     once = corpus_pipeline.near_duplicates(spark, edge, sf)
     assert sorted(r["doc_id"] for r in once.collect() if r["doc_id"] is not None and r["doc_id"] < 7) == [1, 3, 4, 5]  # the no-break space of row 3 is a word
+
+
+def slow_features(model, text, seen):
+    """The features of a text from the terms and their weights alone: edit distances to every term, windows word by word."""
+    import re
+
+    def code(token):
+        if token not in seen:
+            stems = [n for n, t in enumerate(model.terms) if t[-1] == "*" and token.startswith(t[:-1])]
+            if token in model.terms:
+                seen[token] = model.terms.index(token) + 1
+            elif stems:
+                seen[token] = max(stems, key=lambda n: len(model.terms[n])) + 1
+            else:
+                near = lambda t: any(edits(token[:i], t[:-1]) <= 1 for i in range(len(t) - 2, len(t) + 1)) if t[-1] == "*" else abs(len(t) - len(token)) < 2 and edits(token, t) <= 1
+                found = next((n for n, t in enumerate(model.terms) if near(t)), None) if len(token) >= toxicity.FUZZY_CHARS else None
+                seen[token] = 0 if found is None else -found - 1
+        return seen[token]
+
+    text = (text or "").lower()
+    found = [(m.group(), *m.span()) for m in re.finditer(r"\w+", text)]
+    codes = [code(t) for t, _, _ in found]
+    at = [i for i, c in enumerate(codes) if c]
+    if not at:
+        return [0.0] * len(toxicity.FEATURES)
+    marks = set("\"“”„«»‘’‹›")
+    exact, fuzzy = ([model.weights[abs(codes[i]) - 1] for i in at if codes[i] * sign > 0] for sign in (1, -1))
+    quoted = reported = 0
+    for i in at:
+        low, high = max(0, i - 8), min(len(found), i + 9)
+        quoted += bool(marks & set(text[found[low][1] : found[i][1]])) and bool(marks & set(text[found[i][2] : found[high - 1][2] + 1]))
+        reported += any(t in toxicity.REPORTING for t, _, _ in found[low:i])
+    close = sum(b - a <= 8 for a, b in zip(at, at[1:]))
+    log = np.log1p
+    return [
+        log(len(exact)), max(exact, default=0.0), log(sum(exact)), log(len(fuzzy)), max(fuzzy, default=0.0), log(len(at) - max(quoted, reported)),
+        log(quoted), log(reported), log(close), log(1000 * len(exact) / len(found)),
+    ]
+
+
+def test_toxicity_query_equals_its_definition(spark, sf, documents):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r for r in toxicity.op3_lexicon_automata(spark, sf).collect()}
+    seen, hits = {}, 0
+    texts = list(zip(documents["doc_id"], documents["text"]))
+    for d, t in texts:
+        x = slow_features(model, t, seen)
+        hits += any(x)
+        score = 1 / (1 + np.exp(-(model.beta[0] + float(np.dot(x, model.beta[1:])))))
+        assert got[d]["score"] == pytest.approx(score, abs=1e-9) and got[d]["predicted"] == int(got[d]["score"] >= 0.3)
+    assert hits > 3 and len(got) == len(documents)
