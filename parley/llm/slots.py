@@ -119,7 +119,7 @@ def store_map(spark: SparkSession, path: str, version: int, slot_shard: dict[int
 
 def stored_maps(spark: SparkSession, path: str) -> DataFrame:
     """All versions under ``path``."""
-    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v*")
+    return spark.read.schema(MAP_SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
