@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -52,19 +54,23 @@ def multiple_regression(rows: DataFrame, columns: list[str], target: str) -> Dat
         *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(names))],
         *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs],
     ).first()
-    n, k = got["n"], len(columns)
-    result = (n, None, None, None, None)
-    if n > k + 1:
-        cov = np.zeros((len(names), len(names)))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = got[f"c{i}_{j}"]
-        beta = np.linalg.lstsq(cov[:k, :k], cov[:k, k], rcond=None)[0]
-        r2 = float(beta @ cov[:k, k] / cov[k, k]) if cov[k, k] > 0 else 0.0
-        rank = int(np.linalg.matrix_rank(cov[:k, :k]))
-        free = n - rank - 1
-        f = r2 / rank / ((1 - r2) / free) if rank and free > 0 and r2 < 1 else float("inf")
-        result = (n, r2, 1 - (1 - r2) * (n - 1) / free if free > 0 else None, f, float(f_upper(f, rank, free)) if np.isfinite(f) else 0.0)
-    return rows.sparkSession.createDataFrame([result], "n long, r2 double, r2_adjusted double, f double, p_value double")
+    cov = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = got[f"c{i}_{j}"] or 0.0
+    return rows.sparkSession.createDataFrame([explained(got["n"], cov)], "n long, r2 double, r2_adjusted double, f double, p_value double")
+
+
+def explained(n: int, cov: np.ndarray) -> tuple[int, float | None, float | None, float | None, float | None]:
+    """n, r2, adjusted r2, F and its p-value of a regression, from the covariances of the columns and, last, the target."""
+    k = len(cov) - 1
+    if n <= k + 1:
+        return n, None, None, None, None
+    beta = np.linalg.lstsq(cov[:k, :k], cov[:k, k], rcond=None)[0]
+    r2 = float(beta @ cov[:k, k] / cov[k, k]) if cov[k, k] > 0 else 0.0
+    rank = int(np.linalg.matrix_rank(cov[:k, :k]))
+    free = n - rank - 1
+    f = r2 / rank / ((1 - r2) / free) if rank and free > 0 and r2 < 1 else float("inf")
+    return n, r2, 1 - (1 - r2) * (n - 1) / free if free > 0 else None, f, float(f_upper(f, rank, free)) if np.isfinite(f) else 0.0
 
 
 def spline_basis(x: np.ndarray, n_bases: int = 10, order: int = 5) -> np.ndarray:
@@ -104,13 +110,39 @@ def functional_regression(points: DataFrame, outcomes: DataFrame, target: str, n
     return multiple_regression(wide.join(outcomes, "conv_id"), [f"b{i}" for i in range(n_bases)], target)
 
 
-def sweep(fit, values: list[int]) -> DataFrame:
-    """Results of ``fit(value)`` for a few settings, one row each with ``k`` and r, the root of r2."""
-    out = None
-    for k in values:
-        one = fit(k).withColumn("k", F.lit(k)).withColumn("r", F.sqrt(F.greatest(F.col("r2"), F.lit(0.0))))
-        out = one if out is None else out.unionByName(one)
-    return out
+def sweep(rows: DataFrame, settings: list[int]) -> DataFrame:
+    """Multiple regressions for many settings at once: k, n, r2, r2_adjusted, f, p_value and r, the root of r2.
+
+    ``rows``: k (the setting), x (array of k values), y. Rows with a missing value are left out; a setting with too few
+    rows has nulls. Every task sums up the products of its rows, a matrix a setting; sums of tasks meet by cell, and each
+    setting is solved by its own task, so neither rows nor matrices reach the driver.
+    """
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for f in frames:
+            for k, same in f.groupby("k"):
+                z = np.column_stack([np.ones(len(same)), np.array(same["x"].tolist(), float).reshape(len(same), k), same["y"].to_numpy(float)])
+                z = z[np.isfinite(z).all(axis=1)]
+                sums[k] = sums.get(k, 0.0) + z.T @ z
+        for k, m in sums.items():
+            upper = m[np.triu_indices(len(m))]
+            yield pd.DataFrame({"k": k, "cell": np.arange(len(upper)), "v": upper})
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        k = int(f["k"].iloc[0])
+        m = np.zeros((k + 2, k + 2))
+        m[np.triu_indices(k + 2)] = f.sort_values("cell")["v"]
+        n, mean = int(m[0, 0]), m[0, 1:] / max(1.0, m[0, 0])
+        cov = np.triu(m[1:, 1:] / max(1, n) - np.outer(mean, mean))
+        cov += np.triu(cov, 1).T
+        return pd.DataFrame([(k, *explained(n, cov))], columns=["k", "n", "r2", "r2_adjusted", "f", "p_value"])
+
+    known = rows.select(F.col("k").cast("int").alias("k"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    sums = known.mapInPandas(products, "k int, cell int, v double").groupBy("k", "cell").agg(F.sum("v").alias("v"))
+    found = sums.groupBy("k").applyInPandas(solve, "k int, n long, r2 double, r2_adjusted double, f double, p_value double")
+    every = rows.sparkSession.createDataFrame([(k,) for k in settings], "k int").join(found, "k", "left").fillna(0, ["n"])
+    return every.withColumn("r", F.sqrt(F.when(F.col("r2") < 0, 0.0).otherwise(F.col("r2"))))
 
 
 def text_classifier(train: DataFrame, label: str, text: str = "utt_text", n_features: int = 1 << 12):

@@ -92,44 +92,61 @@ def fill_linear(rows: DataFrame, order: str, value: str) -> DataFrame:
     return out.withColumn(value, filled).drop("_row", "_x0", "_x1", "_y0", "_y1")
 
 
-def resample(points: DataFrame, n: int, x: str = "progress", y: str = "score") -> DataFrame:
-    """Values on ``n`` equally spaced places from 0 to 100 by linear interpolation, flat beyond the ends: conv_id, k, x, y."""
+def grids(points: DataFrame, sizes: list[int], x: str = "progress", y: str = "score") -> DataFrame:
+    """Values on equally spaced places from 0 to 100 by linear interpolation, flat beyond the ends: one row a session
+    and number of places, conv_id, size, cells (array of x, y)."""
     sorted_points = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
     each = points.filter(F.col(y).isNotNull()).groupBy("conv_id").agg(sorted_points.alias("p"))
-    grid = F.sequence(F.lit(0), F.lit(n - 1))
-    at = each.select("conv_id", "p", F.explode(grid).alias("k")).withColumn("g", F.col("k") * F.lit(100.0 / max(1, n - 1)))
-    low = F.expr("try_element_at(filter(p, q -> q.x <= g), -1)")
-    high = F.expr("try_element_at(filter(p, q -> q.x >= g), 1)")
-    out = at.withColumn("lo", low).withColumn("hi", high)
-    line = F.col("lo.y") + (F.col("hi.y") - F.col("lo.y")) * (F.col("g") - F.col("lo.x")) / (F.col("hi.x") - F.col("lo.x"))
-    value = F.when(F.col("lo").isNull(), F.col("hi.y")).when(F.col("hi").isNull(), F.col("lo.y")).when(F.col("hi.x") > F.col("lo.x"), line).otherwise(F.col("lo.y"))
-    return out.select("conv_id", F.col("k").cast("long").alias("k"), F.col("g").alias("x"), value.alias("y"))
+    rows = each.select("conv_id", "p", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    rows = rows.withColumn("step", F.lit(100.0) / F.greatest(F.lit(1), F.col("size") - 1))
+    low, high = "try_element_at(filter(p, q -> q.x <= k * step), -1)", "try_element_at(filter(p, q -> q.x >= k * step), 1)"
+    ends = F.expr(f"transform(sequence(0, size - 1), k -> struct(k * step AS g, {low} AS lo, {high} AS hi))")
 
+    def cell(e: Column) -> Column:
+        line = e["lo"]["y"] + (e["hi"]["y"] - e["lo"]["y"]) * (e["g"] - e["lo"]["x"]) / (e["hi"]["x"] - e["lo"]["x"])
+        value = F.when(e["lo"].isNull(), e["hi"]["y"]).when(e["hi"].isNull(), e["lo"]["y"]).when(e["hi"]["x"] > e["lo"]["x"], line)
+        return F.struct(e["g"].alias("x"), value.otherwise(e["lo"]["y"]).alias("y"))
 
-def segment_slopes(points: DataFrame, n_chunks: int, x: str = "progress", y: str = "score", min_points: int = 5) -> DataFrame:
-    """Slope in each of ``n_chunks`` overlapping parts: conv_id, chunk, slope, intercept.
+    return rows.select("conv_id", "size", F.transform(ends, cell).alias("cells"))
+
+
+def resample(points: DataFrame, n: int, x: str = "progress", y: str = "score") -> DataFrame:
+    """``grids`` of ``n`` places, one row a place: conv_id, k, x, y."""
+    cells = grids(points, [n], x, y).select("conv_id", F.posexplode("cells").alias("k", "c"))
+    return cells.select("conv_id", F.col("k").cast("long").alias("k"), "c.x", "c.y")
+
+
+def local_slopes(points: DataFrame, sizes: list[int], x: str = "progress", y: str = "score", min_points: int = 5) -> DataFrame:
+    """Slope in each of ``size`` overlapping parts, for every size: conv_id, size, chunk, slope, intercept.
 
     A part reaches one equal step to each side of its own (the last two: none to the right); bounds are
     half-open, so 100 itself is in none. Parts with fewer than two points have slope 0; sessions with fewer than
-    ``min_points`` points, or than one point a part, are left out.
+    ``min_points`` points, or than one point a part, are left out. A point goes to the few parts about its own only.
     """
-    step = 100.0 / n_chunks
-    sizes = points.groupBy("conv_id").agg(F.count("*").alias("_n")).filter((F.col("_n") >= min_points) & (F.col("_n") >= n_chunks))
-    chunk = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk")
-    frame = sizes.select("conv_id", chunk)
-    near = points.join(sizes, "conv_id").select("conv_id", F.col(x).alias("_x"), F.col(y).alias("_y"), chunk)  # n_chunks rows a point
-    c = F.col("chunk")
+    counts = points.groupBy("conv_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_points)
+    kept = counts.select("conv_id", "_n", F.explode(F.array(*map(F.lit, sizes))).alias("size")).filter(F.col("_n") >= F.col("size")).drop("_n")
+    frame = kept.select("conv_id", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("chunk"))
+    c, last, step = F.col("chunk"), F.col("size") - 1, F.lit(100.0) / F.col("size")
+    own = F.floor(F.col("_x") / step).cast("int")
+    first = F.greatest(F.lit(0), F.least(last, own) - 2)
+    near = points.select("conv_id", F.col(x).alias("_x"), F.col(y).alias("_y")).join(kept, "conv_id")
+    near = near.filter(F.col("_x").isNotNull()).withColumn("chunk", F.explode(F.sequence(first, F.greatest(first, F.least(last, own + 2)))))
     low = F.when(c > 0, (c - 1) * step).otherwise(0.0)
-    high = F.when(c < n_chunks - 2, (c + 2) * step).otherwise((c + 1) * step)
-    fits = near.filter((F.col("_x") >= low) & (F.col("_x") < high)).groupBy("conv_id", "chunk").agg(
+    high = F.when(c < last - 1, (c + 2) * step).otherwise((c + 1) * step)
+    fits = near.filter((F.col("_x") >= low) & (F.col("_x") < high)).groupBy("conv_id", "size", "chunk").agg(
         F.count("*").alias("m"), F.regr_slope("_y", "_x").alias("s"), F.regr_intercept("_y", "_x").alias("i")
     )
     ok = F.col("m") >= 2
-    return frame.join(fits, ["conv_id", "chunk"], "left").select(
-        "conv_id", F.col("chunk").cast("long").alias("chunk"), F.when(ok, F.col("s")).otherwise(0.0).alias("slope"), F.when(ok, F.col("i")).otherwise(0.0).alias("intercept")
+    return frame.join(fits, ["conv_id", "size", "chunk"], "left").select(
+        "conv_id", "size", c.cast("long").alias("chunk"), F.when(ok, F.col("s")).otherwise(0.0).alias("slope"), F.when(ok, F.col("i")).otherwise(0.0).alias("intercept")
     )
 
 
+def segment_slopes(points: DataFrame, n_chunks: int, x: str = "progress", y: str = "score", min_points: int = 5) -> DataFrame:
+    """``local_slopes`` of one number of parts: conv_id, chunk, slope, intercept."""
+    return local_slopes(points, [n_chunks], x, y, min_points).drop("size")
+
+
 def spearman(df: DataFrame, columns: list[str], outcome: str) -> DataFrame:
     """Rank correlation of each column with the outcome over complete rows: metric, n, r. Equal values share their mean rank.
 

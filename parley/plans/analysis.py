@@ -709,24 +709,20 @@ def ols_multi_p_value(spark, sf):
 
 @query()
 def grid_regression_sweep(spark, sf):
-    points, deltas = fx.client_points(spark, sf), _session_deltas(spark, sf).select("conv_id", "delta")
-
-    def fit(k: int):
-        wide = trajectory.resample(points, k).groupBy("conv_id").pivot("k", list(range(k))).agg(F.first("y"))
-        return learn.multiple_regression(wide.join(deltas, "conv_id"), [str(i) for i in range(k)], "delta")
-
-    return learn.sweep(fit, [3, 5, 8])
+    """The outcome on a session's values at 2, 4, ..., 80 places."""
+    sizes = list(range(2, 81, 2))
+    rows = trajectory.grids(fx.client_points(spark, sf), sizes).join(_session_deltas(spark, sf).select("conv_id", "delta"), "conv_id")
+    return learn.sweep(rows.select(F.col("size").alias("k"), F.col("cells.y").alias("x"), F.col("delta").alias("y")), sizes)
 
 
 @query()
 def segment_regression_sweep(spark, sf):
-    points, deltas = fx.client_points(spark, sf), _session_deltas(spark, sf).select("conv_id", "delta")
-
-    def fit(k: int):
-        wide = trajectory.segment_slopes(points, k).groupBy("conv_id").pivot("chunk", list(range(k))).agg(F.first("slope"))
-        return learn.multiple_regression(wide.join(deltas, "conv_id"), [str(i) for i in range(k)], "delta")
-
-    return learn.sweep(fit, [3, 4])
+    """The outcome on a session's slopes in 1, 2, ..., 20 parts."""
+    sizes = list(range(1, 21))
+    slopes = F.array_sort(F.collect_list(F.struct("chunk", "slope")))
+    wide = trajectory.local_slopes(fx.client_points(spark, sf), sizes).groupBy("conv_id", "size").agg(slopes.alias("s"))
+    rows = wide.join(_session_deltas(spark, sf).select("conv_id", "delta"), "conv_id")
+    return learn.sweep(rows.select(F.col("size").alias("k"), F.col("s.slope").alias("x"), F.col("delta").alias("y")), sizes)
 
 
 @query()

@@ -95,6 +95,37 @@ def test_leave_one_out(spark):
     assert many["r2"] == pytest.approx(one["r2"]) and many["p_value"] == pytest.approx(0.1040880, abs=1e-5)
 
 
+def test_sweep_is_a_regression_for_every_setting(spark):
+    random = np.random.default_rng(3)
+    points = [(s, 100.0 * i / 11, float(v)) for s in range(30) for i, v in enumerate(random.normal(size=12))]
+    outcomes = frame(spark, [(s, float(v) if s != 4 else None) for s, v in enumerate(random.normal(size=30))], "conv_id int, y double")
+    points = frame(spark, points, "conv_id int, progress double, score double")
+    values_ = trajectory.grids(points, [2, 5, 40]).join(outcomes, "conv_id").select(F.col("size").alias("k"), F.col("cells.y").alias("x"), "y")
+    got = {r["k"]: r for r in learn.sweep(values_, [2, 5, 40, 50]).collect()}
+    for k in (2, 5):
+        wide = trajectory.resample(points, k).groupBy("conv_id").pivot("k", list(range(k))).agg(F.first("y").alias("v"))
+        want = learn.multiple_regression(wide.join(outcomes, "conv_id"), [str(i) for i in range(k)], "y").first()
+        for c in ("n", "r2", "r2_adjusted", "f", "p_value"):
+            assert got[k][c] == pytest.approx(want[c], rel=1e-8)
+        assert got[k]["r"] == pytest.approx(want["r2"] ** 0.5)
+    assert (got[40]["n"], got[40]["r2"], got[50]["n"], got[50]["r"]) == (29, None, 0, None)
+
+
+def test_local_slopes_are_lines_through_the_points_of_a_part(spark):
+    random = np.random.default_rng(5)
+    points = [(s, 100.0 * i / (n - 1), float(v)) for s, n in enumerate((4, 5, 9, 40)) for i, v in enumerate(random.normal(size=n))]
+    got = {(r["conv_id"], r["size"], r["chunk"]): r["slope"] for r in trajectory.local_slopes(frame(spark, points, "conv_id int, progress double, score double"), list(range(1, 21))).collect()}
+    want = {}
+    for s, n in enumerate((4, 5, 9, 40)):
+        own = np.array([p[1:] for p in points if p[0] == s])
+        for size in range(1, 21):
+            for c in range(size if n >= max(5, size) else 0):
+                step = 100.0 / size
+                part = own[(own[:, 0] >= max(0, c - 1) * step) & (own[:, 0] < (c + 2 if c < size - 2 else c + 1) * step)]
+                want[s, size, c] = np.polyfit(*part.T, 1)[0] if len(part) > 1 else 0.0
+    assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), abs=1e-9)
+
+
 def test_single_points_and_flat_sessions_have_no_slope(spark):
     rows = frame(spark, [(1, 0.0, 1.0), (2, 0.0, 1.0), (2, 50.0, 1.0)], "conv_id int, progress double, score double")
     got = {r["conv_id"]: r for r in trajectory.slopes(rows).collect()}
