@@ -38,23 +38,23 @@ def kappa(df: DataFrame, true: str, pred: str, by: list[str] = (), theta4: str =
         raise ValueError(f"unknown variant: {theta4}")
     keys = list(by) or ["_all"]
     cells = label_pairs(df if by else df.withColumn("_all", F.lit(0)), true, pred, keys)
-    total = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
-    share = lambda side, name, of: cells.groupBy(*keys, F.col(side).alias(of)).agg(F.sum("n").alias(name))
-    rows_of, cols_of = share("true", "row_n", "label"), share("pred", "col_n", "label")
-    chance = rows_of.join(cols_of, [*keys, "label"]).groupBy(*keys).agg(F.sum(F.col("row_n") * F.col("col_n")).alias("chance"))
-    a, b = ("row_n", "col_n") if theta4 == "row_plus_column" else ("col_n", "row_n")
-    of_true = (rows_of if theta4 == "row_plus_column" else cols_of).withColumnRenamed("label", "true").withColumnRenamed(a, "w_true")
-    of_pred = (cols_of if theta4 == "row_plus_column" else rows_of).withColumnRenamed("label", "pred").withColumnRenamed(b, "w_pred")
-    diag = rows_of.join(cols_of, [*keys, "label"]).select(*keys, F.col("label").alias("true"), F.col("label").alias("pred"), (F.col("row_n") + F.col("col_n")).alias("w_same"))
-    wide = cells.join(of_true, [*keys, "true"], "left").join(of_pred, [*keys, "pred"], "left").join(diag, [*keys, "true", "pred"], "left").join(total, keys)
-    p, w = F.col("n") / F.col("total"), (F.coalesce("w_true", F.lit(0)) + F.coalesce("w_pred", F.lit(0))) / F.col("total")
-    sums = wide.groupBy(*keys).agg(
-        F.first("total").alias("n"),
-        F.sum(F.when(F.col("true") == F.col("pred"), p).otherwise(0.0)).alias("p0"),
-        F.sum(F.when(F.col("true") == F.col("pred"), p * F.col("w_same") / F.col("total")).otherwise(0.0)).alias("t3"),
-        F.sum(p * w * w).alias("t4"),
+    none = F.lit(0).cast("long")
+    agreed = F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(none)
+    side = lambda label, row, col, same: F.struct(F.col(label).alias("label"), row.alias("row_n"), col.alias("col_n"), same.alias("same_n"))
+    both = F.array(side("true", F.col("n"), none, agreed), side("pred", none, F.col("n"), none))
+    margins = cells.select(*keys, F.inline(both)).groupBy(*keys, "label").agg(*[F.sum(c).cast("double").alias(c) for c in ("row_n", "col_n", "same_n")])
+    total = F.sum("row_n")
+    sums = margins.groupBy(*keys).agg(
+        total.cast("long").alias("n"),
+        (F.sum("same_n") / total).alias("p0"),
+        (F.sum(F.col("row_n") * F.col("col_n")) / (total * total)).alias("pe"),
+        (F.sum(F.col("same_n") * (F.col("row_n") + F.col("col_n"))) / (total * total)).alias("t3"),
     )
-    out = sums.join(chance, keys, "left").withColumn("pe", F.coalesce(F.col("chance") / (F.col("n") * F.col("n")), F.lit(0.0)))
+    of_true, of_pred = ("row_n", "col_n") if theta4 == "row_plus_column" else ("col_n", "row_n")
+    weight = lambda side, c: margins.select(*keys, F.col("label").alias(side), F.col(c).alias(f"w_{side}"))
+    cross = cells.join(weight("true", of_true), [*keys, "true"]).join(weight("pred", of_pred), [*keys, "pred"])
+    t4 = cross.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("w_true") + F.col("w_pred")) ** 2).alias("t4"))
+    out = sums.join(t4, keys).withColumn("t4", F.col("t4") / F.col("n").cast("double") ** 3)
     free = F.when(F.col("pe") < 1, 1 - F.col("pe"))
     out = out.withColumn("kappa", (F.col("p0") - F.col("pe")) / free)
     miss = 1 - F.col("p0")

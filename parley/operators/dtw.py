@@ -112,7 +112,9 @@ def cluster(sessions: DataFrame, k: int, rounds: int = 50) -> DataFrame:
     their places, until no session changes its cluster or for ``rounds`` rounds. Assignments and sums run as tasks; only the centres (k series) reach the driver.
     """
     kind = sessions.schema["conv_id"].dataType.simpleString()
-    sessions = held(sessions.select("conv_id", "values"))  # every round reads them
+    tasks = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # Every round reads them; they are few bytes for the work they make, so they are dealt to a fixed number of tasks.
+    sessions = held(sessions.select("conv_id", "values").repartition(tasks, "conv_id"))
     if sessions.isEmpty():
         return sessions.select("conv_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
     first = sessions.orderBy(F.md5(F.col("conv_id").cast("string"))).limit(k).collect()  # k rows
