@@ -25,10 +25,11 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with _range and _nth (from 0): the range of ``order`` that a row is in, and its place there."""
+def in_ranges(df: DataFrame, order: list[str], keep: list[Column | str] = ("*",)) -> DataFrame:
+    """``df`` with _range and _nth (from 0): the range of ``order`` that a row is in, and its place there. ``keep``: what
+    is held of a row once it is sorted."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    kept = held(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    kept = held(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*keep))
     place = F.monotonically_increasing_id()  # the partition above bit 33, the row below
     return kept.withColumn("_range", F.shiftright(place, 33).cast("int")).withColumn("_nth", place.bitwiseAND(F.lit((1 << 33) - 1)))
 
@@ -56,6 +57,30 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataF
     return out.drop("_range", "_nth", *[f"_before_{n}" for n in sums])
 
 
+def running_by(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], keep: list[Column | str] = ("*",)) -> DataFrame:
+    """Add for every name the sum of its column over the rows of the same group before, in ``order`` (unique in a group).
+
+    A group of any size spreads over ranges: only a range's first group can have begun before it, and what it has so far
+    is the sum of the ranges that end with it. ``keep`` must hold ``by``; ``sums`` are made of what is kept.
+    """
+    ranged = in_ranges(df, [*by, *order], keep)
+    last = ranged.groupBy("_range").agg(F.max("_nth").alias("_nth"))
+    firsts = ranged.filter("_nth = 0").select("_range", F.struct(*by).alias("_group"))
+    lasts = ranged.join(F.broadcast(last), ["_range", "_nth"]).select("_range", F.struct(*by).alias("_group"))  # one row a range
+    totals = ranged.join(F.broadcast(lasts), "_range").filter(F.struct(*by).eqNullSafe(F.col("_group")))
+    totals = totals.groupBy("_range").agg(F.first("_group").alias("_group"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    asked = firsts.select("_range", "_group", F.lit(True).alias("_asks"), *[F.lit(None).alias(n) for n in sums])
+    earlier = Window.partitionBy("_group").orderBy("_range").rangeBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("_asks", F.lit(False)).unionByName(asked).select("_range", "_group", "_asks", *[F.sum(n).over(earlier).alias(f"_carried_{n}") for n in sums])
+    carried = carried.filter("_asks").drop("_asks")
+    here = Window.partitionBy("_range", *by).orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(carried), "_range")
+    begun = F.struct(*by).eqNullSafe(F.col("_group"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    out = out.withColumns({n: none(F.sum(c).over(here)) + none(F.when(begun, F.col(f"_carried_{n}"))) for n, c in sums.items()})
+    return out.drop("_range", "_nth", "_group", *[f"_carried_{n}" for n in sums])
+
+
 def value_places(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values of each group with n, their rows, and before, the rows of the group with smaller values."""
     counts = running_sums(rows.groupBy(*by, value).agg(F.count("*").alias("n")), [*by, value], {"before": "n"})
