@@ -5,6 +5,7 @@ from __future__ import annotations
 from parley.llm.byte_bpe import op9_scan_bpe
 from parley.llm.language import op10_crf_language
 from parley.llm.planes import op7_bit_planes
+from parley.llm.prefixes import OP11_SQL, op11_prefix_doubling
 from parley.llm.quality import OP1_SQL, op1_rule_cascade
 from parley.llm.repeats import op6_line_hashing
 from parley.llm.simhash import op5_bit_sliced_simhash
@@ -26,6 +27,7 @@ QUERIES = {
         op8_fixed_virtual_slots,
         op9_scan_bpe,
         op10_crf_language,
+        op11_prefix_doubling,
     )
 }
-ORACLE_SQL: dict[str, str] = {op1_rule_cascade.__name__: OP1_SQL}
+ORACLE_SQL: dict[str, str] = {op1_rule_cascade.__name__: OP1_SQL, op11_prefix_doubling.__name__: OP11_SQL}
