@@ -179,7 +179,7 @@ CRC32_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8),
 
 
 def crc32_sql(text: str) -> str:
-    codes = "CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 | ord(c) >> 6)::BIGINT, (128 | ord(c) & 63)::BIGINT] END"
+    codes = "CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 | (ord(c) >> 6))::BIGINT, (128 | (ord(c) & 63))::BIGINT] END"
     each = f"flatten(list_transform(string_split({text}, ''), lambda c: {codes}))"
     return f"xor(4294967295, list_reduce({each}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295))"
 

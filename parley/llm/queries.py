@@ -10,6 +10,7 @@ from parley.llm.quality import OP1_SQL, op1_rule_cascade
 from parley.llm.repeats import op6_line_hashing
 from parley.llm.simhash import op5_bit_sliced_simhash
 from parley.llm.slots import op8_fixed_virtual_slots
+from parley.llm.spellings import OP12_SQL, op12_parity_bands
 from parley.llm.tiling import op2_string_tiling
 from parley.llm.token_counts import op4_overlap_resync_counts
 from parley.llm.toxicity import op3_lexicon_automata
@@ -28,6 +29,7 @@ QUERIES = {
         op9_scan_bpe,
         op10_crf_language,
         op11_prefix_doubling,
+        op12_parity_bands,
     )
 }
-ORACLE_SQL: dict[str, str] = {op1_rule_cascade.__name__: OP1_SQL, op11_prefix_doubling.__name__: OP11_SQL}
+ORACLE_SQL: dict[str, str] = {op1_rule_cascade.__name__: OP1_SQL, op11_prefix_doubling.__name__: OP11_SQL, op12_parity_bands.__name__: OP12_SQL}
