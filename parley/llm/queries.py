@@ -6,6 +6,7 @@ from parley.llm.byte_bpe import op9_scan_bpe
 from parley.llm.language import op10_crf_language
 from parley.llm.planes import op7_bit_planes
 from parley.llm.prefixes import OP11_SQL, op11_prefix_doubling
+from parley.llm.products import OP13_SQL, op13_norm_buckets
 from parley.llm.quality import OP1_SQL, op1_rule_cascade
 from parley.llm.repeats import op6_line_hashing
 from parley.llm.simhash import op5_bit_sliced_simhash
@@ -30,6 +31,12 @@ QUERIES = {
         op10_crf_language,
         op11_prefix_doubling,
         op12_parity_bands,
+        op13_norm_buckets,
     )
 }
-ORACLE_SQL: dict[str, str] = {op1_rule_cascade.__name__: OP1_SQL, op11_prefix_doubling.__name__: OP11_SQL, op12_parity_bands.__name__: OP12_SQL}
+ORACLE_SQL: dict[str, str] = {
+    op1_rule_cascade.__name__: OP1_SQL,
+    op11_prefix_doubling.__name__: OP11_SQL,
+    op12_parity_bands.__name__: OP12_SQL,
+    op13_norm_buckets.__name__: OP13_SQL,
+}
