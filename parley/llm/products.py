@@ -3,9 +3,10 @@
 Vectors are numbered by falling length and cut into strips, strips into buckets of vectors of similar length. A query
 knows a bar, its k-th best score so far. In a bucket whose longest vector has length l only vectors whose cosine with
 the query q is bar / (|q| l) or more can pass: the local threshold. Above 1 the bucket is skipped. Else the bucket is
-pruned by length (a prefix of it is long enough) or by coordinates (with cosine t or more, coordinate f of the unit vector
-lies within q_f t +- sqrt((1 - q_f**2) (1 - t**2)); sorted lists of the bucket give the rows there), and the products of
-what is left are computed exactly. Each bucket chooses from its own queries the threshold from which coordinates cost less.
+pruned by length (a prefix of it is long enough) or by coordinates: with cosine t or more, coordinate f of the unit vector
+lies within q_f t +- sqrt((1 - q_f**2) (1 - t**2)), or up to the axis where the cone holds it, and sorted lists of the
+bucket give the rows there. Products of what is left are computed exactly. Each bucket chooses from its own queries the
+threshold from which coordinates cost less.
 
 Queries first meet the strip of the longest vectors, which gives each a bar; then they go, with it, to those strips that
 hold a vector long enough. A tile is one strip and one block of queries: its vectors are held (a bounded number), its
@@ -32,9 +33,10 @@ STRIP = (4096, 65536)
 #: Queries of a block (a tile's share), and of a batch that is scored at once.
 BLOCK = 8192
 BATCH = 256
-#: Coordinates of a query that are looked up, and what a row found by them costs against a row of a length prefix.
+#: Coordinates of a query that are looked up; what a row found by them costs against a row of a length prefix, and what a
+#: look-up costs besides.
 LISTS = 2
-LOOKUP = 6.0
+LOOKUP, LOOKUP_ALONE = 6.0, 500
 _SLACK = 1e-9
 _LARGE = 2.0**53
 _LONG = 2**63 - 1
@@ -133,7 +135,7 @@ class Bucket:
         live = np.flatnonzero(t <= 1 + _SLACK)
         by_length = np.searchsorted(-self.norms, -(need[live] * (1 - _SLACK)), side="right").astype(np.float64)
         ranges = self._ranges(q[live], norms[live], t[live])
-        spare = by_length - (LOOKUP * ranges[:, 0] + 500)  # 500: what a single look-up costs
+        spare = by_length - (LOOKUP * ranges[:, 0] + LOOKUP_ALONE)
         order = np.argsort(-t[live], kind="stable")
         gain = np.cumsum(spare[order])
         m = int(np.argmax(gain)) + 1 if len(gain) and gain.max() > 0 else 0  # from this local threshold on: coordinates
@@ -161,7 +163,7 @@ class Bucket:
         at = np.take_along_axis(unit, top, axis=1)
         cos = np.minimum(t[some], 1.0)[:, None]
         wide = np.sqrt(np.maximum(0.0, 1 - at**2) * np.maximum(0.0, 1 - cos**2)) + 1e-7
-        low, high = at * cos - wide, at * cos + wide
+        low, high = np.where(at <= -cos, -2.0, at * cos - wide), np.where(at >= cos, 2.0, at * cos + wide)
         first, last = np.zeros(top.shape, np.int64), np.zeros(top.shape, np.int64)
         for f in np.unique(top):
             of = top == f
@@ -193,7 +195,8 @@ class Bucket:
         bar = best.bar[of]
         if n > best.k:
             bar = np.maximum(bar, np.partition(score, n - best.k, axis=1)[:, n - best.k])
-        hit = score >= np.maximum(bar, -_LONG)[:, None]
+        hit = score >= bar[:, None]
+        hit[here, own[here]] = False
         a, b = np.nonzero(hit)
         best.add(of[a], score[a, b], self.ids[b], self.no_id[b])
 
