@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.stats import f_upper
+from parley.operators.factors import Factor, Solution, factors_of, fitted, triangular_factors
 from parley.operators.splits import mixed
 
 
-def ridge(train: DataFrame, features: str, target: str, alpha: float = 1.0):
-    """Ridge regression of a target on an array column; the penalty is in the units of the plain closed form."""
-    rows = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(target).cast("double").alias("y"))
-    size = rows.agg(F.count("*"), F.stddev_pop("y")).first()
-    penalty = alpha * size[1] / size[0]  # the library scales its penalty by the target's deviation
-    return LinearRegression(featuresCol="x", labelCol="y", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
+def ridge(train: DataFrame, features: str, target: str, alpha: float = 1.0) -> Solution:
+    """Ridge regression of a target on an array column; the intercept is free, the penalty in the units of the closed form."""
+    return fitted(train, features, target, alpha)
 
 
 def ridge_test(data: DataFrame, key: str, features: str, target: str, alpha: float = 1.0, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -30,9 +24,9 @@ def ridge_test(data: DataFrame, key: str, features: str, target: str, alpha: flo
     part = F.conv(F.substring(mixed(F.col(key), seed), 1, 8), 16, 10).cast("long") % 1000
     split = data.withColumn("_test", part < int(1000 * test_share))
     model = ridge(split.filter(~F.col("_test")), features, target, alpha)
-    rows = split.filter("_test").select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(target).cast("double").alias("y"))
-    out = model.transform(rows).agg(F.count("*").alias("n_test"), (1 - F.sum((F.col("y") - F.col("prediction")) ** 2) / (F.count("*") * F.var_pop("y"))).alias("r2"))
-    return out.withColumn("n_train", F.lit(split.filter(~F.col("_test")).count()))
+    rows = split.filter("_test").select(model.predict(F.col(features)).alias("prediction"), F.col(target).cast("double").alias("y")).dropna()
+    out = rows.agg(F.count("*").alias("n_test"), (1 - F.sum((F.col("y") - F.col("prediction")) ** 2) / (F.count("*") * F.var_pop("y"))).alias("r2"))
+    return out.withColumn("n_train", F.lit(model.n).cast("long"))
 
 
 def top_dimensions(spark, coefficients, k: int = 10) -> DataFrame:
@@ -42,32 +36,18 @@ def top_dimensions(spark, coefficients, k: int = 10) -> DataFrame:
 
 
 def multiple_regression(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """n, r2, adjusted r2, F and its p-value of ordinary least squares over complete rows, from one pass of sums.
+    """n, r2, adjusted r2, F and its p-value of ordinary least squares over complete rows, in one pass."""
+    names = F.array(*[F.col(c).cast("double") for c in columns])
+    return sweep(rows.select(F.lit(len(columns)).alias("k"), names.alias("x"), F.col(target).alias("y")), [len(columns)]).drop("k", "r")
 
-    The sums (columns squared) are what reaches the driver, so rows may be any number.
-    """
-    names = [*columns, target]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    kept = rows.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]).dropna()
-    got = kept.agg(
-        F.count("*").alias("n"),
-        *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(names))],
-        *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs],
-    ).first()
-    cov = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = got[f"c{i}_{j}"] or 0.0
-    return rows.sparkSession.createDataFrame([explained(got["n"], cov)], "n long, r2 double, r2_adjusted double, f double, p_value double")
-
-
-def explained(n: int, cov: np.ndarray) -> tuple[int, float | None, float | None, float | None, float | None]:
-    """n, r2, adjusted r2, F and its p-value of a regression, from the covariances of the columns and, last, the target."""
-    k = len(cov) - 1
+
+def explained(factor: Factor) -> tuple[int, float | None, float | None, float | None, float | None]:
+    """n, r2, adjusted r2, F and its p-value of a regression; nulls where there are too few rows."""
+    n, k = factor.n, len(factor.origin) - 1
     if n <= k + 1:
         return n, None, None, None, None
-    beta = np.linalg.lstsq(cov[:k, :k], cov[:k, k], rcond=None)[0]
-    r2 = float(beta @ cov[:k, k] / cov[k, k]) if cov[k, k] > 0 else 0.0
-    rank = int(np.linalg.matrix_rank(cov[:k, :k]))
+    found = factor.solve()
+    r2, rank = found.r2, found.rank
     free = n - rank - 1
     f = r2 / rank / ((1 - r2) / free) if rank and free > 0 and r2 < 1 else float("inf")
     return n, r2, 1 - (1 - r2) * (n - 1) / free if free > 0 else None, f, float(f_upper(f, rank, free)) if np.isfinite(f) else 0.0
@@ -114,33 +94,14 @@ def sweep(rows: DataFrame, settings: list[int]) -> DataFrame:
     """Multiple regressions for many settings at once: k, n, r2, r2_adjusted, f, p_value and r, the root of r2.
 
     ``rows``: k (the setting), x (array of k values), y. Rows with a missing value are left out; a setting with too few
-    rows has nulls. Every task sums up the products of its rows, a matrix a setting; sums of tasks meet by cell, and each
-    setting is solved by its own task, so neither rows nor matrices reach the driver.
+    rows has nulls. One pass serves all settings, by triangular factors (``factors``): neither an offset of the outcome nor
+    nearly dependent columns spoil the result. Each setting is solved by its own task.
     """
 
-    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for f in frames:
-            for k, same in f.groupby("k"):
-                z = np.column_stack([np.ones(len(same)), np.array(same["x"].tolist(), float).reshape(len(same), k), same["y"].to_numpy(float)])
-                z = z[np.isfinite(z).all(axis=1)]
-                sums[k] = sums.get(k, 0.0) + z.T @ z
-        for k, m in sums.items():
-            upper = m[np.triu_indices(len(m))]
-            yield pd.DataFrame({"k": k, "cell": np.arange(len(upper)), "v": upper})
-
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        k = int(f["k"].iloc[0])
-        m = np.zeros((k + 2, k + 2))
-        m[np.triu_indices(k + 2)] = f.sort_values("cell")["v"]
-        n, mean = int(m[0, 0]), m[0, 1:] / max(1.0, m[0, 0])
-        cov = np.triu(m[1:, 1:] / max(1, n) - np.outer(mean, mean))
-        cov += np.triu(cov, 1).T
-        return pd.DataFrame([(k, *explained(n, cov))], columns=["k", "n", "r2", "r2_adjusted", "f", "p_value"])
-
-    known = rows.select(F.col("k").cast("int").alias("k"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y")).dropna()
-    sums = known.mapInPandas(products, "k int, cell int, v double").groupBy("k", "cell").agg(F.sum("v").alias("v"))
-    found = sums.groupBy("k").applyInPandas(solve, "k int, n long, r2 double, r2_adjusted double, f double, p_value double")
+        return pd.DataFrame([(int(f["k"].iloc[0]), *explained(factors_of(f)[0]))], columns=["k", "n", "r2", "r2_adjusted", "f", "p_value"])
+
+    found = triangular_factors(rows).groupBy("k").applyInPandas(solve, "k int, n long, r2 double, r2_adjusted double, f double, p_value double")
     every = rows.sparkSession.createDataFrame([(k,) for k in settings], "k int").join(found, "k", "left").fillna(0, ["n"])
     return every.withColumn("r", F.sqrt(F.when(F.col("r2") < 0, 0.0).otherwise(F.col("r2"))))
 

@@ -35,8 +35,9 @@ def _step(code: Column, alpha: float, tier: str) -> Column:
     return F.when(named(MOBILISING, "+"), 2 * alpha).when(named(PREPARATORY, "+"), alpha).when(named(PREPARATORY, "-"), -alpha).when(named(MOBILISING, "-"), -2 * alpha)
 
 
-#: Fadings after which what came before is lost in a double's precision, and beyond which their product would vanish.
-_FADE_BLOCK = 2000
+#: Natural logarithm of what a block of fadings leaves at least: its powers stay within a double, and what is older than
+#: the block before is less than the least double beside any other step.
+_FADE_LOG = 600.0
 
 
 def momentum(client_rows: DataFrame, label: str, alpha: float = 0.1, tier: str = "t1") -> DataFrame:
@@ -44,8 +45,8 @@ def momentum(client_rows: DataFrame, label: str, alpha: float = 0.1, tier: str =
 
     Change talk raises it, sustain talk lowers it, other codes let it fade, missing ones carry it on; the first
     row starts at 0 whatever its code. With k the fadings so far and f what one leaves, a row's momentum is f**k times
-    the sum of all steps over f**k of their own rows: a running sum, in blocks of k so that no power leaves the range
-    of a double.
+    the sum of all steps over f**k of their own rows: a running sum, in blocks of k whose length follows from alpha, so
+    that no power leaves the range of a double.
     """
     by = Window.partitionBy("conv_id").orderBy("conv_utt_idx")
     code, first = F.col(label), F.row_number().over(by) == 1
@@ -54,7 +55,7 @@ def momentum(client_rows: DataFrame, label: str, alpha: float = 0.1, tier: str =
         "conv_id", "conv_utt_idx", F.when(first | step.isNull(), 0.0).otherwise(step).alias("_step"), F.when(first | code.isNull() | step.isNotNull(), 0).otherwise(1).alias("_fades")
     )
     left = 1.0 - alpha
-    size = max(1, min(_FADE_BLOCK, int(600 / -math.log(left)))) if 0 < left < 1 else _FADE_BLOCK
+    size = max(1, int(_FADE_LOG / -math.log1p(-alpha))) if 0 < left < 1 else 1 if left == 0 else 1 << 62
     k = F.sum("_fades").over(by)
     rows = rows.withColumn("_k", k).withColumn("_block", F.floor(F.col("_k") / size)).withColumn("_k", F.col("_k") % size)
     rows = rows.withColumn("_scaled", F.col("_step") / F.pow(F.lit(left), F.col("_k")))
