@@ -52,14 +52,24 @@ def rebalance(slot_shard: dict[int, int], n_bytes: dict[int, int], n_shards: int
 
     Shards above the mean give up their largest slots that still fit under the mean of a shard below it;
     what no single slot can mend is mended by swapping a slot of the fullest shard for a smaller one of the
-    emptiest. ``n_shards`` may exceed the shards in use: the new ones then fill up from the others.
+    emptiest. ``n_shards`` may exceed the shards in use: the new ones then fill up from the others. Or it may be less:
+    the slots of the shards that go are dealt, the largest first, to the emptiest of the others.
     """
     out = dict(slot_shard)
     load = [0] * n_shards
     members: list[set[int]] = [set() for _ in range(n_shards)]
     for s, shard in out.items():
-        load[shard] += n_bytes.get(s, 0)
-        members[shard].add(s)
+        if shard < n_shards:
+            load[shard] += n_bytes.get(s, 0)
+            members[shard].add(s)
+    emptiest = [(x, i) for i, x in enumerate(load)]
+    heapq.heapify(emptiest)
+    for s in sorted((s for s, shard in out.items() if shard >= n_shards), key=lambda s: (-n_bytes.get(s, 0), s)):
+        _, to = heapq.heappop(emptiest)
+        out[s] = to
+        members[to].add(s)
+        load[to] += n_bytes.get(s, 0)
+        heapq.heappush(emptiest, (load[to], to))
     mean = sum(load) / n_shards
 
     def move(s: int, a: int, b: int) -> None:
@@ -135,6 +145,8 @@ def edit_map(spark: SparkSession, path: str, rows: DataFrame, n_shards: int) ->
     store the next version and return its number. Slots that need not move stay where they are."""
     version, held = load_map(spark, path)
     totals = {r["vslot"]: (r["n_rows"], r["n_bytes"]) for r in slot_totals(rows).collect()}  # n_slots rows
+    if not totals.keys() <= held.keys():
+        raise ValueError(f"rows have slots that the map of {len(held)} slots at {path} lacks")
     store_map(spark, path, version + 1, rebalance(held, {s: b for s, (_, b) in totals.items()}, n_shards), totals)
     return version + 1
 
@@ -161,15 +173,17 @@ def shard_by_slots(
     rows: doc_id, size, text_crc32, vslot, shard, pos (its place in the shard, gapless from 0). Law: bytes of
     shards near equal, as far as single slots allow. Under ``path`` version 0 of the map is stored (slots dealt in
     turn), then edited by bytes (version 1) and, with ``grow_to``, for more shards (version 2); rows follow version 1
-    as it is read back. A ``path`` that holds a map already goes on from its last version. An empty table gives no rows
-    and a map of empty slots.
+    as it is read back. A ``path`` that holds a map already goes on from its last version, with that map's slots whatever
+    ``n_slots`` says, and for fewer or more shards than it had. An empty table gives no rows and a map of empty slots.
     """
     spark = docs.sparkSession
-    rows, _ = written(slotted(docs, n_slots), "slots")
     path = path or new_path(spark, "slot-map")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        n_slots = len(load_map(spark, path)[1])
+    else:
         store_map(spark, path, 0, initial_map(n_slots, n_shards), {})
+    rows, _ = written(slotted(docs, n_slots), "slots")
     version = edit_map(spark, path, rows, n_shards)
     if grow_to:
         edit_map(spark, path, rows, grow_to)
