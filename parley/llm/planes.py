@@ -171,6 +171,17 @@ def full_uri(spark: SparkSession, path: str) -> str:
     return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file:///") else whole
 
 
+def arrow_uri(uri: str) -> str:
+    """A URI as Arrow spells it: the stores of Hadoop's s3a and s3n connectors are s3 there, those of wasb abfs."""
+    scheme, mark, rest = uri.partition("://")
+    return {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(scheme, scheme) + mark + rest
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI of Spark's and the path there; credentials come from the executors' environment."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def ordered_ranges(docs: DataFrame, n: int) -> DataFrame:
     """doc_id and text in ``n`` ranges in order of the id, null ids first. The text's digest and the row's place break
     ties, so that rows of one id spread over ranges too."""
@@ -200,7 +211,7 @@ def write_planes(
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, no = encoder(tokenizer), TaskContext.get().partitionId()
-        fs, folder = pafs.FileSystem.from_uri(root)
+        fs, folder = file_system(root)
         end, writer, done = np.array([end_id], "<u4"), None, []
 
         def finish() -> None:
@@ -238,7 +249,7 @@ def read_planes(files: DataFrame, id_type: str = "long") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, where = pafs.FileSystem.from_uri(name)
+                fs, where = file_system(name)
                 with fs.open_input_file(where) as source:
                     held, size = [], 0
                     kind = None
