@@ -190,7 +190,7 @@ def copy_group(text: str, k: int = GROUP_WORDS) -> int:
 
 def grouped_terms(sample: DataFrame) -> DataFrame:
     """(toxic, group, term, low, high): words of three letters or more of each group of copies, and stems ("stem*")
-    with the first and last ending of the group's words that start so."""
+    with the least and largest hash of an ending of the group's words that start so: they differ where endings do."""
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,17 +199,17 @@ def grouped_terms(sample: DataFrame) -> DataFrame:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, text in enumerate(texts):
                 words = {w for w in _TOKEN.findall(text.lower()) if len(w) > 2}
-                stems = {w[:n] + "*": w[n:] for w in sorted(words) for n in STEM_CHARS if len(w) > n}
-                terms += [*words, *stems]
-                of += [*[None] * len(words), *stems.values()]
+                stems = [(w[:n] + "*", xxhash.xxh64_intdigest(w[n:]) >> 1) for w in words for n in STEM_CHARS if len(w) > n]
+                terms += [*words, *(t for t, _ in stems)]
+                of += [*[None] * len(words), *(e for _, e in stems)]
                 which += [i] * (len(words) + len(stems))
             at = pa.array(which, pa.int64())
             groups = pa.array(map(copy_group, texts), pa.int64())
-            columns = [batch.column(0).take(at), groups.take(at), pa.array(terms, pa.string()), pa.array(of, pa.string())]
+            columns = [batch.column(0).take(at), groups.take(at), pa.array(terms, pa.string()), pa.array(of, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["toxic", "group", "term", "of"])
 
     kind = sample.schema["toxic"].dataType.simpleString()
-    rows = sample.select("toxic", "text").mapInArrow(run, f"toxic {kind}, group long, term string, of string")
+    rows = sample.select("toxic", "text").mapInArrow(run, f"toxic {kind}, group long, term string, of long")
     return rows.groupBy("toxic", "group", "term").agg(F.min("of").alias("low"), F.max("of").alias("high"))
 
 
@@ -267,12 +267,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, toxic) of at most about ``sample_docs`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+    """(text, toxic) of at most about ``sample_docs`` labelled ids (never above twice that) outside the held-out fold,
+    chosen by a hash of the id; of documents that share an id the one of the least text."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     share = min(1.0, sample_docs / max(1, usable.count()))
     mixed = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 30))
     ids = usable.filter(mixed < int(share * (1 << 30))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(2 * sample_docs)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")  # 2 * sample_docs rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 * sample_docs rows at most
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def feature_rows(docs: DataFrame, keep: list[str], terms: list[str], weights: list[float]) -> DataFrame:
