@@ -123,23 +123,25 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: i
     its rows are split by adaptive joins; no task holds a digest's rows together.
     """
     spark = docs.sparkSession
-    every, at_units = written(unit_table(docs), "units")  # read twice below; cutting costs more than reading again
+    every, at_units = written(unit_table(docs), "units")  # read twice below; cutting again costs more
+    again, at_again = written(every.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "repeated-digests")
+    found, at_found = written(every.join(again, "digest"), "repeated-units")  # what stands once is not looked at any more
+    for path in (at_units, at_again):
+        remove(spark, path)
     first = F.min(F.struct("doc_id", "text_key", "idx")).alias("first")
-    known = every.groupBy("digest").agg(F.count("*").alias("n"), first).filter("n > 1")
-    known, at_known = written(known.select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.text_key").alias("kept_key"), F.col("first.idx").alias("kept_idx")), "repeated-units")
+    known = found.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.text_key").alias("kept_key"), F.col("first.idx").alias("kept_idx"))
     kept = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("text_key") == F.col("kept_key")) & (F.col("idx") == F.col("kept_idx"))
     # Copies of a row give the same hits; each counts once.
-    hits = every.join(known, "digest").filter(~kept).select("doc_id", "text_key", "idx", "start", "end", "n_words", "line", "line_words", "kept_doc_id").distinct()
+    hits = found.join(known, "digest").filter(~kept).select("doc_id", "text_key", "idx", "start", "end", "n_words", "line", "line_words", "kept_doc_id").distinct()
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("idx")
     runs = hits.withColumn("run", F.col("idx") - F.dense_rank().over(by_doc))
     measures = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id")]
     of_line = runs.groupBy("doc_id", "text_key", "run", "line").agg(*measures, F.count("*").alias("n_units"), F.max("line_words").alias("line_words"))
     whole = F.max(F.when(F.col("n_words") == F.col("line_words"), F.col("line_words")).otherwise(0)).alias("whole_line")
-    found = of_line.groupBy("doc_id", "text_key", "run").agg(*measures, F.sum("n_units").alias("n_units"), whole)
-    found = found.filter((F.col("n_words") >= min_words) | (F.col("whole_line") >= min_line_words)).drop("run", "whole_line")
-    out, _ = written(found, "repeated-runs")
-    for path in (at_units, at_known):
-        remove(spark, path)
+    whole_runs = of_line.groupBy("doc_id", "text_key", "run").agg(*measures, F.sum("n_units").alias("n_units"), whole)
+    whole_runs = whole_runs.filter((F.col("n_words") >= min_words) | (F.col("whole_line") >= min_line_words)).drop("run", "whole_line")
+    out, _ = written(whole_runs, "repeated-runs")
+    remove(spark, at_found)
     return out
 
 
