@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.labels import is_valid
 from parley.functions.stats import p_mcnemar, p_normal
 
 
@@ -34,10 +33,14 @@ def kappa(df: DataFrame, true: str, pred: str, by: list[str] = (), theta4: str =
     ``theta4`` is how the variance weighs the cells (i, j): ``row_plus_column`` takes (row_i + column_j) squared,
     ``textbook`` (column_i + row_j) squared. Groups whose chance agreement is 1 have a null kappa.
     """
+    cells = label_pairs(df if by else df.withColumn("_all", F.lit(0)), true, pred, list(by) or ["_all"])
+    return kappa_of(cells, list(by) or ["_all"], theta4).select(*by, "n", "p0", "pe", "kappa", "variance", "z")
+
+
+def kappa_of(cells: DataFrame, keys: list[str], theta4: str = "row_plus_column") -> DataFrame:
+    """``kappa`` of groups from their counted label pairs (keys, true, pred, n)."""
     if theta4 not in ("row_plus_column", "textbook"):
         raise ValueError(f"unknown variant: {theta4}")
-    keys = list(by) or ["_all"]
-    cells = label_pairs(df if by else df.withColumn("_all", F.lit(0)), true, pred, keys)
     none = F.lit(0).cast("long")
     agreed = F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(none)
     side = lambda label, row, col, same: F.struct(F.col(label).alias("label"), row.alias("row_n"), col.alias("col_n"), same.alias("same_n"))
@@ -64,7 +67,7 @@ def kappa(df: DataFrame, true: str, pred: str, by: list[str] = (), theta4: str =
         + miss**2 * (F.col("t4") - 4 * F.col("pe") ** 2) / free**4
     ) / F.col("n")
     out = out.withColumn("variance", variance).withColumn("z", F.when(F.col("variance") > 0, F.col("kappa") / F.sqrt("variance")))
-    return out.select(*by, "n", "p0", "pe", "kappa", "variance", "z")
+    return out.select(*keys, "n", "p0", "pe", "kappa", "variance", "z")
 
 
 def with_p_value(kappas: DataFrame) -> DataFrame:
@@ -93,14 +96,13 @@ def align(manual: DataFrame, auto: DataFrame, key: list[str], manual_label: str,
 
 def agreement_report(manual: DataFrame, auto: DataFrame, key: list[str], tiers: dict[str, tuple[str, str]]) -> DataFrame:
     """Kappa of each tier and speaker over aligned rows whose two labels are both codes of the speaker in that tier:
-    tier, speaker, n, p0, pe, kappa, variance, z. ``tiers`` names the human and the automatic column of each tier."""
-    out = None
-    for tier, (mine, theirs) in tiers.items():
-        rows = align(manual, auto, key, mine, theirs)
-        rows = rows.filter(is_valid(F.col("gold"), F.col("speaker"), tier) & is_valid(F.col("auto"), F.col("speaker"), tier))
-        one = kappa(rows, "gold", "auto", ["speaker"]).withColumn("tier", F.lit(tier))
-        out = one if out is None else out.unionByName(one)
-    return out
+    tier, speaker, n, p0, pe, kappa, variance, z. ``tiers`` names the human and the automatic column of each tier; both
+    tables are joined once."""
+    from parley.operators.reports import tier_pairs
+
+    left = manual.select(*key, "speaker", *[F.col(mine).alias(f"_{t}_gold") for t, (mine, _) in tiers.items()])
+    rows = left.join(auto.select(*key, *[F.col(theirs).alias(f"_{t}_auto") for t, (_, theirs) in tiers.items()]), key)
+    return kappa(tier_pairs(rows, {t: (f"_{t}_gold", f"_{t}_auto") for t in tiers}), "true", "pred", ["tier", "speaker"])
 
 
 def complete_items(ratings: DataFrame, item: list[str], n_raters: int) -> DataFrame:

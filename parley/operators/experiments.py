@@ -57,6 +57,14 @@ def grid(spark: SparkSession, config: Config) -> DataFrame:
     return both.withColumn("experiment_id", experiment_id(F.col("parser"), F.col("annotator"), F.col("fine_tuning"), *settings))
 
 
+def grid_of(runs: DataFrame, settings: list[str]) -> DataFrame:
+    """Every combination of the values that ``settings`` columns take in a table of runs, with its id."""
+    out = runs.agg(*[F.collect_set(F.struct(c)).alias(c) for c in settings])  # names of models, not rows of data
+    for c in settings:
+        out = out.withColumn(c, F.explode(c)).withColumn(c, F.col(c)[c])
+    return out.select(*settings, experiment_id(*[F.col(c) for c in settings]).alias("experiment_id"))
+
+
 def artifact_name(dataset: str, subset: str | None, structure: str, parser: str, annotator: str, mode: str, volleys: int) -> str:
     slug = lambda m: m.rsplit("/", 1)[-1]
     return "_".join([dataset, subset or "all", structure, slug(parser), slug(annotator), mode, str(volleys)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import guarded_ratio, literal_map
@@ -76,6 +76,13 @@ def code_flags(coded: DataFrame, t2: str = "t2", codes: list[str] = COUNSELLOR_T
     return coded.groupBy("conv_id", "conv_utt_idx").agg(*map(flag, codes))
 
 
+def outcome_delta(delta_with: str = "week_later") -> Column:
+    """The outcome's change since ``pre``: to ``week_later`` (as by default) or to ``post``."""
+    if delta_with not in ("week_later", "post"):
+        raise ValueError(f"unknown end of the change: {delta_with}")
+    return F.col(delta_with) - F.col("pre")
+
+
 def quality_of(status: str):
     """1 where a status starts with high, 0 for other values."""
     return F.when(F.col(status).startswith("high"), 1).otherwise(0).cast("long")

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import labels as L
 from parley.functions.stats import keyed_id
-from parley.operators import agreement, annotate, dtw, experiments, learn, metrics, rollup, sessions, trajectory
-from parley.operators.prepare import valid_rows
+from parley.operators import agreement, annotate, dtw, experiments, learn, metrics, reports, rollup, sessions, trajectory
 from parley.plans import fixtures as fx
 from parley.vocab import (
     CHANGE_TALK, CLIENT_REDUCED, CLIENT_T2, COUNSELLOR_REDUCED, COUNSELLOR_T1, COUNSELLOR_T2, MI_CONSISTENT, MI_INCONSISTENT, MOBILISING, PREPARATORY, SCALES, SUSTAIN_TALK, VOCABULARY, vocabulary,
@@ -171,6 +170,59 @@ def gold_auto_report(spark, sf):
     return _kappa_out(agreement.agreement_report(manual, auto, key, _TIERS))
 
 
+_GROUPED = " UNION ALL ".join(
+    f"SELECT speaker, '{tier}' AS tier, {tier}_gold AS g, {tier}_auto AS p FROM coded WHERE speaker = '{who}' AND {tier}_gold IN {_OWN[who, tier]} AND {tier}_auto IN {_OWN[who, tier]}" for who, tier in _OWN
+)
+_GROUPED = f"WITH own AS ({_GROUPED}) SELECT * FROM own UNION ALL SELECT 'all', tier, g, p FROM own"
+_EVERY = [(t, w, VOCABULARY[w, t]) for t in ("t1", "t2") for w in ("counsellor", "client")] + [(t, "all", vocabulary(t)) for t in ("t1", "t2")]
+_EVERY_LABEL = "(" + " UNION ALL ".join(f"SELECT '{t}' AS tier, '{w}' AS speaker, label FROM {_values(codes, 'label')}" for t, w, codes in _EVERY) + ")"
+_GROUP_REPORT = f""", pairs AS ({_GROUPED}), rep AS (SELECT l.*, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted FROM {_EVERY_LABEL} l
+    LEFT JOIN (SELECT tier, speaker, g AS label, count(*) AS support, count_if(g = p) AS tp FROM pairs GROUP BY ALL) a USING (tier, speaker, label)
+    LEFT JOIN (SELECT tier, speaker, p AS label, count(*) AS predicted FROM pairs GROUP BY ALL) b USING (tier, speaker, label)),
+    full_rep AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0::DOUBLE END AS "precision", CASE WHEN support > 0 THEN tp / support ELSE 0.0::DOUBLE END AS recall,
+    CASE WHEN predicted + support > 0 THEN 2 * tp / (predicted + support) ELSE 0.0::DOUBLE END AS f1 FROM rep)"""
+
+
+def _tables(spark, sf):
+    return reports.agreement_tables(fx.coded(spark, sf), {"t1": ("t1_gold", "t1_auto"), "t2": ("t2_gold", "t2_auto")})
+
+
+@query(fx.sql(_kappa_sql(_GROUPED, "speaker, tier"), "coded"))
+def grouped_kappa(spark, sf):
+    """Kappa of each tier for each speaker and for all, from one scan."""
+    return _kappa_out(_tables(spark, sf)["kappa"])
+
+
+@query(
+    fx.sql(
+        f""", pairs AS ({_GROUPED}), n AS (SELECT tier, speaker, g, p, count(*) AS n FROM pairs GROUP BY ALL)
+        SELECT a.tier, a.speaker, a.label AS "true", b.label AS pred, coalesce(n, 0) AS n FROM {_EVERY_LABEL} a JOIN {_EVERY_LABEL} b USING (tier, speaker)
+        LEFT JOIN n ON n.tier = a.tier AND n.speaker = a.speaker AND n.g = a.label AND n.p = b.label""",
+        "coded",
+    )
+)
+def grouped_confusion(spark, sf):
+    return _tables(spark, sf)["confusion"]
+
+
+@query(fx.sql(_GROUP_REPORT + ' SELECT tier, speaker, label, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, support, predicted, tp FROM full_rep', "coded"))
+def grouped_class_reports(spark, sf):
+    return _round(_tables(spark, sf)["classes"], "precision", "recall", "f1")
+
+
+@query(
+    fx.sql(
+        _GROUP_REPORT
+        + """ SELECT tier, speaker, 'micro' AS average, round(sum(tp) / sum(predicted), 6) AS "precision", round(sum(tp) / sum(support), 6) AS recall, round(2 * sum(tp) / (sum(predicted) + sum(support)), 6) AS f1, CAST(sum(support) AS BIGINT) AS support FROM full_rep GROUP BY ALL
+        UNION ALL SELECT tier, speaker, 'macro', round(avg("precision"), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM full_rep GROUP BY ALL
+        UNION ALL SELECT tier, speaker, 'weighted', round(sum("precision" * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM full_rep GROUP BY ALL""",
+        "coded",
+    )
+)
+def grouped_averages(spark, sf):
+    return _round(_tables(spark, sf)["averages"], "precision", "recall", "f1")
+
+
 def _two_conditions(spark, sf):
     key = ["conv_id", "conv_utt_idx"]
     rows = fx.coded(spark, sf).select(*key, "speaker", "t1_gold", "t2_gold", "t1_auto", "t2_auto")
@@ -191,6 +243,31 @@ def merge_predictions(spark, sf):
     return metrics.merge_predictions(rows.drop("t1_auto", "t2_auto"), zero, tuned, ["conv_id", "conv_utt_idx"])
 
 
+_CONDITIONS = " UNION ALL ".join(
+    f"SELECT '{c}' AS condition, '{tier}' AS tier, speaker, {tier}_gold AS g, CASE WHEN conv_utt_idx % 4 <> {skip} THEN {tier}_{source} END AS p FROM coded WHERE conv_utt_idx % 4 <> 2 AND speaker = '{who}' AND {tier}_gold IN {_OWN[who, tier]}"
+    for c, source, skip in (("zs", "auto", 1), ("ft", "gold", 2)) for who, tier in _OWN
+)
+_CONDITION_LABELS = "(" + " UNION ALL ".join(f"SELECT '{t}' AS tier, '{w}' AS speaker, label FROM {_values(VOCABULARY[w, t], 'label')}" for w, t in _OWN) + ")"
+
+
+@query(
+    fx.sql(
+        f""", pairs AS ({_CONDITIONS}), acc AS (SELECT condition, tier, speaker, count(*) AS n, avg(CASE WHEN g = p THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM pairs GROUP BY ALL),
+        rep AS (SELECT c.condition, l.*, coalesce(s, 0) AS s, CASE WHEN coalesce(s, 0) + coalesce(q, 0) > 0 THEN 2 * coalesce(tp, 0) / (coalesce(s, 0) + coalesce(q, 0)) ELSE 0.0::DOUBLE END AS f1
+          FROM {_CONDITION_LABELS} l CROSS JOIN (SELECT unnest(['zs', 'ft']) AS condition) c
+          LEFT JOIN (SELECT condition, tier, speaker, g AS label, count(*) AS s, count_if(g = p) AS tp FROM pairs GROUP BY ALL) a ON a.condition = c.condition AND a.tier = l.tier AND a.speaker = l.speaker AND a.label = l.label
+          LEFT JOIN (SELECT condition, tier, speaker, p AS label, count(*) AS q FROM pairs GROUP BY ALL) b ON b.condition = c.condition AND b.tier = l.tier AND b.speaker = l.speaker AND b.label = l.label)
+        SELECT condition, tier, speaker, any_value(n) AS n, round(any_value(accuracy), 6) AS accuracy, round(avg(f1), 6) AS f1_macro, round(sum(f1 * s) / sum(s), 6) AS f1_weighted FROM rep JOIN acc USING (condition, tier, speaker) GROUP BY ALL""",
+        "coded",
+    )
+)
+def scored_conditions(spark, sf):
+    """Both conditions on the rows that the tuned one predicted, each tier and speaker."""
+    rows, zero, tuned = _two_conditions(spark, sf)
+    merged = metrics.merge_predictions(rows.drop("t1_auto", "t2_auto"), zero, tuned, ["conv_id", "conv_utt_idx"])
+    return _round(metrics.condition_summaries(merged, VOCABULARY), "accuracy", "f1_macro", "f1_weighted")
+
+
 def _labels_sql(tier: str, scale: str) -> str:
     label = f"CASE WHEN speaker = 'counsellor' THEN t1_gold ELSE {tier}_gold END"
     flags = ", ".join(f"CAST(max(CASE WHEN label = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS is_{c.lower()}" for c in COUNSELLOR_T1)
@@ -283,11 +360,8 @@ _T2_BY = " UNION ALL ".join(
 
 @query(fx.sql(_T2_BY, "coded"))
 def t2_metrics_by_speaker(spark, sf):
-    rows, out = fx.coded(spark, sf), None
-    for who, codes in (("counsellor", COUNSELLOR_T2), ("client", CLIENT_T2)):
-        one = metrics.summary(valid_rows(rows, who, "t2_gold", codes), "t2_gold", "t2_auto", codes).withColumn("speaker", F.lit(who))
-        out = one if out is None else out.unionByName(one)
-    return _round(out, "accuracy", "f1_macro", "f1_weighted")
+    found = metrics.speaker_summaries(fx.coded(spark, sf), "t2_gold", "t2_auto", {"counsellor": COUNSELLOR_T2, "client": CLIENT_T2})
+    return _round(found, "accuracy", "f1_macro", "f1_weighted")
 
 
 def _subset_sql(name: str, codes: list[str], inside: bool) -> str:
@@ -301,12 +375,9 @@ def _subset_sql(name: str, codes: list[str], inside: bool) -> str:
 
 @query(fx.sql(" UNION ALL ".join(_subset_sql(n, c, i) for n, c in (("change_talk", CHANGE_TALK), ("sustain_talk", SUSTAIN_TALK)) for i in (True, False)), "coded"))
 def change_sustain(spark, sf):
-    rows, out = fx.coded(spark, sf).filter("speaker = 'client'"), None
-    for name, codes in (("change_talk", CHANGE_TALK), ("sustain_talk", SUSTAIN_TALK)):
-        for inside in (True, False):
-            one = metrics.subset_summary(rows, "t2_gold", "t2_auto", codes, inside).withColumn("subset", F.lit(name)).withColumn("gold_inside", F.lit(inside))
-            out = one if out is None else out.unionByName(one)
-    return _round(out, "precision", "recall", "f1")
+    rows = fx.coded(spark, sf).filter("speaker = 'client'")
+    found = metrics.subset_summaries(rows, "t2_gold", "t2_auto", {"change_talk": CHANGE_TALK, "sustain_talk": SUSTAIN_TALK})
+    return _round(found, "precision", "recall", "f1")
 
 
 _FAMILIES = {"change": CHANGE_TALK, "sustain": SUSTAIN_TALK, "neutral": ["N"], "questions": ["OQ", "CQ"], "reflections": ["CR", "SR", "RF"], "consistent": MI_CONSISTENT, "inconsistent": MI_INCONSISTENT}
@@ -419,6 +490,12 @@ def session_outcomes(spark, sf):
     return _round(found.select("conv_id", "pct_mic", (F.col("post") - F.col("pre")).alias("delta")).dropna(subset=["delta"]), "pct_mic")
 
 
+@query(fx.sql(_SESSION + " SELECT sm.conv_id, round(pct_ct, 6) AS pct_ct, pre, week_later, week_later - pre AS delta FROM sm JOIN outcomes o ON o.conv_id = sm.conv_id", "coded", "outcomes"))
+def session_outcomes_week_later(spark, sf):
+    found = sessions.session_metrics(fx.coded(spark, sf), "t1_auto", "t2_auto").join(fx.outcomes(spark, sf), "conv_id")
+    return _round(found.select("conv_id", "pct_ct", "pre", "week_later", sessions.outcome_delta().alias("delta")), "pct_ct")
+
+
 # Roll-ups.
 @query(
     fx.sql(
@@ -556,7 +633,7 @@ def trend_classes(spark, sf):
 
 def _session_deltas(spark, sf):
     rows = sessions.session_metrics(fx.coded(spark, sf), "t1_auto", "t2_auto").join(fx.outcomes(spark, sf), "conv_id")
-    return rows.withColumn("delta", F.col("post") - F.col("pre"))
+    return rows.withColumn("delta", sessions.outcome_delta("post"))
 
 
 _DELTAS = _SESSION + ", sd AS (SELECT sm.*, post - pre AS delta FROM sm JOIN outcomes o ON o.conv_id = sm.conv_id)"
@@ -829,42 +906,47 @@ def trained_vs_hashed(spark, sf):
     return metrics.comparison(first, second, "speaker", ("hashed", "trained"))
 
 
-# Experiments.
-_CONFIG = experiments.Config(parsers=["org/p1", "p2"], annotators=["a1", "a2"], fine_tunings=[None, "f1", "f2"])
-_GRID = """(SELECT parser, annotator, fine_tuning, substr(md5(concat_ws('_', parser, annotator, coalesce(fine_tuning, 'none'), 'interval', '3', 'tiered')), 1, 8) AS experiment_id
-  FROM (SELECT unnest(['org/p1', 'p2']) AS parser), (SELECT unnest(['a1', 'a2']) AS annotator), (SELECT unnest([NULL, 'f1', 'f2']) AS fine_tuning))"""
-_SCORED = f"(SELECT *, CAST(('0x' || substr(md5(experiment_id), 1, 4)) AS BIGINT) / 65536 AS f1 FROM {_GRID})"
+# Experiments: runs of two parsers, three annotators and three tunings, each scored on its part of the rated utterances.
+_SETTINGS = ["parser", "annotator", "fine_tuning"]
+_ID = "substr(md5(concat_ws('_', parser, annotator, coalesce(fine_tuning, 'none'))), 1, 8)"
+_RUNS = f""", runs AS (SELECT *, {_ID} AS experiment_id FROM (SELECT CASE WHEN r.conv_id % 2 = 0 THEN 'org/p1' ELSE 'p2' END AS parser, r.rater AS annotator, CASE r.conv_utt_idx % 3 WHEN 1 THEN 'f1' WHEN 2 THEN 'f2' END AS fine_tuning,
+    avg(CASE WHEN r.label = c.t2_gold THEN 1.0::DOUBLE ELSE 0 END) AS f1 FROM ratings r JOIN coded c USING (conv_id, conv_utt_idx) WHERE NOT (r.rater = 'c' AND r.conv_utt_idx % 3 = 2) GROUP BY ALL)),
+    every AS (SELECT *, {_ID} AS experiment_id FROM (SELECT DISTINCT parser FROM runs) CROSS JOIN (SELECT DISTINCT annotator FROM runs) CROSS JOIN (SELECT DISTINCT fine_tuning FROM runs))"""
 
 
-@query(f"SELECT * FROM {_GRID}")
-def experiment_grid(spark, sf):
-    return experiments.grid(spark, _CONFIG)
+def _runs(spark, sf):
+    rows = fx.ratings(spark, sf).drop("speaker").join(fx.coded(spark, sf).select("conv_id", "conv_utt_idx", "t2_gold"), ["conv_id", "conv_utt_idx"])
+    rows = rows.withColumn("parser", F.when(F.col("conv_id") % 2 == 0, "org/p1").otherwise("p2")).withColumn("tuning", F.col("conv_utt_idx") % 3)
+    rows = rows.filter(~((F.col("rater") == "c") & (F.col("tuning") == 2))).withColumn("fine_tuning", F.when(F.col("tuning") == 1, "f1").when(F.col("tuning") == 2, "f2"))
+    runs = rows.groupBy("parser", F.col("rater").alias("annotator"), "fine_tuning").agg(F.avg(F.when(F.col("label") == F.col("t2_gold"), 1.0).otherwise(0.0)).alias("f1"))
+    return runs.withColumn("experiment_id", experiments.experiment_id(*map(F.col, _SETTINGS)))
 
 
-def _scored_grid(spark):
-    return experiments.grid(spark, _CONFIG).withColumn("f1", F.conv(F.substring(F.md5("experiment_id"), 1, 4), 16, 10).cast("long") / 65536)
+@query(fx.sql(_RUNS + " SELECT * FROM every", "ratings"))
+def experiment_grid(spark, sf):
+    return experiments.grid_of(_runs(spark, sf), _SETTINGS)
 
 
-_PAIRS_SQL = f"""(SELECT b.parser, b.annotator, b.experiment_id AS base_id, b.f1 AS base, t.fine_tuning, t.experiment_id AS tuned_id, t.f1 AS tuned, t.f1 - b.f1 AS delta FROM {_SCORED} b JOIN {_SCORED} t
+_PAIRS_SQL = """(SELECT b.parser, b.annotator, b.experiment_id AS base_id, b.f1 AS base, t.fine_tuning, t.experiment_id AS tuned_id, t.f1 AS tuned, t.f1 - b.f1 AS delta FROM runs b JOIN runs t
   ON b.parser = t.parser AND b.annotator = t.annotator WHERE b.fine_tuning IS NULL AND t.fine_tuning IS NOT NULL)"""
 
 
-@query(f"SELECT parser, annotator, fine_tuning, base_id, tuned_id, {_r('base', 'tuned', 'delta')} FROM {_PAIRS_SQL}")
+@query(fx.sql(_RUNS + f" SELECT parser, annotator, fine_tuning, base_id, tuned_id, {_r('base', 'tuned', 'delta')} FROM {_PAIRS_SQL}", "ratings"))
 def experiment_pairs(spark, sf):
-    return _round(experiments.fine_tuning_pairs(_scored_grid(spark), "f1"), "base", "tuned", "delta")
+    return _round(experiments.fine_tuning_pairs(_runs(spark, sf), "f1"), "base", "tuned", "delta")
 
 
-@query(f"SELECT count(*) AS n, round(avg(delta), 6) AS mean_delta FROM {_PAIRS_SQL}")
+@query(fx.sql(_RUNS + f" SELECT count(*) AS n, round(avg(delta), 6) AS mean_delta FROM {_PAIRS_SQL}", "ratings"))
 def mean_improvement(spark, sf):
-    return _round(experiments.mean_improvement(experiments.fine_tuning_pairs(_scored_grid(spark), "f1")), "mean_delta")
+    return _round(experiments.mean_improvement(experiments.fine_tuning_pairs(_runs(spark, sf), "f1")), "mean_delta")
 
 
-@query(f"SELECT parser, annotator, fine_tuning, experiment_id FROM {_GRID} WHERE fine_tuning IS NOT NULL")
+@query(fx.sql(_RUNS + " SELECT parser, annotator, fine_tuning, experiment_id FROM every WHERE experiment_id NOT IN (SELECT experiment_id FROM runs)", "ratings"))
 def experiments_left(spark, sf):
     from parley.operators.prepare import not_yet_done
 
-    all_of = experiments.grid(spark, _CONFIG)
-    return not_yet_done(all_of, all_of.filter("fine_tuning IS NULL"), ["experiment_id"]).select("parser", "annotator", "fine_tuning", "experiment_id")
+    runs = _runs(spark, sf)
+    return not_yet_done(experiments.grid_of(runs, _SETTINGS), runs, ["experiment_id"]).select(*_SETTINGS, "experiment_id")
 
 
 @query(fx.sql("SELECT t1_gold AS label, count(DISTINCT conv_id) AS n_convs FROM coded GROUP BY 1", "coded"))
@@ -878,26 +960,36 @@ def set_union(spark, sf):
     return rows.unionByName(fx.outcomes(spark, sf).select("conv_id", F.lit("outcome").alias("speaker"))).distinct()
 
 
+_DISPATCH_KAPPA = _kappa_sql(_ALIGNED.replace("a.conv_utt_idx % 5 <> 0 AND ", ""), "speaker, tier")
+
+
 @query(
-    fx.sql(
-        """SELECT 'agreement' AS method, count(*) AS n_rows FROM (SELECT DISTINCT speaker, tier FROM coded, (SELECT unnest(['t1', 't2']) AS tier))
-        UNION ALL SELECT 'outcomes', count(*) FROM (SELECT DISTINCT c.conv_id FROM coded c JOIN outcomes o ON o.conv_id = c.conv_id)
-        UNION ALL SELECT 'comparison', 2 * count(DISTINCT speaker) FROM coded""",
-        "coded", "outcomes",
-    )
-)
+    "WITH k AS (" + fx.sql(_DISPATCH_KAPPA, "coded") + "), o AS (" + fx.sql(_DELTAS + " SELECT count(*) AS n, round(avg(delta), 6) AS d, round(avg(pct_ct), 6) AS c FROM sd", "coded", "outcomes") + "), j AS ("
+    + fx.sql("SELECT speaker, round(avg(CASE WHEN conv_utt_idx % 4 <> 1 AND t2_gold = t2_auto THEN 1.0::DOUBLE ELSE 0 END), 6) AS zs, round(avg(CASE WHEN conv_utt_idx % 4 <> 2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ft FROM coded GROUP BY speaker", "coded")
+    + """) SELECT 'agreement' AS method, tier || '.' || speaker || '.kappa' AS metric, kappa AS value FROM k UNION ALL SELECT 'agreement', tier || '.' || speaker || '.n', n::DOUBLE FROM k
+    UNION ALL SELECT 'outcomes', 'n', n::DOUBLE FROM o UNION ALL SELECT 'outcomes', 'delta', d FROM o UNION ALL SELECT 'outcomes', 'pct_ct', c FROM o
+    UNION ALL SELECT 'comparison', speaker || '.zero_shot', zs FROM j UNION ALL SELECT 'comparison', speaker || '.tuned', ft FROM j"""
+)
 def evaluation_dispatch(spark, sf):
-    """Every named evaluation over one run's tables, and how many rows each gave."""
+    """Every named evaluation over one run's tables, with the values it gave."""
     key = ["conv_id", "conv_utt_idx"]
     rows, zero, tuned = _two_conditions(spark, sf)
     merged = metrics.merge_predictions(rows, zero, tuned, key)
-    jobs = {
-        "agreement": lambda: agreement.agreement_report(rows, rows.select(*key, "t1_auto", "t2_auto"), key, _TIERS),
-        "outcomes": lambda: _session_deltas(spark, sf),
-        "comparison": lambda: metrics.comparison(metrics.by_group(merged, "t2_gold", "zs_t2_pred", "speaker"), metrics.by_group(merged, "t2_gold", "ft_t2_pred", "speaker"), "speaker"),
-    }
-    out = None
-    for name, found in experiments.evaluate(list(jobs), jobs).items():
-        one = found.agg(F.count("*").alias("n_rows")).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    value = lambda name, c: F.struct(name.alias("metric"), F.round(F.col(c).cast("double"), 6).alias("value"))
+
+    def agreed():
+        found = agreement.agreement_report(rows, rows.select(*key, "t1_auto", "t2_auto"), key, _TIERS)
+        return found.select(F.inline(F.array(*[value(F.concat_ws(".", "tier", "speaker", F.lit(c)), c) for c in ("kappa", "n")])))
+
+    def outcomes():
+        found = _session_deltas(spark, sf).agg(F.count("*").alias("n"), F.avg("delta").alias("delta"), F.avg("pct_ct").alias("pct_ct"))
+        return found.select(F.inline(F.array(*[value(F.lit(c), c) for c in ("n", "delta", "pct_ct")])))
+
+    def compared():
+        both = metrics.comparison(metrics.by_group(merged, "t2_gold", "zs_t2_pred", "speaker"), metrics.by_group(merged, "t2_gold", "ft_t2_pred", "speaker"), "speaker", ("zero_shot", "tuned"))
+        both = both.filter("metric = 'accuracy'").drop("metric")
+        return both.select(F.inline(F.array(*[value(F.concat_ws(".", "speaker", F.lit(c)), c) for c in ("zero_shot", "tuned")])))
+
+    jobs = {"agreement": agreed, "outcomes": outcomes, "comparison": compared}
+    found = [df.withColumn("method", F.lit(name)) for name, df in experiments.evaluate(list(jobs), jobs).items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
