@@ -12,14 +12,36 @@ from pyspark.sql import functions as F
 from parley.operators.order import held
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
-    """Distance (root of the summed squared differences along the best path) and the path.
+#: Cells of the cost tables that a task fills at once. Longer pairs of series are aligned by halves.
+TABLE_CELLS = 1 << 20
+
+
+def _step(a: np.ndarray, b: np.ndarray, d: int, i: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Costs of the cells (i, d - i) from the two diagonals before, all kept by i (from 1)."""
+    return (a[i - 1] - b[d - i - 1]) ** 2 + np.minimum(np.minimum(before[i - 1], last[i - 1]), last[i])
 
-    Costs are filled along anti-diagonals, whose cells depend on the two before only.
+
+def edge_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least costs of the paths from the first pair to (len(a) - 1, j) for every j: the table's last row.
+
+    Three anti-diagonals are held at a time.
     """
     n, m = len(a), len(b)
-    if not n or not m:
-        return float("nan"), []
+    before, last, row = np.full(n + 1, np.inf), np.full(n + 1, np.inf), np.empty(m)
+    before[0] = 0.0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        now = np.full(n + 1, np.inf)
+        now[i] = _step(a, b, d, i, last, before)
+        before, last = last, now
+        if i[-1] == n:
+            row[d - n - 1] = now[n]
+    return row
+
+
+def _whole_path(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """Squared distance and path from the full table."""
+    n, m = len(a), len(b)
     cost = np.full((n + 1, m + 1), np.inf)
     cost[0, 0] = 0
     for d in range(2, n + m + 1):
@@ -30,12 +52,55 @@ def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     while i and j:
         path.append((i - 1, j - 1))
         i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda c: cost[c])
-    return float(np.sqrt(cost[n, m])), path[::-1]
+    return float(cost[n, m]), path[::-1]
 
 
-def dtw_many(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dtw(a: np.ndarray, b: np.ndarray, table_cells: int = TABLE_CELLS) -> tuple[float, list[tuple[int, int]]]:
+    """Distance (root of the summed squared differences along the best path) and the path.
+
+    Costs are filled along anti-diagonals, whose cells depend on the two before only. A table of more than
+    ``table_cells`` is cut: where the best path crosses the middle row follows from the costs to that row and, backwards,
+    from it; both halves are aligned by themselves. So memory goes with the series' lengths, time with their product.
+    """
+    if not len(a) or not len(b):
+        return float("nan"), []
+    cost, path, todo = 0.0, [], [(0, len(a), 0, len(b))]
+    while todo:  # in order of the path
+        i0, i1, j0, j1 = todo.pop()
+        if (i1 - i0) * (j1 - j0) <= table_cells or i1 - i0 < 3:
+            part, found = _whole_path(a[i0:i1], b[j0:j1])
+            if path and path[-1] == (i0, j0):  # halves share the pair that they meet in
+                part, found = part - float((a[i0] - b[j0]) ** 2), found[1:]
+            cost += part
+            path += [(i0 + i, j0 + j) for i, j in found]
+            continue
+        mid = (i0 + i1) // 2
+        ahead = edge_costs(a[i0 : mid + 1], b[j0:j1])
+        back = edge_costs(a[mid:i1][::-1], b[j0:j1][::-1])[::-1]
+        j = j0 + int(np.argmin(ahead + back - (a[mid] - b[j0:j1]) ** 2))
+        todo += [(mid, i1, j, j1), (i0, mid + 1, j0, j + 1)]
+    return float(np.sqrt(cost)), path
+
+
+def dtw_many(a: np.ndarray, b: np.ndarray, table_cells: int = TABLE_CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one series against many of one length (rows of ``b``): distances, and along each best path the sums of the
-    row's values, and their number, at every place of ``a``."""
+    row's values, and their number, at every place of ``a``. As many rows at a time as ``table_cells`` hold; one whose
+    table alone is larger is aligned by halves."""
+    n, m = len(a), b.shape[1]
+    at_once = table_cells // max(1, (n + 1) * (m + 1))
+    if at_once >= 1:
+        parts = [_dtw_table(a, b[r : r + at_once]) for r in range(0, len(b), at_once)]
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else _dtw_table(a, b)
+    distances, sums, counts = np.zeros(len(b)), np.zeros((len(b), n)), np.zeros((len(b), n))
+    for r, row in enumerate(b):
+        distances[r], path = dtw(a, row, table_cells)
+        i, j = np.array(path).T
+        np.add.at(sums[r], i, row[j])
+        np.add.at(counts[r], i, 1)
+    return distances, sums, counts
+
+
+def _dtw_table(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, (size, m) = len(a), b.shape
     cost = np.full((size, n + 1, m + 1), np.inf)
     cost[:, 0, 0] = 0
@@ -56,6 +121,23 @@ def dtw_many(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.sqrt(cost[:, n, m]), sums, counts
 
 
+def least_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bounds of the distances of one series to many (rows of ``b``) without aligning them.
+
+    Every point is matched by some point of the other series, so it costs its distance to the other's envelope (least to
+    largest value) at least; first and last points are matched by each other. The larger of both directions counts.
+    """
+    def outside(x: np.ndarray, low, high) -> np.ndarray:
+        return np.maximum(0.0, np.maximum(x - high, low - x)) ** 2
+
+    first, last = (b[:, 0] - a[0]) ** 2, (b[:, -1] - a[-1]) ** 2
+    if len(a) < 2 or b.shape[1] < 2:  # then one point may be both ends
+        return np.sqrt(np.maximum(first, last))
+    of_b = outside(b[:, 1:-1], a.min(), a.max()).sum(axis=1)
+    of_a = outside(a[None, 1:-1], b.min(axis=1)[:, None], b.max(axis=1)[:, None]).sum(axis=1)
+    return np.sqrt(first + last + np.maximum(of_a, of_b)) * (1 - 1e-12)
+
+
 def series(points: DataFrame, order: str, value: str) -> DataFrame:
     """conv_id, values: each session's values in order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
@@ -77,46 +159,52 @@ def pair_distances(sessions: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, f"id_1 {kind}, id_2 {kind}, distance double, path_length long, path array<array<int>>")
 
 
-#: Series compared at once; their cost tables are what a task holds.
-_BATCH = 64
+def nearest(centres: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list, np.ndarray]:
+    """Of rows of one length: the nearest centre (of equally near ones the first), its distance, sums and counts along the
+    path, and how many centres were aligned. A centre whose lower bound is above the best distance so far is left out."""
+    bounds = np.stack([least_distances(c, rows) for c in centres])
+    turn = np.argsort(bounds, axis=0, kind="stable")
+    n = len(rows)
+    best, distance, aligned = np.full(n, len(centres)), np.full(n, np.inf), np.zeros(n, np.int32)
+    sums, counts = [None] * n, [None] * n
+    for t in range(len(centres)):
+        for c in range(len(centres)):
+            at = np.flatnonzero((turn[t] == c) & (bounds[c] <= distance))
+            if not len(at):
+                continue
+            d, s, k = dtw_many(centres[c], rows[at])
+            aligned[at] += 1
+            for x in np.flatnonzero((d < distance[at]) | ((d == distance[at]) & (c < best[at]))).tolist():
+                best[at[x]], distance[at[x]], sums[at[x]], counts[at[x]] = c, d[x], s[x], k[x]
+    return best, distance, sums, counts, aligned
 
 
 def _assign(centres: list[np.ndarray], kind: str):
-    """(conv_id, cluster, distance, sums and counts along the paths): what the next centres need."""
+    """(conv_id, cluster, distance, sums and counts along the paths, aligned): what the next centres need."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for length, same in f.groupby(f["values"].map(len)):
-                for at in range(0, len(same), _BATCH):
-                    part = same.iloc[at : at + _BATCH]
-                    rows = np.array(part["values"].tolist(), float).reshape(len(part), length)
-                    got = [dtw_many(c, rows) for c in centres]
-                    best = np.stack([d for d, _, _ in got]).argmin(0)
-                    yield pd.DataFrame(
-                        {
-                            "conv_id": part["conv_id"].to_numpy(),
-                            "cluster": best.astype("int32"),
-                            "distance": [got[c][0][r] for r, c in enumerate(best)],
-                            "sums": [got[c][1][r] for r, c in enumerate(best)],
-                            "counts": [got[c][2][r] for r, c in enumerate(best)],
-                        }
-                    )
-
-    return run, f"conv_id {kind}, cluster int, distance double, sums array<double>, counts array<double>"
+                rows = np.array(same["values"].tolist(), float).reshape(len(same), length)
+                best, distance, sums, counts, aligned = nearest(centres, rows)
+                yield pd.DataFrame({"conv_id": same["conv_id"].to_numpy(), "cluster": best.astype("int32"), "distance": distance, "sums": sums, "counts": counts, "aligned": aligned})
+
+    return run, f"conv_id {kind}, cluster int, distance double, sums array<double>, counts array<double>, aligned int"
 
 
 def cluster(sessions: DataFrame, k: int, rounds: int = 50) -> DataFrame:
-    """k-means under time warping: conv_id, cluster, distance to its centre.
+    """k-means under time warping: conv_id, cluster, distance to its centre, aligned (centres it was compared with).
 
-    Centres start at sessions spread over the sorted ids and move to the barycentre of what warps onto each of
-    their places, until no session changes its cluster or for ``rounds`` rounds. Assignments and sums run as tasks; only the centres (k series) reach the driver.
+    Centres start at the sessions whose ids have the least digests and move to the barycentre of what warps onto each of
+    their places, until no session changes its cluster or for ``rounds`` rounds. Assignments and sums run as tasks; only
+    the centres (k series) reach the driver.
     """
     kind = sessions.schema["conv_id"].dataType.simpleString()
     tasks = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     # Every round reads them; they are few bytes for the work they make, so they are dealt to a fixed number of tasks.
     sessions = held(sessions.select("conv_id", "values").repartition(tasks, "conv_id"))
     if sessions.isEmpty():
-        return sessions.select("conv_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
+        return sessions.select("conv_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"), F.lit(0).alias("aligned"))
     first = sessions.orderBy(F.md5(F.col("conv_id").cast("string"))).limit(k).collect()  # k rows
     centres = [np.asarray(r["values"], float) for r in sorted(first, key=lambda r: str(r["conv_id"]))]
     before = None
@@ -133,8 +221,10 @@ def cluster(sessions: DataFrame, k: int, rounds: int = 50) -> DataFrame:
             if r["v"] is not None:
                 centres[r["cluster"]][r["i"]] = r["v"]
     run, shape = _assign(centres, kind)
-    return sessions.mapInPandas(run, shape).select("conv_id", "cluster", "distance")
+    return sessions.mapInPandas(run, shape).select("conv_id", "cluster", "distance", "aligned")
 
 
-def cluster_report(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"))
+def cluster_report(assigned: DataFrame, k: int) -> DataFrame:
+    """Of each cluster n, mean and largest distance, and the share of comparisons with the k centres that bounds spared."""
+    spared = (1 - F.avg("aligned") / k).alias("spared")
+    return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), spared)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +73,14 @@ class Factor:
             beta, explained = (v[:rank].T @ (on / s[:rank])) / scale, float(on @ on)
         means = self.origin + self.r[0, 1:] / self.r[0, 0]
         intercept = float(self.origin[k] + (self.r[0, k + 1] / self.r[0, 0] - means[:k] @ beta))
-        return Solution(self.n, rank, beta, intercept, explained / total if total > 0 else 0.0)
+        return Solution(self.n, rank, Vectors.dense(beta), intercept, explained / total if total > 0 else 0.0)
 
 
 @dataclass
 class Solution:
     n: int
     rank: int
-    coefficients: np.ndarray
+    coefficients: DenseVector
     intercept: float
     r2: float
 

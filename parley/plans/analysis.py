@@ -846,7 +846,7 @@ def embedding_regression(spark, sf):
 @query()
 def dtw_pairs(spark, sf):
     """Whole sessions, the counsellor's turns filled in between the client's scores, each with the next one by id."""
-    rows = trajectory.with_score(fx.coded(spark, sf), "t2_auto", "motiv5")
+    rows = trajectory.with_score(fx.coded(spark, sf), "t2_auto", "motiv7")
     sessions_ = dtw.series(trajectory.fill_linear(rows, "conv_utt_idx", "score"), "conv_utt_idx", "score")
     ids = sessions_.select("conv_id")
     return dtw.pair_distances(sessions_, ids.select(F.col("conv_id").alias("id_1"), (F.col("conv_id") + 1).alias("id_2")))
@@ -860,7 +860,7 @@ def dtw_kmeans(spark, sf):
 
 @query()
 def dtw_cluster_report(spark, sf):
-    return dtw.cluster_report(dtw_kmeans(spark, sf))
+    return dtw.cluster_report(dtw_kmeans(spark, sf), 3)
 
 
 _KEY = b"query key"

@@ -79,9 +79,10 @@ def load_dataset(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """One row a participant: of repeated rows the one with the smallest values."""
-    rows = read_csv(spark, path, schema.OUTCOMES)
-    return rows.groupBy("participant_id").agg(F.min(F.struct("status", "pre_confidence", "post_confidence", "week_later_confidence")).alias("o")).select("participant_id", "o.*")
+    """One row a participant: of repeated rows the first in the file."""
+    rows = read_csv(spark, path, schema.OUTCOMES).withColumn("_place", F.monotonically_increasing_id())
+    first = F.min_by(F.struct("status", "pre_confidence", "post_confidence", "week_later_confidence"), "_place")
+    return rows.groupBy("participant_id").agg(first.alias("o")).select("participant_id", "o.*")
 
 
 def read_experiments(spark: SparkSession, folder: str) -> DataFrame:

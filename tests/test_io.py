@@ -101,7 +101,7 @@ def test_outcomes_predictions_and_annotations(spark, tmp_path):
     o, q, a = tmp_path / "o.csv", tmp_path / "q.csv", tmp_path / "a.csv"
     o.write_text("participant_id,status,pre_confidence,post_confidence,week_later_confidence\n1,low,2,3,4\n1,low,1,3,4\n2,high,5,,6\n")
     got = {r["participant_id"]: r for r in readers.read_outcomes(spark, str(o)).collect()}
-    assert got["1"]["pre_confidence"] == 1 and got["2"]["post_confidence"] is None
+    assert got["1"]["pre_confidence"] == 2 and got["2"]["post_confidence"] is None
     q.write_text("dataset,conv_id,speaker,utt_text,human_label,zero_shot_pred,fine_tuned_pred\nd,1,client,x,C,S,C\n")
     assert readers.read_predictions(spark, str(q)).first()["fine_tuned_pred"] == "C"
     a.write_text("conv_id,conv_utt_idx,speaker,utt_text,label_auto,expl_auto\n1,0,client,x,C+,because\n")

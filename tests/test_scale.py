@@ -1,11 +1,13 @@
 """Least squares, momentum and context where offsets, small weights or long conversations used to spoil or slow them."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
-from parley.operators import context, factors, learn, order, trajectory
-from parley.plans import analysis
+from parley.operators import context, dtw, factors, learn, order, reports, trajectory
+from parley.plans import analysis, fixtures
+from parley.vocab import SCALES
 from pyspark.sql import functions as F
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,8 +45,8 @@ def test_coefficients_rank_and_penalty(spark):
     centred, alpha = x - x.mean(axis=0), 7.0
     want = np.linalg.solve(centred.T @ centred + alpha * np.eye(3), centred.T @ (y - y.mean()))
     ridge = learn.ridge(df.select(F.slice("f", 1, 3).alias("f"), "y"), "f", "y", alpha)
-    assert ridge.coefficients == pytest.approx(want, rel=1e-9)
-    assert (ridge.intercept + x @ ridge.coefficients).mean() == pytest.approx(y.mean())
+    assert ridge.coefficients.toArray() == pytest.approx(want, rel=1e-9)
+    assert (ridge.intercept + x @ ridge.coefficients.toArray()).mean() == pytest.approx(y.mean())
 
 
 def test_factors_merge_to_the_factor_of_all_rows():
@@ -142,3 +144,75 @@ def test_sums_inside_groups_of_any_size(spark):
         want[g, i] = (sums.get(g, 0), i)
         sums[g] = sums.get(g, 0) + v
     assert {(r["g"], r["i"]): (r["before"], r["rank"]) for r in got.collect()} == want
+
+
+def test_alignment_by_halves_is_the_full_table_s():
+    rng = np.random.default_rng(5)
+    for t in range(150):
+        a, b = (np.round(rng.normal(size=int(n)), 0 if t % 3 == 0 else 9) for n in rng.integers(1, 40, 2))
+        want, _ = dtw.dtw(a, b)
+        for cells in (4, 30, 100):
+            got, path = dtw.dtw(a, b, cells)
+            assert got == pytest.approx(want) and sum((a[i] - b[j]) ** 2 for i, j in path) ** 0.5 == pytest.approx(want)
+            assert path[0] == (0, 0) and path[-1] == (len(a) - 1, len(b) - 1)
+            assert all((i - x, j - y) in ((0, 1), (1, 0), (1, 1)) for (x, y), (i, j) in zip(path, path[1:]))
+        many = dtw.dtw_many(a, b[None, :], 3)
+        assert many[0][0] == pytest.approx(want) and many[1].sum() == pytest.approx(sum(b[j] for _, j in dtw.dtw(a, b, 3)[1]))
+        assert dtw.least_distances(a, b[None, :])[0] <= want + 1e-12
+
+
+def test_alignment_of_long_sessions_needs_little_memory():
+    rng = np.random.default_rng(6)
+    a, b = np.cumsum(rng.normal(size=9000)), np.cumsum(rng.normal(size=9000))
+    tracemalloc.start()
+    distance, path = dtw.dtw(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and distance == pytest.approx(dtw.edge_costs(a, b)[-1] ** 0.5) and distance == pytest.approx(sum((a[i] - b[j]) ** 2 for i, j in path) ** 0.5)
+
+
+def test_bounds_spare_centres_and_change_nothing(spark):
+    rng = np.random.default_rng(7)
+    centres = [np.full(12, v) + rng.normal(size=12) * 0.1 for v in (-3.0, 0.0, 0.0, 4.0)]
+    rows = rng.choice([-3.0, 0.0, 4.0], 60)[:, None] + rng.normal(size=(60, 9)) * 0.3
+    best, distance, _, _, aligned = dtw.nearest(centres, rows)
+    want = np.array([[dtw.dtw(c, r)[0] for c in centres] for r in rows])
+    assert best.tolist() == want.argmin(axis=1).tolist() and distance == pytest.approx(want.min(axis=1))
+    assert aligned.min() == 1 and aligned.mean() < 2.5
+    sessions = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "conv_id long, values array<double>")
+    report = dtw.cluster_report(dtw.cluster(sessions, 3), 3).collect()
+    assert sum(r["n"] for r in report) == 60 and any(r["spared"] > 0 for r in report)
+
+
+def test_pair_query_by_the_plain_recurrence(spark):
+    """Whole sessions on the three-step scale, gaps filled, each with the next one by id."""
+    got = {(r["id_1"], r["id_2"]): r["distance"] for r in analysis.QUERIES["dtw_pairs"](spark, SF).collect()}
+    by = {}
+    for r in fixtures.coded(spark, SF).collect():
+        by.setdefault(r["conv_id"], []).append((r["conv_utt_idx"], SCALES["motiv7"].get(r["t2_auto"])))
+    series = {}
+    for c, rows in by.items():
+        values = [v for _, v in sorted(rows)]
+        known = [i for i, v in enumerate(values) if v is not None]
+        if known:
+            series[c] = np.interp(np.arange(len(values)), known, [values[i] for i in known])
+    pairs = [(c, c + 1) for c in series if c + 1 in series]
+    assert sorted(got) == sorted(pairs)
+    for x, y in pairs[:8]:
+        a, b = series[x], series[y]
+        cost = np.full((len(a) + 1, len(b) + 1), np.inf)
+        cost[0, 0] = 0
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                cost[i, j] = (a[i - 1] - b[j - 1]) ** 2 + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
+        assert got[x, y] == pytest.approx(cost[-1, -1] ** 0.5)
+
+
+def test_reports_are_written_by_group(spark, tmp_path):
+    rows = spark.createDataFrame([("client", "C", "C", "C+", "C+"), ("client", "S", "C", "C-", "C+"), ("counsellor", "Q", "Q", "OQ", "CQ"), ("counsellor", "C", "Q", None, "CQ")], "speaker string, t1_gold string, t1_auto string, t2_gold string, t2_auto string")
+    tables = reports.agreement_tables(rows, {"t1": ("t1_gold", "t1_auto"), "t2": ("t2_gold", "t2_auto")})
+    n = {(r["tier"], r["speaker"]): r["n"] for r in tables["kappa"].collect()}
+    assert n == {("t1", "client"): 2, ("t1", "counsellor"): 1, ("t1", "all"): 3, ("t2", "client"): 2, ("t2", "counsellor"): 1, ("t2", "all"): 3}
+    reports.write_tables(tables, str(tmp_path))
+    back = spark.read.csv(f"{tmp_path}/classes/tier=t1/speaker=client", header=True, inferSchema=True)
+    assert {r["label"]: r["support"] for r in back.collect()} == {"C": 1, "S": 1, "N": 0}
