@@ -4,6 +4,7 @@ import random
 import subprocess
 import sys
 
+import numpy as np
 import pyarrow.fs as pafs
 import pytest
 from parley.llm import planes, similar, slots, tiling, toxicity
@@ -46,11 +47,30 @@ def test_chains_of_near_copies_are_one_group_each(spark, n, length, missed):
     assert set(got) >= {i * length for i in range(n)} and len(got) <= n + missed
 
 
-def test_limited_rounds_reach_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(similar, "LIMITS", (1, 2, similar.BLOCK_ROWS))
+def test_families_in_many_blocks_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TILE_SHINGLES", 1500)
     test_chains_of_near_copies_are_one_group_each(spark, 10, 40, 0)
 
 
+@pytest.mark.parametrize("first", [9, 30])
+def test_tiles_join_what_all_pairs_join(first):
+    rnd = random.Random(first)
+    sets = [np.unique(np.array(rnd.sample(range(14), rnd.randint(0, 12)), np.uint64)) for _ in range(30)]
+    roots = [bytes([rnd.randrange(20)]) for _ in sets]
+    pairs = [(i, j) for i in range(30) for j in range(i + 1, 30) if first == 30 or (i < first <= j)]
+    near = [(roots[i], roots[j]) for i, j in pairs if len(sets[i]) and len(a := np.intersect1d(sets[i], sets[j])) >= 0.5 * (len(sets[i]) + len(sets[j]) - len(a)) and len(a)]
+
+    def parts(links):
+        of = {r: {r} for r in roots}
+        for x, y in links:
+            both = of[x] | of[y]
+            of.update({r: both for r in both})
+        return {frozenset(v) for v in of.values()}
+
+    got = similar.tile_links(sets, roots, first, 0.5)
+    assert parts(got) == parts(near) and len(got) < len(set(roots))
+
+
 def test_array_index_of_a_large_benchmark_is_small():
     """8 MB of items in a worker of its own, so that its memory is told apart."""
     code = (
