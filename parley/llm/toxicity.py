@@ -190,7 +190,7 @@ def copy_group(text: str, k: int = GROUP_WORDS) -> int:
 
 def grouped_terms(sample: DataFrame) -> DataFrame:
     """(toxic, group, term, low, high): words of three letters or more of each group of copies, and stems ("stem*")
-    with the least and largest hash of an ending of the group's words that start so: they differ where endings do."""
+    with the least and largest 16-bit hash of an ending of the group's words that start so: they differ where endings do."""
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,17 +199,17 @@ def grouped_terms(sample: DataFrame) -> DataFrame:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for i, text in enumerate(texts):
                 words = {w for w in _TOKEN.findall(text.lower()) if len(w) > 2}
-                stems = [(w[:n] + "*", xxhash.xxh64_intdigest(w[n:]) >> 1) for w in words for n in STEM_CHARS if len(w) > n]
+                stems = [(w[:n] + "*", xxhash.xxh32_intdigest(w[n:]) & 0xFFFF) for w in words for n in STEM_CHARS if len(w) > n]
                 terms += [*words, *(t for t, _ in stems)]
                 of += [*[None] * len(words), *(e for _, e in stems)]
                 which += [i] * (len(words) + len(stems))
             at = pa.array(which, pa.int64())
             groups = pa.array(map(copy_group, texts), pa.int64())
-            columns = [batch.column(0).take(at), groups.take(at), pa.array(terms, pa.string()), pa.array(of, pa.int64())]
+            columns = [batch.column(0).take(at), groups.take(at), pa.array(terms, pa.string()), pa.array(of, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["toxic", "group", "term", "of"])
 
     kind = sample.schema["toxic"].dataType.simpleString()
-    rows = sample.select("toxic", "text").mapInArrow(run, f"toxic {kind}, group long, term string, of long")
+    rows = sample.select("toxic", "text").mapInArrow(run, f"toxic {kind}, group long, term string, of int")
     return rows.groupBy("toxic", "group", "term").agg(F.min("of").alias("low"), F.max("of").alias("high"))
 
 
