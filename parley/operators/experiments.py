@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.sources.batches import put_file
+
 
 @dataclass
 class Config:
@@ -94,6 +100,45 @@ def run_all(experiments: list[dict], done: set[str], run) -> dict[str, dict]:
     return out
 
 
+def progress(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What is known of the runs under ``path``, by experiment_id: state (running, done, failed), error and seconds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {}
+    rows = spark.read.schema("experiment_id string, state string, error string, seconds double").json(path).collect()  # one row a run
+    return {r["experiment_id"]: r.asDict() for r in rows}
+
+
+def run_parallel(spark: SparkSession, experiments: list[dict], run: Callable[[dict], object], path: str, max_parallel_jobs: int = 2) -> dict[str, dict]:
+    """``run_all`` with ``max_parallel_jobs`` experiments at a time, each with a job group of its own.
+
+    State is kept under ``path``, on a file system that outlives the driver: what is done there is not run again, what was
+    running when a driver ended is. A run that fails cancels the jobs that it still has, and no other's.
+    """
+    done = {e for e, p in progress(spark, path).items() if p["state"] == "done"}
+    left = [e for e in experiments if e["experiment_id"] not in done]
+    sc = spark.sparkContext
+
+    def one(e: dict) -> dict:
+        name, began = e["experiment_id"], time.time()
+        group = f"experiment-{name}-{uuid.uuid4().hex[:8]}"
+        say = lambda state, error=None: put_file(spark, f"{path}/{name}.json", json.dumps({"experiment_id": name, "state": state, "error": error, "seconds": round(time.time() - began, 3)}))
+        sc.setJobGroup(group, f"experiment {name}", interruptOnCancel=True)
+        say("running")
+        try:
+            result = run(e)
+        except Exception as error:  # noqa: BLE001 one failed experiment must not end the others
+            sc.cancelJobGroup(group)
+            say("failed", str(error)[:2000])
+            return {"success": False, "error": str(error)}
+        say("done")
+        return {"success": True, "result": result}
+
+    with ThreadPoolExecutor(max_workers=max(1, max_parallel_jobs)) as pool:
+        runs = {e["experiment_id"]: pool.submit(inheritable_thread_target(spark)(one), e) for e in left}
+        return {name: f.result() for name, f in runs.items()}
+
+
 def evaluate(methods: list[str], known: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
     """The tables of the named evaluations; a name that is not known is an error before anything runs."""
     unknown = [m for m in methods if m not in known]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from parley.functions import labels as L
 from parley.functions.stats import keyed_id
-from parley.operators import agreement, annotate, dtw, experiments, learn, metrics, reports, rollup, sessions, trajectory
+from parley.operators import adapter, agreement, annotate, dtw, embed, experiments, learn, metrics, plots, reports, rollup, sessions, trajectory
+from parley.operators.order import running_by
 from parley.plans import fixtures as fx
 from parley.vocab import (
     CHANGE_TALK, CLIENT_REDUCED, CLIENT_T2, COUNSELLOR_REDUCED, COUNSELLOR_T1, COUNSELLOR_T2, MI_CONSISTENT, MI_INCONSISTENT, MOBILISING, PREPARATORY, SCALES, SUSTAIN_TALK, VOCABULARY, vocabulary,
@@ -496,6 +497,47 @@ def session_outcomes_week_later(spark, sf):
     return _round(found.select("conv_id", "pct_ct", "pre", "week_later", sessions.outcome_delta().alias("delta")), "pct_ct")
 
 
+# Plots.
+_PLOTTED = ["pct_mic", "r_to_q", "pct_ct"]
+_LONG = ", lg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, status AS \"group\", {c} AS v FROM sm JOIN outcomes USING (conv_id)" for c in _PLOTTED) + ")"
+
+
+def _plotted(spark, sf):
+    return sessions.session_metrics(fx.coded(spark, sf), "t1_auto", "t2_auto").join(fx.outcomes(spark, sf), "conv_id")
+
+
+@query(
+    fx.sql(
+        _SESSION + _LONG + """, bx AS (SELECT metric, "group", count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM lg GROUP BY ALL),
+        mk AS (SELECT lg.*, v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) AS inside FROM lg JOIN bx USING (metric, "group"))
+        SELECT metric, "group", n, round(mean, 6) AS mean, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(lo, 6) AS whisker_low, round(hi, 6) AS whisker_high, n_outliers, coalesce(outliers, '') AS outliers FROM bx
+        JOIN (SELECT metric, "group", min(CASE WHEN inside THEN v END) AS lo, max(CASE WHEN inside THEN v END) AS hi, count_if(NOT inside) AS n_outliers FROM mk GROUP BY ALL) USING (metric, "group")
+        LEFT JOIN (SELECT metric, "group", string_agg(CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY v) AS outliers FROM (SELECT DISTINCT metric, "group", v FROM mk WHERE NOT inside) GROUP BY ALL) USING (metric, "group")""",
+        "coded", "outcomes",
+    )
+)
+def box_table(spark, sf):
+    """Boxes of session metrics by outcome status; outliers in thousandths."""
+    found = plots.boxes(_plotted(spark, sf), "status", _PLOTTED)
+    shown = F.array_join(F.transform("outliers", lambda v: F.round(v * 1000).cast("long").cast("string")), ",")
+    return _round(found, "mean", "q1", "median", "q3", "whisker_low", "whisker_high").withColumn("outliers", shown)
+
+
+@query(
+    fx.sql(
+        _SESSION + _LONG + """, sp AS (SELECT *, n::DOUBLE ** -0.2 * s AS h FROM (SELECT metric, "group", count(*) AS n, stddev_samp(v) AS s, min(v) AS a, max(v) AS b FROM lg GROUP BY ALL) WHERE s > 0),
+        st AS (SELECT *, a - 2 * h AS low, (b - a + 4 * h) / 99 AS step FROM sp),
+        pl AS (SELECT metric, "group", (v - low) / step AS pos, least(CAST(floor((v - low) / step) AS INTEGER), 98) AS l FROM lg JOIN st USING (metric, "group")),
+        bn AS (SELECT metric, "group", bin, sum(w) AS w FROM (SELECT metric, "group", l AS bin, 1 - (pos - l) AS w FROM pl UNION ALL SELECT metric, "group", l + 1, pos - l FROM pl) GROUP BY ALL)
+        SELECT metric, "group", k::INTEGER AS k, round(any_value(low) + k * any_value(step), 6) AS x, round(sum(w * exp(-0.5 * power((k - bin) * step / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density
+        FROM st JOIN bn USING (metric, "group") CROSS JOIN (SELECT unnest(range(100)) AS k) GROUP BY metric, "group", k""",
+        "coded", "outcomes",
+    )
+)
+def violin_table(spark, sf):
+    return _round(plots.violins(_plotted(spark, sf), "status", _PLOTTED), "x", "density")
+
+
 # Roll-ups.
 @query(
     fx.sql(
@@ -808,10 +850,13 @@ def spline_fit(spark, sf):
 
 
 def _dimensions(spark, sf):
-    """Every embedding dimension along the ordered vectors of a class as the score of a session of its own."""
-    rows = fx.table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("dim", "v"))
-    rows = rows.select((F.col("label") * 1000 + F.col("dim")).cast("long").alias("conv_id"), F.col("vec_id").alias("conv_utt_idx"), F.col("v").cast("double").alias("score"))
-    return trajectory.with_progress(rows)
+    """Every embedding dimension along the ordered vectors of a class as the score of a session of its own, named by class
+    and dimension. A vector's place in its class is found once, by ranges, whatever the class's share of all rows."""
+    rows = fx.table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
+    placed = running_by(rows, ["label"], ["vec_id"], {"_at": F.lit(1).cast("long")}).join(rows.groupBy("label").agg(F.count("*").alias("_n")), "label")
+    placed = placed.withColumn("progress", F.when(F.col("_n") > 1, 100.0 * F.col("_at") / (F.col("_n") - 1)).otherwise(0.0))
+    each = placed.select("label", "progress", F.posexplode("embedding").alias("dim", "v"))
+    return each.select(F.struct("label", "dim").alias("conv_id"), "progress", F.col("v").cast("double").alias("score"))
 
 
 _SEGMENTS = 5
@@ -827,7 +872,8 @@ _HIGH = f"CASE WHEN chunk < {_SEGMENTS - 2} THEN (chunk + 2) * {100 / _SEGMENTS}
     SELECT ch.conv_id, ch.chunk, round(CASE WHEN m >= 2 THEN s ELSE 0 END, 6) AS slope, round(CASE WHEN m >= 2 THEN i ELSE 0 END, 6) AS intercept FROM ch LEFT JOIN f ON f.conv_id = ch.conv_id AND f.chunk = ch.chunk"""
 )
 def embedding_segments(spark, sf):
-    return _round(trajectory.segment_slopes(_dimensions(spark, sf), _SEGMENTS), "slope", "intercept")
+    slopes = trajectory.segment_slopes(_dimensions(spark, sf), _SEGMENTS)
+    return _round(slopes.withColumn("conv_id", F.col("conv_id.label").cast("long") * 1000 + F.col("conv_id.dim")), "slope", "intercept")
 
 
 @query()
@@ -836,13 +882,51 @@ def embedding_regression(spark, sf):
     rows = fx.table(spark, sf, "embeddings")
     best = learn.top_dimensions(spark, learn.ridge(rows, "embedding", "label").coefficients, 3)
     outcome = rows.select("label").distinct().select("label", (fx.number("post", "label") % 11).cast("double").alias("delta"))
-    slopes = trajectory.segment_slopes(_dimensions(spark, sf), _SEGMENTS).withColumn("label", F.floor(F.col("conv_id") / 1000).cast("int")).withColumn("dim", F.col("conv_id") % 1000)
+    slopes = trajectory.segment_slopes(_dimensions(spark, sf), _SEGMENTS).select("conv_id.label", "conv_id.dim", "chunk", "slope")
     wide = slopes.join(F.broadcast(best), "dim").join(outcome, "label")  # three dimensions
     names = [f"s{i}" for i in range(_SEGMENTS)]
     wide = wide.groupBy("dim", "label", "delta").agg(*[F.max(F.when(F.col("chunk") == i, F.col("slope"))).alias(n) for i, n in enumerate(names)])
     return learn.multiple_regression(wide, names, "delta")
 
 
+@query()
+def text_embedding_regression(spark, sf):
+    """Ridge regression of an utterance's length on its text's vector: n_train, n_test, r2."""
+    rows = fx.utterances(spark, sf).select(F.concat_ws("|", "conv_id", "conv_utt_idx").alias("utt"), "utt_text", F.log1p(F.length("utt_text")).alias("size"))
+    return learn.ridge_test(embed.with_embeddings(rows, "utt_text", lambda: embed.HashedNgrams(dim=64)), "utt", "embedding", "size")
+
+
+@query()
+def text_embedding_segments(spark, sf):
+    """The course of a session in each dimension of its utterances' vectors: slopes by segment."""
+    rows = trajectory.with_progress(fx.utterances(spark, sf)).select("conv_id", "progress", "utt_text")
+    each = embed.with_embeddings(rows, "utt_text", lambda: embed.HashedNgrams(dim=16)).select("conv_id", "progress", F.posexplode("embedding").alias("dim", "v"))
+    points = each.select(F.struct("conv_id", "dim").alias("conv_id"), "progress", F.col("v").cast("double").alias("score"))
+    return trajectory.segment_slopes(points, _SEGMENTS).select("conv_id.conv_id", "conv_id.dim", "chunk", "slope", "intercept")
+
+
+@query()
+def adapter_by_fold(spark, sf):
+    """Held-out accuracy, by fold, of class prototypes of another corpus, of the same with a low-rank adapter, and of the
+    trained classifier: the language of whole texts."""
+    rows = fx.table(spark, sf, "documents").filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    rows = embed.with_embeddings(rows, "text", lambda: embed.HashedNgrams(dim=32)).withColumn("fold", (fx.number("fold", "doc_id") % 3).cast("int"))
+    other, own = rows.filter("doc_id % 40 = 0"), rows.filter("doc_id % 40 <> 0")
+    labels, base = adapter.prototypes(other, "embedding", "lang")
+    models = adapter.train(own.select(F.col("embedding").alias("x"), F.col("lang").alias("label"), "fold"), labels, base, folds=3, rank=1, steps=20, rate=2.0)
+    said = own.withColumn("_base", adapter.predicted([base] * 3, labels, F.col("embedding"), F.col("fold")))
+    said = said.withColumn("_adapter", adapter.predicted([m.weights for m in models], labels, F.col("embedding"), F.col("fold")))
+    right = lambda c: F.avg((F.col(c) == F.col("lang")).cast("double"))
+    out = said.groupBy("fold").agg(F.count("*").alias("n"), right("_base").alias("base"), right("_adapter").alias("adapter"))
+    trained = None
+    for k in range(3):
+        texts = own.select("doc_id", "text", "lang", "fold")
+        model, names = learn.text_classifier(texts.filter(F.col("fold") != k), "lang", "text")
+        one = learn.predict_codes(model, names, texts.filter(F.col("fold") == k), "_said", "text").agg(right("_said").alias("classifier")).withColumn("fold", F.lit(k))
+        trained = one if trained is None else trained.unionByName(one)
+    return out.join(trained, "fold").withColumn("share", F.lit(models[0].share))
+
+
 @query()
 def dtw_pairs(spark, sf):
     """Whole sessions, the counsellor's turns filled in between the client's scores, each with the next one by id."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import labels as L
 from parley.functions.text import model_slug, normal_speaker, strip
-from parley.operators import context, prepare, prompts, splits
+from parley.operators import context, prepare, prompts, splits, templates
 from parley.plans import fixtures as fx
 from parley.operators.order import percentiles, running_index
 from parley.operators.rollup import crosswalk as as_crosswalk
@@ -383,6 +383,38 @@ def masked_tokens(spark, sf):
     return prompts.tokenised(rows, public_tokenizers.path("byte_bpe_50k.json"), 50256, 256).drop("prompt", "completion")
 
 
+_TEMPLATE = """{% if before -%}
+Before: {{ before }}
+{% endif -%}
+{{ speaker | upper }}: {{ utt_text }}
+{%- if speaker == 'client' and t1_gold %} ({{ t1_gold | lower }}){% elif not t1_gold %} (?){% endif %}
+Codes:{% for c in codes %}
+{{ loop.index }}. {{ c }}{% if not loop.last %};{% endif %}{% endfor %}
+"""
+
+
+def _numbered(codes) -> str:
+    return "'" + "".join(f"\n{i + 1}. {c}" + (";" if i + 1 < len(codes) else "") for i, c in enumerate(codes)) + "'"
+
+
+@query(
+    fx.sql(
+        f""", b AS (SELECT *, lag(utt_text) OVER (PARTITION BY conv_id ORDER BY conv_utt_idx) AS before FROM coded)
+        SELECT conv_id, conv_utt_idx, md5(CASE WHEN before IS NULL THEN '' ELSE 'Before: ' || before || chr(10) END || upper(speaker) || ': ' || utt_text
+          || CASE WHEN speaker = 'client' AND t1_gold IS NOT NULL THEN ' (' || lower(t1_gold) || ')' WHEN t1_gold IS NULL THEN ' (?)' ELSE '' END || chr(10) || 'Codes:'
+          || CASE speaker WHEN 'client' THEN {_numbered(CLIENT_T1)} ELSE {_numbered(COUNSELLOR_T1)} END) AS prompt_md5 FROM b""",
+        "coded",
+    )
+)
+def templated_prompts(spark, sf):
+    """A template with fields, conditions and a loop over the speaker's codes, as one column expression."""
+    from pyspark.sql import Window
+
+    rows = fx.coded(spark, sf).withColumn("before", F.lag("utt_text").over(Window.partitionBy("conv_id").orderBy("conv_utt_idx")))
+    codes = F.when(F.col("speaker") == "client", L.array_of(CLIENT_T1)).otherwise(L.array_of(COUNSELLOR_T1))
+    return rows.select("conv_id", "conv_utt_idx", F.md5(templates.compiled(_TEMPLATE, rows, {"codes": codes})).alias("prompt_md5"))
+
+
 _MIXED = "md5('{0}|' || CAST({1} AS VARCHAR))"
 
 

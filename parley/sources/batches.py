@@ -43,7 +43,7 @@ def _again(work: Callable, times: int = 20):
             time.sleep(0.05 * (n + 1))
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put_file(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file so that it appears, or takes another one's place, in one step."""
     jvm = spark._jvm
     target, fs = _file_system(spark, path)
@@ -85,7 +85,7 @@ def write_batch(df: DataFrame, path: str, batch: str) -> int:
     df.write.parquet(folder)
     n = spark.read.schema(df.schema).parquet(folder).count()  # from the files' footers
     before = _manifest_of(spark, path, batch)
-    _put(spark, f"{path}/{MANIFESTS}/{batch}.json", json.dumps({"batch": batch, "attempt": attempt, "n_rows": n, "shape": df.schema.json()}))
+    put_file(spark, f"{path}/{MANIFESTS}/{batch}.json", json.dumps({"batch": batch, "attempt": attempt, "n_rows": n, "shape": df.schema.json()}))
     if before:
         at, fs = _file_system(spark, _folder(path, batch, before["attempt"]))
         fs.delete(at, True)
