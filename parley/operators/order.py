@@ -82,10 +82,9 @@ def running_by(df: DataFrame, by: list[str], order: list[str], sums: dict[str, C
 
 
 def value_places(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with n, their rows, and before, the rows of the group with smaller values."""
-    counts = running_sums(rows.groupBy(*by, value).agg(F.count("*").alias("n")), [*by, value], {"before": "n"})
-    starts = counts.groupBy(*by).agg(F.min("before").alias("_start"))
-    return counts.join(F.broadcast(starts), by).withColumn("before", F.col("before") - F.col("_start")).drop("_start")  # one row a group
+    """Distinct values of each group with n, their rows, and before, the rows of the group with smaller values. Groups may
+    be of any number and size."""
+    return running_by(rows.groupBy(*by, value).agg(F.count("*").alias("n")), by, [value], {"before": F.col("n")})
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:

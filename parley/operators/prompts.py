@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.labels import allowed_codes, allowed_in_group
 from parley.functions.text import literal_map
+from parley.operators.order import percentiles
 from parley.vocab import T1_GROUPS
 
 OUTPUT_HEADER = "## Answer format"
@@ -116,3 +117,25 @@ def tokenised(rows: DataFrame, tokenizer: str, end_id: int, max_length: int) ->
             )
 
     return rows.mapInPandas(run, shape)
+
+
+def with_token_count(rows: DataFrame, text: str, tokenizer: str, out: str = "n_tokens") -> DataFrame:
+    """Add the number of tokens of a text (null: 0) by a file of the tokenizers library that every executor has, without
+    added tokens: what a length limit in tokens is held against."""
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(tokenizer)
+        for some in texts:
+            yield pd.Series([len(x.ids) for x in tok.encode_batch(some.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+
+    return rows.withColumn(out, count(F.col(text)))
+
+
+def length_report(rows: DataFrame, length: str, max_length: int) -> DataFrame:
+    """n, median, p95, longest, too_long (rows above ``max_length``) and cut (what those have too much, in all)."""
+    over = F.greatest(F.col(length) - max_length, F.lit(0))
+    sums = rows.agg(F.count(length).alias("n"), F.max(length).cast("long").alias("longest"), F.count_if(F.col(length) > max_length).alias("too_long"), F.sum(over).cast("long").alias("cut"))
+    return percentiles(rows, [length], {"median": 0.5, "p95": 0.95}).drop("metric").crossJoin(sums)  # one row each

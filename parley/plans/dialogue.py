@@ -492,6 +492,16 @@ def prompt_lengths(spark, sf):
     return percentiles(n, ["n"], {"median": 0.5, "p95": 0.95}).drop("metric").crossJoin(sums)  # one row each
 
 
+@query()
+def prompt_token_lengths(spark, sf):
+    """Training examples (prompt and completion) in tokens of a public tokenizer against a limit."""
+    import public_tokenizers
+
+    text = F.concat(prompts.bare_prompt(F.col("speaker"), F.col("utt_text"), "t2"), prompts.completion(F.col("t2_gold")))
+    rows = prompts.with_token_count(fx.coded(spark, sf).select(text.alias("example")), "example", public_tokenizers.path("byte_bpe_50k.json"))
+    return prompts.length_report(rows, "n_tokens", 128)
+
+
 @query(fx.sql("SELECT conv_id, conv_utt_idx, speaker FROM coded WHERE speaker = 'client' AND (t1_gold IS NULL OR conv_utt_idx % 6 = 0)", "coded"))
 def missing_probe(spark, sf):
     rows = fx.coded(spark, sf).withColumn("other", F.when(F.col("conv_utt_idx") % 6 != 0, F.col("t2_auto")))

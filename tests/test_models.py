@@ -162,3 +162,17 @@ def test_adapter_query_by_fold(spark):
 
     rows = QUERIES["adapter_by_fold"](spark, SF.replace("0.001", "0.01")).collect()
     assert len(rows) == 3 and all(r["adapter"] >= r["base"] and r["adapter"] > 0.9 and r["share"] < 0.5 for r in rows)
+
+
+def test_token_lengths_are_the_library_s(spark):
+    import public_tokenizers
+    from parley.operators import prompts
+    from parley.plans.registry import QUERIES
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = fixtures.coded(spark, SF).select(F.concat(prompts.bare_prompt(F.col("speaker"), F.col("utt_text"), "t2"), prompts.completion(F.col("t2_gold"))).alias("x")).collect()
+    n = np.array([len(tok.encode(r["x"], add_special_tokens=False).ids) for r in rows if r["x"] is not None] + [0] * sum(r["x"] is None for r in rows))
+    r = QUERIES["prompt_token_lengths"](spark, SF).first()
+    assert (r["n"], r["longest"], r["too_long"], r["cut"]) == (len(n), n.max(), (n > 128).sum(), np.maximum(n - 128, 0).sum())
+    assert (r["median"], r["p95"]) == pytest.approx((np.quantile(n, 0.5), np.quantile(n, 0.95)))
