@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.labels import allowed_codes, allowed_in_group
 from parley.functions.text import literal_map
-from parley.operators.order import percentiles
+from parley.operators.order import percentiles, running_index
 from parley.vocab import T1_GROUPS
 
 OUTPUT_HEADER = "## Answer format"
@@ -85,6 +85,22 @@ def render(messages: Column, template: str = "<{role}>\n{content}\n") -> Column:
     return F.array_join(F.transform(messages, one), "")
 
 
+def word_vocabulary(rows: DataFrame, text: str, first_id: int = 0) -> DataFrame:
+    """word, id: dense numbers of the blank-separated words of all rows, the most frequent first, then by code points."""
+    words = rows.select(F.explode(F.split(text, " ")).alias("word"))
+    counts = words.groupBy("word").agg((-F.count("*")).alias("_less"))  # partial sums: a word may be a third of all
+    return running_index(counts, ["_less", "word"], "id").select("word", (F.col("id") + first_id).cast("int").alias("id"))
+
+
+def with_word_ids(rows: DataFrame, key: list[str], text: str, vocabulary: DataFrame, out: str = "ids") -> DataFrame:
+    """Add an array of the ids of a text's words, in order; words that the vocabulary lacks are left out, a null text has
+    none. ``key`` names a row."""
+    each = rows.select(*key, F.posexplode(F.split(text, " ")).alias("_pos", "word"))
+    found = each.join(vocabulary, "word").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_ids"))
+    ids = F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>"))
+    return rows.join(found, key, "left").withColumn(out, ids).drop("_ids")
+
+
 def mask_prompt(prompt_ids: Column, completion_ids: Column, end_id: int, max_length: int) -> Column:
     """input_ids and labels (prompt masked by -100), ended by ``end_id`` and cut to ``max_length``."""
     ids = F.slice(F.concat(prompt_ids, completion_ids, F.array(F.lit(end_id))), 1, max_length)

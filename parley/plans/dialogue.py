@@ -12,7 +12,7 @@ from parley.operators.order import percentiles, running_index
 from parley.operators.rollup import crosswalk as as_crosswalk
 from parley.sources.readers import normal_form as as_normal_form
 from parley.sources.readers import read_rows
-from parley.vocab import ALIASES, CLIENT_T1, CLIENT_T2, COUNSELLOR_T1, COUNSELLOR_T2, SPEAKERS, T1_GROUPS, THIRD_PARTY_T1, THIRD_PARTY_T2
+from parley.vocab import ALIASES, CLIENT_T1, CLIENT_T2, COUNSELLOR_T1, COUNSELLOR_T2, SPEAKERS, T1_GROUPS, THIRD_PARTY_T1, THIRD_PARTY_T2, vocabulary
 
 QUERIES, SQL = {}, {}
 
@@ -189,17 +189,22 @@ def completion_jsonl(spark, sf):
 
 @query(
     fx.sql(
-        """SELECT conv_id, conv_utt_idx, (ids[1:12])::VARCHAR AS input_ids, (labels[1:12])::VARCHAR AS labels FROM (
-        SELECT *, list_concat(list_concat(p, c), [0]) AS ids, list_concat(list_concat(list_transform(p, lambda x: -100), c), [0]) AS labels FROM (
-        SELECT *, list_transform(string_split(utt_text, ' '), lambda x: length(x)) AS p, [length(t2_gold)] AS c FROM coded))""",
+        f""", w AS (SELECT conv_id, conv_utt_idx, unnest(string_split(utt_text, ' ')) AS word, generate_subscripts(string_split(utt_text, ' '), 1) AS pos FROM coded),
+        v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + {len(vocabulary("t2"))} AS id FROM w GROUP BY word),
+        e AS (SELECT conv_id, conv_utt_idx, list(id ORDER BY pos) AS p FROM w JOIN v USING (word) GROUP BY ALL),
+        b AS (SELECT conv_id, conv_utt_idx, p, list_position({_codes(vocabulary("t2"))}, t2_gold) AS c FROM e JOIN coded USING (conv_id, conv_utt_idx))
+        SELECT conv_id, conv_utt_idx, array_to_string(list_slice(list_concat(p, [c, 0]), 1, 12), ',') AS input_ids,
+          array_to_string(list_slice(list_concat(list_transform(p, lambda x: -100), [c, 0]), 1, 12), ',') AS labels FROM b""",
         "coded",
-    ).replace("(ids[1:12])::VARCHAR", "array_to_string(ids[1:12], ',')").replace("(labels[1:12])::VARCHAR", "array_to_string(labels[1:12], ',')")
+    )
 )
 def masked_examples(spark, sf):
-    words = F.transform(F.split("utt_text", " "), lambda w: F.length(w))
-    both = prompts.mask_prompt(words, F.array(F.length("t2_gold")), 0, 12)
+    """Training examples in the ids of the corpus's own words, codes first, with the prompt masked."""
+    rows, codes = fx.coded(spark, sf).select("conv_id", "conv_utt_idx", "utt_text", "t2_gold"), vocabulary("t2")
+    known = prompts.with_word_ids(rows, ["conv_id", "conv_utt_idx"], "utt_text", prompts.word_vocabulary(rows, "utt_text", len(codes) + 1))
+    both = prompts.mask_prompt(F.col("ids"), F.array(F.array_position(L.array_of(codes), F.col("t2_gold")).cast("int")), 0, 12)
     join = lambda c: F.array_join(both[c].cast("array<string>"), ",").alias(c)
-    return fx.coded(spark, sf).select("conv_id", "conv_utt_idx", join("input_ids"), join("labels"))
+    return known.select("conv_id", "conv_utt_idx", join("input_ids"), join("labels"))
 
 
 # Label reading: raw answers made from codes in several shapes.
