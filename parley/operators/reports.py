@@ -13,6 +13,7 @@ from parley.functions.labels import is_valid
 from parley.operators.agreement import kappa_of
 from parley.operators.metrics import averages, report_of
 from parley.operators.order import held
+from parley.operators.trajectory import leave_each_out, simple_regressions, spearman, with_correlation_p
 from parley.vocab import VOCABULARY, vocabulary
 
 ALL = "all"
@@ -72,3 +73,19 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """CSV under ``path/<table>/tier=../speaker=..``: a reader of one group opens its files alone."""
     for name, df in tables.items():
         df.repartition(1, *KEYS).write.mode("overwrite").partitionBy(*KEYS).csv(f"{path}/{name}", header=True)
+
+
+def outcome_tables(sessions: DataFrame, columns: list[str], outcome: str, key: str = "conv_id") -> dict[str, DataFrame]:
+    """What relates session metrics to an outcome: the sessions themselves (agg), correlation (rank and product-moment, with
+    p-values and the line) by metric, and loocv, the predictions of each session from the others by metric. Sessions are
+    read from the checkpoint folder by all three."""
+    rows = held(sessions.select(key, *columns, outcome))
+    ranks = with_correlation_p(spearman(rows, columns, outcome)).select("metric", F.col("r").alias("rank_r"), F.col("p_value").alias("rank_p"))
+    lines = with_correlation_p(simple_regressions(rows, columns, outcome))
+    return {"agg": rows, "correlation": lines.join(ranks, "metric", "left"), "loocv": leave_each_out(rows, columns, outcome, key)}
+
+
+def write_outcome_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """CSV with a header under ``path/<table>``."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").csv(f"{path}/{name}", header=True)

@@ -180,22 +180,29 @@ def simple_regressions(df: DataFrame, columns: list[str], outcome: str) -> DataF
     return complete.groupBy("metric").agg(F.count("x").alias("n"), correlation("x", "y").alias("r"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
 
 
-def leave_one_out(df: DataFrame, x: str, y: str, key: str = "conv_id") -> DataFrame:
-    """Predictions of each row by the line fitted to all others: key, y, predicted, error, pct_error.
+def leave_each_out(df: DataFrame, columns: list[str], y: str, key: str = "conv_id") -> DataFrame:
+    """Predictions of each row by the line on one column fitted to all others: metric, key, y, predicted, error, pct_error.
 
-    From the full fit and each row's leverage, no refits. pct_error is null where y is near 0.
+    From the full fits and each row's leverage, no refits: one aggregation serves all columns. pct_error is null where y is
+    near 0.
     """
-    rows = df.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    fit = rows.agg(
+    pair = lambda c: F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x"))
+    rows = df.select(key, F.col(y).cast("double").alias("y"), F.inline(F.array(*map(pair, columns)))).dropna(subset=["x", "y"])
+    fit = rows.groupBy("metric").agg(
         F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.regr_sxx("y", "x").alias("sxx"), F.avg("x").alias("mx")
     )
-    out = rows.crossJoin(F.broadcast(fit))  # one row of sums
+    out = rows.join(F.broadcast(fit), "metric")  # one row a column
     leverage = 1 / F.col("n") + (F.col("x") - F.col("mx")) ** 2 / F.col("sxx")
     left = (F.col("y") - F.col("a") - F.col("b") * F.col("x")) / (1 - leverage)
     out = out.withColumn("error", -left).withColumn("predicted", F.col("y") - left)
-    return out.select(key, "y", "predicted", "error", F.when(F.abs("y") > 1e-5, 100 * F.col("error") / F.col("y")).alias("pct_error"))
+    return out.select("metric", key, "y", "predicted", "error", F.when(F.abs("y") > 1e-5, 100 * F.col("error") / F.col("y")).alias("pct_error"))
+
+
+def leave_one_out(df: DataFrame, x: str, y: str, key: str = "conv_id") -> DataFrame:
+    """``leave_each_out`` of one column."""
+    return leave_each_out(df, [x], y, key).drop("metric")
 
 
-def leave_one_out_summary(predictions: DataFrame) -> DataFrame:
-    """n, mean squared error and R2 of leave-one-out predictions."""
-    return predictions.agg(F.count("*").alias("n"), F.avg(F.col("error") ** 2).alias("mse"), (1 - F.sum(F.col("error") ** 2) / (F.count("*") * F.var_pop("y"))).alias("r2"))
+def leave_one_out_summary(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
+    """n, mean squared error and R2 of leave-one-out predictions, of each group if asked."""
+    return predictions.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("error") ** 2).alias("mse"), (1 - F.sum(F.col("error") ** 2) / (F.count("*") * F.var_pop("y"))).alias("r2"))

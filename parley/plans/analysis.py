@@ -732,6 +732,19 @@ def loocv_summary(spark, sf):
     return _round(trajectory.leave_one_out_summary(trajectory.leave_one_out(_session_deltas(spark, sf), "pct_mic", "delta")), "mse", "r2")
 
 
+_LOO_ALL = _DELTAS + ", lo AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS metric, conv_id, delta AS y, (delta - a - b * {c}) / (1 - (1 / n + power({c} - mx, 2) / sxx)) AS e FROM sd, "
+    f"(SELECT count(*) AS n, regr_slope(delta, {c}) AS b, regr_intercept(delta, {c}) AS a, regr_sxx(delta, {c}) AS sxx, avg({c}) AS mx FROM sd)" for c in _PLOTTED
+) + ")"
+
+
+@query(fx.sql(_LOO_ALL + " SELECT metric, count(*) AS n, round(avg(e * e), 6) AS mse, round(1 - sum(e * e) / (count(*) * var_pop(y)), 6) AS r2 FROM lo GROUP BY metric", "coded", "outcomes"))
+def loocv_by_metric(spark, sf):
+    """Leave-one-out predictions of the outcome by every session metric, from one pass."""
+    tables = reports.outcome_tables(_session_deltas(spark, sf), _PLOTTED, "delta")
+    return _round(trajectory.leave_one_out_summary(tables["loocv"], ["metric"]), "mse", "r2")
+
+
 @query(
     fx.sql(
         """, g AS (SELECT *, CASE WHEN conv_utt_idx % 3 <> 0 THEN score END AS v, row_number() OVER (PARTITION BY conv_id ORDER BY conv_utt_idx) AS k FROM client_points),

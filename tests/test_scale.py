@@ -216,3 +216,18 @@ def test_reports_are_written_by_group(spark, tmp_path):
     reports.write_tables(tables, str(tmp_path))
     back = spark.read.csv(f"{tmp_path}/classes/tier=t1/speaker=client", header=True, inferSchema=True)
     assert {r["label"]: r["support"] for r in back.collect()} == {"C": 1, "S": 1, "N": 0}
+
+
+def test_outcome_tables_are_written(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, float(a), float(b), float(a + c) if i else None) for i, (a, b, c) in enumerate(rng.normal(size=(40, 3)))], "conv_id long, a double, b double, y double")
+    tables = reports.outcome_tables(rows, ["a", "b"], "y")
+    reports.write_outcome_tables(tables, str(tmp_path))
+    back = {n: spark.read.csv(f"{tmp_path}/{n}", header=True, inferSchema=True).toPandas() for n in tables}
+    assert len(back["agg"]) == 40 and len(back["loocv"]) == 78 and sorted(back["correlation"]["metric"]) == ["a", "b"]
+    kept = np.array([[r["a"], r["y"]] for r in rows.filter("y IS NOT NULL").orderBy("conv_id").collect()])
+    by_hand = [np.polyval(np.polyfit(*np.delete(kept, i, 0).T, 1), kept[i, 0]) for i in range(39)]
+    got = back["loocv"][back["loocv"]["metric"] == "a"].sort_values("conv_id")["predicted"].to_numpy()
+    assert got == pytest.approx(by_hand)
+    line = back["correlation"].set_index("metric").loc["a"]
+    assert line["r"] == pytest.approx(np.corrcoef(kept.T)[0, 1]) and line["p_value"] < 0.05 and -1 <= line["rank_r"] <= 1
