@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.llm.common import remove, written
 
 #: A node's edges are dealt over so many parts, so that the root of a huge component is no single task's load.
-SALTS = 16
+SALTS = 8
 MAX_ROUNDS = 60
 
 
