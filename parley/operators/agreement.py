@@ -88,10 +88,11 @@ def pairwise_kappa(ratings: DataFrame, item: list[str], by: list[str] = ()) -> D
     return kappa(kept, "x", "y", [*by, "rater_1", "rater_2"])
 
 
-def align(manual: DataFrame, auto: DataFrame, key: list[str], manual_label: str, auto_label: str) -> DataFrame:
-    """Human and automatic labels side by side by key: key, speaker (the human table's), gold, auto."""
-    left = manual.select(*key, "speaker", F.col(manual_label).alias("gold"))
-    return left.join(auto.select(*key, F.col(auto_label).alias("auto")), key)
+def align(manual: DataFrame, auto: DataFrame, key: list[str], tiers: dict[str, tuple[str, str]]) -> DataFrame:
+    """Human and automatic labels side by side by key: key, speaker (the human table's), and <tier>_gold, <tier>_auto of each
+    tier; ``tiers`` names its human and its automatic column."""
+    left = manual.select(*key, "speaker", *[F.col(mine).alias(f"{t}_gold") for t, (mine, _) in tiers.items()])
+    return left.join(auto.select(*key, *[F.col(theirs).alias(f"{t}_auto") for t, (_, theirs) in tiers.items()]), key)
 
 
 def agreement_report(manual: DataFrame, auto: DataFrame, key: list[str], tiers: dict[str, tuple[str, str]]) -> DataFrame:
@@ -100,9 +101,8 @@ def agreement_report(manual: DataFrame, auto: DataFrame, key: list[str], tiers:
     tables are joined once."""
     from parley.operators.reports import tier_pairs
 
-    left = manual.select(*key, "speaker", *[F.col(mine).alias(f"_{t}_gold") for t, (mine, _) in tiers.items()])
-    rows = left.join(auto.select(*key, *[F.col(theirs).alias(f"_{t}_auto") for t, (_, theirs) in tiers.items()]), key)
-    return kappa(tier_pairs(rows, {t: (f"_{t}_gold", f"_{t}_auto") for t in tiers}), "true", "pred", ["tier", "speaker"])
+    rows = align(manual, auto, key, tiers)
+    return kappa(tier_pairs(rows, {t: (f"{t}_gold", f"{t}_auto") for t in tiers}), "true", "pred", ["tier", "speaker"])
 
 
 def complete_items(ratings: DataFrame, item: list[str], n_raters: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.agreement import _grid, label_pairs
+from parley.operators.prepare import valid_rows
 
 
 def report_of(cells: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,9 +71,7 @@ def summary(df: DataFrame, true: str, pred: str, labels: list[str] | None = None
 def speaker_summaries(df: DataFrame, true: str, pred: str, codes: dict[str, list[str]]) -> DataFrame:
     """``summary`` of each speaker over the rows whose true label is one of its ``codes``."""
     labels = df.sparkSession.createDataFrame([(who, c) for who, own in codes.items() for c in own], "speaker string, label string")
-    inside = [(F.col("speaker") == who) & F.col(true).isin(own) for who, own in codes.items()]
-    kept = df.filter(reduce(or_, inside))
-    return summary_of(label_pairs(kept, true, pred, ["speaker"]), labels, ["speaker"])
+    return summary_of(label_pairs(valid_rows(df, true, codes), true, pred, ["speaker"]), labels, ["speaker"])
 
 
 def subset_summaries(df: DataFrame, true: str, pred: str, subsets: dict[str, list[str]]) -> DataFrame:

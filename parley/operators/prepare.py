@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -79,8 +81,9 @@ def labelled(rows: DataFrame, label: str, tier: str) -> DataFrame:
     return rows.filter(is_valid(F.col(label), F.col("speaker"), tier) & (F.length(strip(F.col("utt_text"))) > 0))
 
 
-def valid_rows(rows: DataFrame, speaker: str, gold: str, allowed: list[str]) -> DataFrame:
-    return rows.filter((F.col("speaker") == speaker) & F.col(gold).isin(allowed))
+def valid_rows(rows: DataFrame, gold: str, codes: dict[str, list[str]]) -> DataFrame:
+    """Rows whose true label is one of the codes of their speaker."""
+    return rows.filter(reduce(or_, [(F.col("speaker") == who) & F.col(gold).isin(own) for who, own in codes.items()]))
 
 
 def positional_zip(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
