@@ -3,7 +3,8 @@
 The lexicon holds words whose presence in toxic training documents exceeds chance (log-likelihood ratio). It is a
 trie; a token is matched by walking the trie with the token's Levenshtein automaton, so all terms within the
 allowed edits are found in one walk. Every hit is seen in a window of words: quotation marks, words of reporting
-and other hits around it tell quotation from abuse. A logistic regression turns hits into a score. Lexicon and
+(known ones, and words that stand before hits of clean documents beyond chance) and other hits around it tell quotation
+from abuse. A logistic regression turns hits into a score. Lexicon and
 regression are fitted on a bounded sample of labelled rows (``SAMPLE_DOCS``).
 """
 
@@ -33,10 +34,14 @@ GROUP_WORDS = 5
 FUZZY_CHARS = 5
 THRESHOLD = 0.3
 WINDOW = 8
+#: Words before hits that tell clean documents are learned, so many at most.
+MAX_CONTEXT = 50
+#: Bytes of tokens and their codes that a worker keeps, twice.
+CACHE_BYTES = 64 << 20
 
 _TOKEN = re.compile(r"\w+")
 _QUOTES = set("\"“”„«»‘’‹›")
-#: Words that introduce what others said, in four languages.
+#: Words that introduce what others said, in four languages: what is known before anything is learned.
 REPORTING = frozenset("said says quote quoted called wrote dit écrit cité sagte schrieb zitat dijo escribió cita".split())
 
 
@@ -124,6 +129,7 @@ class Model:
     terms: list[str]
     weights: list[float]
     beta: np.ndarray
+    context: frozenset[str] = REPORTING
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.beta[1:] + self.beta[0]
@@ -131,9 +137,9 @@ class Model:
 
 
 class Matcher:
-    def __init__(self, terms: list[str], weights: list[float]):
-        self.trie, self.weights = Trie(terms), weights
-        self.memo = Memo(self._code)
+    def __init__(self, terms: list[str], weights: list[float], context: frozenset[str] = REPORTING):
+        self.trie, self.weights, self.context = Trie(terms), weights, context
+        self.memo = Memo(self._code, CACHE_BYTES)
 
     def _code(self, token: str) -> int:
         """0: no hit; n+1: term n exactly; -n-1: term n with an edit."""
@@ -143,6 +149,12 @@ class Matcher:
             return -n - 1
         return 0
 
+    def before_hits(self, text: str | None) -> set[str]:
+        """Words (no hits) in the windows before the text's hits."""
+        tokens = _TOKEN.findall((text or "").lower())
+        codes = [self.memo[t] for t in tokens]
+        return {tokens[j] for i, c in enumerate(codes) if c for j in range(max(0, i - WINDOW), i) if not codes[j]}
+
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
         tokens = _TOKEN.findall(text)
@@ -160,7 +172,7 @@ class Matcher:
             low, high = max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)
             before, after = text[spans[low][0] : spans[i][0]], text[spans[i][1] : spans[high - 1][1] + 1]
             quoted += any(c in _QUOTES for c in before) and any(c in _QUOTES for c in after)
-            reported += not REPORTING.isdisjoint(tokens[low:i])
+            reported += not self.context.isdisjoint(tokens[low:i])
         clustered = int((np.diff(at) <= WINDOW).sum())
         opened = len(at) - max(quoted, reported)
         log = np.log1p
@@ -252,6 +264,40 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), groups], names=["toxic", "group"])
 
 
+def context_words(sample: DataFrame, terms: list[str], weights: list[float], max_words: int = MAX_CONTEXT, min_llr: float = MIN_LLR) -> list[str]:
+    """Words that stand before hits in clean documents of the sample (text, toxic) beyond chance, as words of reporting do.
+
+    Groups of copies count once. Documents without a hit say nothing.
+    """
+    spark = sample.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast((terms, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = of_worker(("matcher", held), lambda: Matcher(*held.value))
+        for batch in portions(batches, 1):
+            which, words = [], []
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for i, text in enumerate(texts):
+                found = matcher.before_hits(text)
+                words += ["", *found] if found else []
+                which += [i] * (len(found) + 1 if found else 0)
+            groups = pa.array([copy_group(t) for t in texts], pa.int64())
+            at = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()).take(at), groups.take(at), pa.array(words, pa.string())], names=["toxic", "group", "word"])
+
+    seen = sample.select("toxic", "text").mapInArrow(run, "toxic int, group long, word string").distinct()
+    counted = seen.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("a"), F.count("*").alias("n"))
+    total = counted.filter("word = ''").first()  # every document with a hit has the empty word
+    if not total or not total["a"] or total["a"] == total["n"]:
+        return []
+    a, n, share = F.col("a"), F.col("n"), F.lit(total["a"] / total["n"])
+    half = lambda x, r, e: F.when(x > 0, x * F.log(r / e)).otherwise(0.0)
+    llr = 2 * (half(a, a / n, share) + half(n - a, 1 - a / n, 1 - share))
+    top = counted.filter((F.col("word") != "") & (a >= 3) & (a / n > share)).select("word", llr.alias("llr")).filter(F.col("llr") >= min_llr)
+    return [r["word"] for r in top.orderBy(F.desc("llr"), "word").limit(max_words).collect()]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Penalised logistic regression by Newton steps; the first coefficient is the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -277,11 +323,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def feature_rows(docs: DataFrame, keep: list[str], terms: list[str], weights: list[float]) -> DataFrame:
+def feature_rows(docs: DataFrame, keep: list[str], terms: list[str], weights: list[float], context: frozenset[str] = REPORTING) -> DataFrame:
     """``keep`` columns and ``x``, the features of ``text``, of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast((terms, weights))
+    held = spark.sparkContext.broadcast((terms, weights, context))
     rows = docs.select(*keep, "text")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
@@ -295,21 +341,22 @@ def feature_rows(docs: DataFrame, keep: list[str], terms: list[str], weights: li
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learn lexicon and regression. Without labelled rows of both classes every score is the share of toxic rows."""
+    """Learn lexicon, words of context and regression. Without labelled rows of both classes every score is the share of toxic rows."""
     sample = training_rows(docs, labels, sample_docs)
     terms, weights = lexicon(sample)
-    rows = feature_rows(sample, ["toxic"], terms, weights).collect()
+    context = REPORTING | set(context_words(sample, terms, weights)) if terms else REPORTING
+    rows = feature_rows(sample, ["toxic"], terms, weights, context).collect()
     if not rows:
         return Model(terms, weights, np.array([-30.0, *[0.0] * len(FEATURES)]))
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
     order = np.lexsort([*x.T, y])  # collected rows come in any order; sums then round alike
-    return Model(terms, weights, logistic(x[order], y[order]))
+    return Model(terms, weights, logistic(x[order], y[order]), context)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1), predicted of every row; null and empty texts score as texts without a hit."""
     beta = [float(b) for b in model.beta]
-    rows = feature_rows(docs, ["doc_id"], model.terms, model.weights)
+    rows = feature_rows(docs, ["doc_id"], model.terms, model.weights, model.context)
     z = F.aggregate(F.zip_with("x", F.array(*map(F.lit, beta[1:])), lambda a, b: a * b), F.lit(beta[0]), lambda a, b: a + b)
     p = 1 / (1 + F.exp(-z))
     return rows.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

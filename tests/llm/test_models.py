@@ -245,7 +245,7 @@ def slow_features(model, text, seen):
     for i in at:
         low, high = max(0, i - 8), min(len(found), i + 9)
         quoted += bool(marks & set(text[found[low][1] : found[i][1]])) and bool(marks & set(text[found[i][2] : found[high - 1][2] + 1]))
-        reported += any(t in toxicity.REPORTING for t, _, _ in found[low:i])
+        reported += any(t in model.context for t, _, _ in found[low:i])
     close = sum(b - a <= 8 for a, b in zip(at, at[1:]))
     log = np.log1p
     return [
