@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import io
 import json
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +38,8 @@ BLOCK_IDS = 65_536
 #: UTF-8 bytes of texts in a task's range, and ids in a file, beyond which the next one begins.
 RANGE_BYTES = 32 << 20
 FILE_IDS = 16 << 20
+#: Bytes of matches and their ids that a worker keeps, twice.
+CACHE_BYTES = 64 << 20
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -144,12 +149,15 @@ def encoder(path: str):
 def _encoder(path: str):
     tok = library_tokenizer(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    model, letters = tok.model, byte_letters()
+    model, letters, number = tok.model, byte_letters(), attrgetter("id")
 
     def of(piece: bytes) -> bytes:
-        return np.array([t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))], "<u4").tobytes()
+        ids = array("I", map(number, model.tokenize(piece.decode("latin-1").translate(letters))))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    memo = Memo(of)
+    memo = Memo(of, CACHE_BYTES)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         raw, at, first = pretokenise(texts)
