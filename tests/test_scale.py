@@ -4,6 +4,7 @@ import os
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from parley.operators import context, dtw, factors, learn, order, reports, trajectory
 from parley.plans import analysis, fixtures
@@ -161,6 +162,33 @@ def test_alignment_by_halves_is_the_full_table_s():
         assert dtw.least_distances(a, b[None, :])[0] <= want + 1e-12
 
 
+def test_rows_aligned_side_by_side_are_aligned_as_alone():
+    rng = np.random.default_rng(8)
+    for t in range(12):
+        n, m = rng.integers(1, 40, 2)
+        centres, rows = np.round(rng.normal(size=(3, n)), t % 3), np.round(rng.normal(size=(50, m)), t % 3)
+        alone = [[dtw.dtw(c, r) for r in rows] for c in centres]
+        for c, own in zip(centres, alone):
+            distances, sums, counts = dtw.dtw_many(c, rows)
+            assert distances.tolist() == [d for d, _ in own]
+            for r, (_, path) in enumerate(own):
+                assert [(i, j) for i, j in zip(sums[r], counts[r])] == [(sum(rows[r][j] for i, j in path[::-1] if i == x), sum(i == x for i, _ in path)) for x in range(n)]
+            limit = distances * rng.choice([0.9, 1.0, 1.1], 50)
+            found = dtw.distances_many(c, rows, limit)  # what is left out lies above its limit
+            assert ((found == distances) | (np.isinf(found) & (distances > limit))).all() and (found == distances)[distances <= limit].all()
+        best, distance, sums, counts, _ = dtw.nearest(list(centres), rows)
+        want = np.array([[d for d, _ in own] for own in alone])
+        assert best.tolist() == want.argmin(axis=0).tolist() and distance.tolist() == want.min(axis=0).tolist()
+        assert all((sums[r] == dtw.dtw_many(centres[c], rows[r : r + 1])[1][0]).all() for r, c in enumerate(best))
+
+
+def test_a_round_of_clustering_brings_few_rows_from_its_tasks():
+    run, shape = dtw._totals([np.zeros(5), np.ones(5)])
+    rows = [[0.1] * 5, [0.9] * 5, [1.1] * 5]
+    got = pd.concat(run([pd.DataFrame({"values": rows * 100, "who": range(300)})]))
+    assert got["cluster"].tolist() == [0, 1] and np.stack(got["sums"].tolist()) == pytest.approx(np.array([[10.0] * 5, [200.0] * 5]))
+
+
 def test_alignment_of_long_sessions_needs_little_memory():
     rng = np.random.default_rng(6)
     a, b = np.cumsum(rng.normal(size=9000)), np.cumsum(rng.normal(size=9000))
