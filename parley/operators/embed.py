@@ -43,17 +43,18 @@ class HashedNgrams:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
         of, left = np.repeat(np.arange(len(raw)), size), np.repeat(np.cumsum(size), size) - np.arange(len(data))
-        owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        hashes, cuts = [], []
         for n in self.sizes:
             at = np.flatnonzero(left >= n)
             h = np.full(len(at), np.uint64(n) + self.seed * np.uint64(0x9E3779B97F4A7C15))
             for i in range(n):
                 h = h * np.uint64(0x100000001B3) + data[at + i]
-            owners.append(of[at])
             hashes.append(_mixed(h))
-        owner, h = np.concatenate(owners), np.concatenate(hashes)
-        order = np.lexsort((h, owner))
-        owner, h = owner[order], h[order]
+            cuts.append(np.searchsorted(of[at], np.arange(len(raw) + 1)))
+        parts = [np.concatenate([h[c[t] : c[t + 1]] for h, c in zip(hashes, cuts)]) for t in range(len(raw))]
+        for part in parts:  # each text by itself: plain sorts of numbers
+            part.sort()
+        owner, h = np.repeat(np.arange(len(raw)), list(map(len, parts))), np.concatenate([*parts, np.zeros(0, np.uint64)])
         new = np.ones(len(h), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
         start = np.flatnonzero(new)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.stats import f_upper
 from parley.operators.factors import Factor, Solution, factors_of, fitted, triangular_factors
+from parley.operators.order import held
 from parley.operators.splits import mixed
 
 
@@ -108,9 +109,19 @@ def sweep(rows: DataFrame, settings: list[int]) -> DataFrame:
 
 def text_classifier(train: DataFrame, label: str, text: str = "utt_text", n_features: int = 1 << 12):
     """Hashed words and a multinomial logistic regression: a small trainable stand-in for a fine-tuned model."""
-    steps = _tokens(train, text, n_features)
-    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(steps)
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=20, regParam=0.01).fit(index.transform(steps))
+    return fitted_classifier(_tokens(train, text, n_features), label)
+
+
+def word_counts(rows: DataFrame, text: str, n_features: int = 1 << 12) -> DataFrame:
+    """``rows`` with the hashed words of a text instead of the text, held: what several classifiers learn from and predict
+    by is found once."""
+    return held(_tokens(rows, text, n_features).drop("_w", text))
+
+
+def fitted_classifier(counted: DataFrame, label: str):
+    """The classifier of rows with hashed words (``word_counts``)."""
+    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(counted)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=20, regParam=0.01).fit(index.transform(counted))
     return model, index.labels
 
 
@@ -120,7 +131,11 @@ def _tokens(df: DataFrame, text: str, n: int) -> DataFrame:
 
 
 def predict_codes(model, labels: list[str], rows: DataFrame, out: str, text: str = "utt_text") -> DataFrame:
-    n = model.numFeatures
-    found = model.transform(_tokens(rows, text, n))
+    return predict_counted(model, labels, _tokens(rows, text, model.numFeatures).drop("_w"), out)
+
+
+def predict_counted(model, labels: list[str], counted: DataFrame, out: str) -> DataFrame:
+    """``predict_codes`` of rows with hashed words (``word_counts``)."""
     names = F.array(*map(F.lit, labels))
-    return found.withColumn(out, F.get(names, F.col("prediction").cast("int"))).drop("_w", "_x", "rawPrediction", "probability", "prediction")
+    found = model.transform(counted)
+    return found.withColumn(out, F.get(names, F.col("prediction").cast("int"))).drop("_x", "rawPrediction", "probability", "prediction")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import labels as L
 from parley.functions.stats import keyed_id
 from parley.operators import adapter, agreement, annotate, dtw, embed, experiments, learn, metrics, plots, reports, rollup, sessions, trajectory
-from parley.operators.order import running_by
+from parley.operators.order import held, running_by
 from parley.plans import fixtures as fx
 from parley.vocab import (
     CHANGE_TALK, CLIENT_REDUCED, CLIENT_T2, COUNSELLOR_REDUCED, COUNSELLOR_T1, COUNSELLOR_T2, MI_CONSISTENT, MI_INCONSISTENT, MOBILISING, PREPARATORY, SCALES, SUSTAIN_TALK, VOCABULARY, vocabulary,
@@ -923,7 +923,9 @@ def adapter_by_fold(spark, sf):
     """Held-out accuracy, by fold, of class prototypes of another corpus, of the same with a low-rank adapter, and of the
     trained classifier: the language of whole texts."""
     rows = fx.table(spark, sf, "documents").filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    rows = embed.with_embeddings(rows, "text", lambda: embed.HashedNgrams(dim=32)).withColumn("fold", (fx.number("fold", "doc_id") % 3).cast("int"))
+    rows = rows.withColumn("fold", (fx.number("fold", "doc_id") % 3).cast("int"))
+    counted = learn.word_counts(rows.filter("doc_id % 40 <> 0"), "text")
+    rows = held(embed.with_embeddings(rows, "text", lambda: embed.HashedNgrams(dim=32)).drop("text"))  # read at every step, so embedded once
     other, own = rows.filter("doc_id % 40 = 0"), rows.filter("doc_id % 40 <> 0")
     labels, base = adapter.prototypes(other, "embedding", "lang")
     models = adapter.train(own.select(F.col("embedding").alias("x"), F.col("lang").alias("label"), "fold"), labels, base, folds=3, rank=1, steps=20, rate=2.0)
@@ -933,9 +935,8 @@ def adapter_by_fold(spark, sf):
     out = said.groupBy("fold").agg(F.count("*").alias("n"), right("_base").alias("base"), right("_adapter").alias("adapter"))
     trained = None
     for k in range(3):
-        texts = own.select("doc_id", "text", "lang", "fold")
-        model, names = learn.text_classifier(texts.filter(F.col("fold") != k), "lang", "text")
-        one = learn.predict_codes(model, names, texts.filter(F.col("fold") == k), "_said", "text").agg(right("_said").alias("classifier")).withColumn("fold", F.lit(k))
+        model, names = learn.fitted_classifier(counted.filter(F.col("fold") != k), "lang")
+        one = learn.predict_counted(model, names, counted.filter(F.col("fold") == k), "_said").agg(right("_said").alias("classifier")).withColumn("fold", F.lit(k))
         trained = one if trained is None else trained.unionByName(one)
     return out.join(trained, "fold").withColumn("share", F.lit(models[0].share))
 

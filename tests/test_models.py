@@ -164,6 +164,29 @@ def test_adapter_query_by_fold(spark):
     assert len(rows) == 3 and all(r["adapter"] >= r["base"] and r["adapter"] > 0.9 and r["share"] < 0.5 for r in rows)
 
 
+def test_adapter_query_embeds_each_text_once(spark, tmp_path, monkeypatch):
+    from parley.operators import embed
+    from parley.plans.registry import QUERIES
+
+    log, real = str(tmp_path / "rows"), embed.with_embeddings
+
+    def counted(df, *args):
+        def run(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write(f"{b.num_rows}\n")
+                yield b
+
+        out = real(df, *args)
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(embed, "with_embeddings", counted)
+    rows = QUERIES["adapter_by_fold"](spark, SF).collect()
+    n = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL").count()
+    with open(log) as f:
+        assert len(rows) == 3 and sum(map(int, f)) == n
+
+
 def test_token_lengths_are_the_library_s(spark):
     import public_tokenizers
     from parley.operators import prompts
