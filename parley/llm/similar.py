@@ -4,9 +4,9 @@ Texts with the same set of ``SHINGLE``-word shingles count as one. The sets meet
 under several functions, ``BAND`` of them a bucket (sets of Jaccard similarity 0.8 share one of ``BANDS`` buckets but for 2
 cases in 10,000). In a bucket, SimHash fingerprints are compared as bit planes within a wide radius, and the closest
 pairs make a spanning forest; every pair of it is confirmed by the similarity of its sets. Where a refuted pair parts what
-the forests hold together, all sets of that family are compared (``parted_links``). Rows are dealt in ranges of their
-bucket and, inside it, of their other buckets: a bucket that outgrows a task or ``BLOCK_ROWS`` sets is compared in blocks
-of neighbours, and what one bucket's blocks part, another bucket's blocks, cut elsewhere, join.
+the forests hold together, all sets of that family are compared (``parted_links``). A bucket of ``BLOCK_ROWS`` sets at most
+is compared whole. A larger one is first compared in blocks of neighbours, dealt in ranges of its sets' other buckets; then
+each block of it with each, but for those that are one and the same group by then (``bridges``).
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ BAND = 4
 #: Differing bits of 64 up to which a pair is looked at; sets of similarity 0.8 differ in 10 of them, in 20 hardly ever.
 RADIUS = 20
 BLOCK_ROWS = 2048
+#: Rows of a block of a large bucket that are compared with those of another, and rows that are compared at once.
+TILE_ROWS = 1 << 14
+_STEP = 1024
 #: Shingles of the sets that are compared with each other at once; larger families are compared block by block.
 TILE_SHINGLES = 1 << 19
 _PART = 1 << 15
@@ -85,21 +88,17 @@ def marked(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, set_key binary, fp long, n int, keys array<long>")
 
 
-def _in_blocks(sets: DataFrame, more: list[str], pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes]]], block_rows: int) -> DataFrame:
-    """(src, dst) that ``pairs_of`` finds in blocks of bucket rows: key, next, after, n, fp, set_key and ``more``.
+def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    src, dst = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
 
-    Blocks hold whole buckets; one that outgrows a block goes on in the next with its first row.
-    """
-    spark = sets.sparkSession
-    small_batches(spark)
-    rows = sets.filter("n > 0").select("set_key", "fp", "n", "keys", *more, F.posexplode("keys").alias("at", "key"))
-    rows = rows.select("key", F.get("keys", (F.col("at") + 1) % BANDS).alias("next"), F.get("keys", (F.col("at") + 2) % BANDS).alias("after"), "n", "fp", "set_key", *more)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
-    def batch_of(block: list[pa.RecordBatch]) -> pa.RecordBatch:
-        found = pairs_of(pa.Table.from_batches(block))
-        src, dst = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
+def _in_blocks(dealt: DataFrame, pairs_of: Callable[[pa.Table], list[tuple[bytes, bytes]]], block_rows: int) -> DataFrame:
+    """(src, dst) that ``pairs_of`` finds in blocks of bucket rows: key, n, fp, set_key, sorted by key in every task.
+
+    Blocks hold whole buckets of up to ``block_rows`` rows; a larger one, or one that tasks share, comes in parts, which
+    ``bridges`` must join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -112,16 +111,14 @@ def _in_blocks(sets: DataFrame, more: list[str], pairs_of: Callable[[pa.Table],
                 if count < block_rows:
                     continue
                 table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                yield batch_of([table])
+                yield _links(pairs_of(pa.Table.from_batches([table])))
                 keys = table.column(0).to_numpy()
                 tail = int(np.searchsorted(keys, keys[-1]))  # sorted by key: where the last bucket begins
                 held = [table.slice(tail) if tail else table.slice(0, 1)]
                 count = held[0].num_rows
         if count:
-            yield batch_of(held)
+            yield _links(pairs_of(pa.Table.from_batches(held)))
 
-    order = ["key", "next", "after", "n", "set_key"]
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)  # a large bucket spreads over tasks
     return dealt.mapInArrow(run, "src binary, dst binary").distinct()
 
 
@@ -133,9 +130,100 @@ def _close(table: pa.Table, similarity: float) -> Iterator[tuple[int, int, int]]
             yield d, i, j
 
 
-def candidate_pairs(sets: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(src, dst): of every bucket a spanning forest of its sets (set_key, fp, n, keys) within RADIUS, closest pairs first.
-    A set that has a candidate at all stands in some pair."""
+def bridging(fps: np.ndarray, n: np.ndarray, labels: np.ndarray, first: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a tile's rows that lie within RADIUS, have sizes near enough, and join groups (``labels``, from 0) that
+    such pairs join: no more than it takes, close ones first. The ``first`` rows are one block, the others another; without
+    others all pairs are looked at, else those across."""
+    labels, group, out = labels.copy(), np.arange(int(labels.max(initial=-1)) + 1), []
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    across, far = first < len(fps), np.uint8(255)
+    for a in range(0, first, _STEP):
+        mine = slice(a, min(a + _STEP, first))
+        for b in range(first if across else a, len(fps), _STEP):
+            other = slice(b, b + _STEP)
+            if (labels[mine] == labels[a]).all() and (labels[other] == labels[a]).all():
+                continue
+            distance = np.bitwise_count(fps[mine, None] ^ fps[None, other])
+            near = distance <= RADIUS
+            near &= (n[None, other] >= similarity * n[mine, None]) & (n[mine, None] >= similarity * n[None, other])
+            while (near := near & (labels[mine, None] != labels[None, other])).any():  # every group that can grow does
+                left = np.where(near, distance, far)
+                down, right = left.argmin(0), left.argmin(1)
+                at = np.concatenate([np.stack([np.arange(len(right)), right], 1), np.stack([down, np.arange(len(down))], 1)])
+                reach = left[at[:, 0], at[:, 1]]
+                for k in np.argsort(reach, kind="stable")[: int((reach < far).sum())].tolist():
+                    i, j = a + int(at[k, 0]), b + int(at[k, 1])
+                    x, y = root(labels[i]), root(labels[j])
+                    if x != y:
+                        group[max(x, y)] = min(x, y)
+                        out.append((i, j))
+                while (group[group] != group).any():
+                    group[:] = group[group]
+                labels = group[labels]
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """The rows in tables of equal numbers in the first ``by`` columns, by which they are sorted."""
+    held, last = [], None
+    for batch in batches:
+        ids = np.stack([batch.column(i).to_numpy() for i in range(by)])
+        cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and (ids[:, a] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = ids[:, a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bridges(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(src, dst) that join what ``pairs`` leave apart of sets that share a bucket of ``rows`` (key, set_key, fp, n; each
+    bucket whole), lie within RADIUS and have sizes near enough.
+
+    A bucket's rows, ordered by what ``pairs`` hold together, are cut in blocks of ``tile_rows`` and each is compared with
+    each, but for two of one and the same group. A tile gives fewer pairs than it has groups.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    labels = connected_components(pairs).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
+    rows = rows.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    rows = running_by(rows, ["key"], ["label", "set_key"], {"ahead": F.lit(1)})
+    rows, _ = written(rows.select("key", F.floor(F.col("ahead") / tile_rows).cast("int").alias("block"), "label", "set_key", "fp", "n"), "bucket-rows")
+    blocks = rows.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    pure = (F.col("a.low") == F.col("b.high")) & (F.col("a.high") == F.col("b.low"))
+    tiles = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & ~pure)
+    tiles = tiles.select("a.key", F.col("a.block").alias("one"), F.col("b.block").alias("two"))
+    sides = tiles.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+    members = sides.join(rows, ["key", "block"]).select("key", "one", "two", "block", "label", "set_key", "fp", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches, 3):
+            names, label = tile["set_key"].combine_chunks(), tile["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            fps, n = tile["fp"].to_numpy().view(np.uint64), tile["n"].to_numpy()
+            first = int((tile["block"].to_numpy() == tile["one"].to_numpy()).sum())
+            found = bridging(fps, n, label, first, similarity)
+            yield _links([tuple(sorted((names[i].as_py(), names[j].as_py()))) for i, j in found])
+
+    dealt = members.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "block", "label", "set_key")
+    return dealt.mapInArrow(run, "src binary, dst binary").distinct()
+
+
+def candidate_pairs(sets: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(src, dst): pairs of sets (set_key, fp, n, keys) that share a bucket, lie within RADIUS and have sizes near enough,
+    such that all of these pairs are held together: of every bucket of ``block_rows`` at most a spanning forest, closest
+    pairs first; of a larger one forests of blocks of neighbours, and pairs that join them (``bridges``)."""
 
     def forest(table: pa.Table) -> list[tuple[bytes, bytes]]:
         names = table["set_key"].to_pylist()
@@ -155,7 +243,25 @@ def candidate_pairs(sets: DataFrame, similarity: float = SIMILARITY, block_rows:
                 out.append(tuple(sorted((names[i], names[j]))))
         return out
 
-    return _in_blocks(sets, [], forest, block_rows)
+    spark = sets.sparkSession
+    small_batches(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = sets.filter("n > 0").select("set_key", "fp", "n", "keys", F.posexplode("keys").alias("at", "key"))
+    large, at_large = written(rows.groupBy("key").count().filter(F.col("count") > block_rows).select("key"), "large-buckets")
+    small = rows if (none := large.isEmpty()) else rows.join(large, "key", "left_anti")
+    whole = small.select("key", "n", "fp", "set_key").repartition(parts, "key").sortWithinPartitions("key", "n", "set_key")
+    found = _in_blocks(whole, forest, block_rows)
+    if none:
+        remove(spark, at_large)
+        return found
+    rows = rows.join(large, "key", "left_semi")
+    other = lambda i: F.get("keys", (F.col("at") + i) % BANDS)
+    rows, _ = written(rows.select("key", other(1).alias("next"), other(2).alias("after"), "n", "fp", "set_key"), "large-rows")
+    order = ["key", "next", "after", "n", "set_key"]
+    spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)  # a large bucket spreads over tasks
+    found, _ = written(found.union(_in_blocks(spread.select("key", "n", "fp", "set_key"), forest, block_rows)).distinct(), "block-pairs")
+    remove(spark, at_large)
+    return found.union(bridges(rows.select("key", "set_key", "fp", "n"), found, similarity, tile_rows))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -241,9 +347,7 @@ def parted_links(labelled: DataFrame, texts: DataFrame, k: int = SHINGLE, simila
         tile, sets, roots, first = None, [], [], 0
 
         def links() -> pa.RecordBatch:
-            found = tile_links(sets, roots, first, similarity)
-            src, dst = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
+            return _links(tile_links(sets, roots, first, similarity))
 
         for batch in portions(batches, 6):
             for family, one, two, block, root, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6))):
@@ -274,7 +378,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
     sets, at_sets = written(prints.groupBy("set_key").agg(least, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
     remove(spark, at_prints)
-    pairs, at_pairs = written(candidate_pairs(sets, similarity), "set-pairs")
+    pairs, at_pairs = written(candidate_pairs(sets, similarity, BLOCK_ROWS), "set-pairs")
     wanted = pairs.select(F.col("src").alias("set_key")).union(pairs.select("dst")).distinct()
     chosen, at_chosen = written(sets.join(wanted, "set_key", "left_semi"), "candidates")
     of = chosen.select("set_key", F.col("least.doc_id").alias("of_id"), F.col("least.text_key").alias("of_key"))

@@ -87,6 +87,59 @@ def test_buckets_larger_than_a_block(spark, monkeypatch):
     assert kept(spark, texts) == [0]
 
 
+def _joined(pairs, n):
+    """The least member of each set's group."""
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = top(i), top(j)
+        root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
+
+
+def _near(i, j, fps, n):
+    return int(fps[i] ^ fps[j]).bit_count() <= similar.RADIUS and min(n[i], n[j]) >= similar.SIMILARITY * max(n[i], n[j])
+
+
+@pytest.mark.parametrize("tile_rows", [7, 1000])
+def test_pairs_across_the_blocks_of_a_large_bucket(spark, tile_rows):
+    """Sets that share one large bucket only; partners stand far apart in the order of its blocks, or a range parts them."""
+    rng = np.random.default_rng(4)
+    fps, n = np.tile(rng.integers(0, 2**63, 60, dtype=np.uint64), 2), [100] * 118 + [100, 200]
+    rows = []
+    for i in range(120):
+        others = [i * 1000 + b if i < 60 else (180 - i) * 10**6 + b for b in range(1, similar.BANDS)]
+        rows.append((bytes([i]), int(fps[i].view(np.int64)), n[i], [7 if i % 60 < 50 else 8, *others]))
+    sets = spark.createDataFrame(rows, "set_key binary, fp long, n int, keys array<long>")
+    pairs = similar.candidate_pairs(sets, block_rows=21, tile_rows=tile_rows).collect()
+    got = [(r["src"][0], r["dst"][0]) for r in pairs]
+    share = lambda i, j: (i % 60 < 50) == (j % 60 < 50)
+    assert all(share(i, j) and _near(i, j, fps, n) for i, j in got)
+    want = [(i, j) for j in range(120) for i in range(j) if share(i, j) and _near(i, j, fps, n)]
+    assert (59, 119) not in want and len(want) >= 59 and _joined(got, 120) == _joined(want, 120)
+
+
+@pytest.mark.parametrize("first", [40, 1500, 2500])
+def test_bridges_join_what_all_pairs_of_a_tile_join(first, monkeypatch):
+    monkeypatch.setattr(similar, "_STEP", 600)
+    rng = np.random.default_rng(first)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    fps = base[rng.integers(0, 300, 2500)] ^ (np.uint64(1) << rng.integers(0, 64, 2500).astype(np.uint64))
+    n, labels = rng.integers(50, 80, 2500), rng.integers(0, 2000, 2500)
+    got = similar.bridging(fps, n, labels, first)
+    i, j = np.triu_indices(2500, 1) if first == 2500 else (x.ravel() for x in np.meshgrid(np.arange(first), np.arange(first, 2500)))
+    near = (np.bitwise_count(fps[i] ^ fps[j]) <= similar.RADIUS) & (np.minimum(n[i], n[j]) >= similar.SIMILARITY * np.maximum(n[i], n[j]))
+    want = list(zip(labels[i[near]].tolist(), labels[j[near]].tolist()))
+    assert all(_near(a, b, fps, n) for a, b in got)
+    joined = _joined([(labels[a], labels[b]) for a, b in got], 2000)
+    assert joined == _joined(want, 2000) and len(got) == 2000 - len(set(joined))
+
+
 def test_edges(spark, edge, empty):
     got = [(r["doc_id"], r["text_key"]) for r in similar.survivors(edge).collect()]
     assert similar.survivors(empty).count() == 0 and len(got) == len(set(got))
